@@ -29,6 +29,8 @@ BLOCK = "__block"
 DEFAULT_SPLIT_BYTES = 256 << 20
 DEFAULT_SPLIT_ROWS = 4_000_000
 BLOCK_BYTES = 64 << 20
+MOST_BLOCKS = 50_000
+UNKNOWN_BYTES = 1 << 58  # Spark reports a huge default for relations it cannot size
 
 
 def scanned_bytes(df: DataFrame) -> int:
@@ -63,8 +65,9 @@ def order_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     """Add ``__block``: contiguous, similarly sized ranges of (keys, order)."""
     spark = df.sparkSession
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_size = math.ceil(min(scanned_bytes(df), 1 << 50) / BLOCK_BYTES)
-    blocks = max(parallel, min(by_size, 20_000 if by_size < (1 << 23) else parallel))
+    size = scanned_bytes(df)
+    by_size = math.ceil(size / BLOCK_BYTES) if size < UNKNOWN_BYTES else 0
+    blocks = max(parallel, min(by_size, MOST_BLOCKS))
     ranged = df.repartitionByRange(blocks, *[F.col(k) for k in keys], *order)
     return stable(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
@@ -155,15 +158,13 @@ def last_known(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     scanned = blocked.withColumn(name, F.last(value, ignorenulls=True).over(within))
-    # The last value of a block is its running value on the row that closes the block.
-    closing = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(1, 1)
+    # A block's closing value is the running value on its last row.
+    following = F.lead(F.lit(1)).over(Window.partitionBy(*keys, BLOCK).orderBy(*order))
     ends = (
-        scanned.withColumn("__next", F.lead(F.lit(1)).over(
-            Window.partitionBy(*keys, BLOCK).orderBy(*order)))
+        scanned.withColumn("__next", following)
         .where("__next IS NULL")
         .select(*keys, BLOCK, F.col(name).alias("__end"))
     )
-    del closing
     before = (
         Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
