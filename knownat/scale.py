@@ -189,8 +189,33 @@ def exact_quantiles(
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
         return known.groupBy(*keys).agg(F.percentile(value, wanted).alias(name))
     cells = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    return _quantiles_of_cells(cells, keys, value, probabilities, name)
+
+
+def weighted_quantiles(
+    cells: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str,
+    probabilities: Sequence[float],
+    name: str = "quantiles",
+) -> DataFrame:
+    """Quantiles of the rows counted by ``weight`` in cells of distinct (keys, value)."""
+    keys = list(keys)
+    known = cells.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).cast("double"), F.col(weight).alias("__n")
+    )
+    if not needs_split(known, keys):
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        return known.groupBy(*keys).agg(F.percentile(value, wanted, "__n").alias(name))
+    return _quantiles_of_cells(known, keys, value, probabilities, name)
+
+
+def _quantiles_of_cells(
+    cells: DataFrame, keys: list[str], value: str, probabilities: Sequence[float], name: str
+) -> DataFrame:
     ranked = running_sums(cells, keys, [F.col(value)], {"__upto": F.col("__n")})
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = cells.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     wanted = F.array(
         *[
             F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
