@@ -1,0 +1,5 @@
+"""Deliberately empty: the product is batch only.
+
+Lateness is bitemporal (``available_at`` against ``period_end``) and is resolved by the as-of and
+vintage operators, not by watermarks.
+"""
