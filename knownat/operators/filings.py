@@ -136,10 +136,8 @@ def pick_fact(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return picked.select(*keys, *[F.col("p")[c].alias(c) for c in chosen])
 
 
-def _scoped(facts: DataFrame) -> DataFrame:
-    return facts.where(
-        _period_number().isNotNull() & (F.year("end_date") >= EARLIEST_END_YEAR)
-    )
+def _scoped(facts: DataFrame, first_end_year: int) -> DataFrame:
+    return facts.where(_period_number().isNotNull() & (F.year("end_date") >= first_end_year))
 
 
 def _per_period(pick: Column) -> list[Column]:
@@ -196,12 +194,14 @@ def _standalone(keys: Sequence[str]) -> Column:
     )
 
 
-def normalize_fiscal_quarters(facts: DataFrame, *, cutoff: str) -> DataFrame:
+def normalize_fiscal_quarters(
+    facts: DataFrame, *, cutoff: str, first_end_year: int = EARLIEST_END_YEAR
+) -> DataFrame:
     """Standalone quarters per entity, concept and fiscal year as known at ``cutoff``."""
     require_columns(facts, FACT_COLUMNS, "facts")
     keys = ["cik", "concept", "period_type", "fiscal_year"]
     end = F.lit(cutoff).cast("date")
-    known = _scoped(facts).where(
+    known = _scoped(facts, first_end_year).where(
         (F.to_date("filed_at") <= end) & (F.year("end_date") <= F.year(end))
     )
     fixed = {
@@ -244,7 +244,9 @@ def _fill_debt(wide: DataFrame, concepts: Sequence[str]) -> DataFrame:
     return wide.withColumn("total_debt", total)
 
 
-def filing_states(facts: DataFrame) -> DataFrame:
+def filing_states(
+    facts: DataFrame, *, first_end_year: int = EARLIEST_END_YEAR
+) -> DataFrame:
     """Standalone quarters of each (entity, concept, fiscal year) on every day they changed.
 
     Valid from ``known_from`` until ``known_until`` (exclusive, NULL while current).  Input rows
@@ -255,7 +257,8 @@ def filing_states(facts: DataFrame) -> DataFrame:
     # A fact dated past its filing year counts only once the decision year has caught up.
     known_from = F.greatest(F.to_date("filed_at"), F.trunc("end_date", "year"))
     pick = _pick([], "ordinal" in facts.columns)
-    daily = _scoped(facts).groupBy(*keys, known_from.alias("known_from")).agg(*_per_period(pick))
+    scoped = _scoped(facts, first_end_year)
+    daily = scoped.groupBy(*keys, known_from.alias("known_from")).agg(*_per_period(pick))
     line = Window.partitionBy(*keys).orderBy("known_from")
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
     running = daily.select(
@@ -284,6 +287,7 @@ def point_in_time_rows(
     *,
     flows: Sequence[str] = DURATION_CONCEPTS,
     balances: Sequence[str] = BALANCE_CONCEPTS,
+    first_end_year: int = EARLIEST_END_YEAR,
 ) -> DataFrame:
     """Panel rows rebuilt from only the facts filed by each decision.
 
@@ -292,7 +296,7 @@ def point_in_time_rows(
     one date, and which quarters a decision needs is settled before any value is fetched.
     """
     require_columns(facts, FACT_COLUMNS, "facts")
-    states = filing_states(facts)
+    states = filing_states(facts, first_end_year=first_end_year)
     current = F.col("fiscal_year") * 4 + F.col("fiscal_quarter_number")
     asked = decisions.withColumn("quarter_index", current.cast("int"))
 

@@ -38,7 +38,7 @@ def scanned_bytes(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total = 0
     for position in range(leaves.size()):
-        total += int(leaves.apply(position).stats().sizeInBytes().toString())
+        total += int(str(leaves.apply(position).stats().sizeInBytes()))
     return total
 
 
