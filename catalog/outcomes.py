@@ -156,16 +156,13 @@ SELECT label, coalesce(sector, 'Overall') AS sector, CAST(count(*) AS BIGINT) AS
 FROM st GROUP BY GROUPING SETS ((label), (label, sector))""",
 )
 def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    multi = _multi(spark, sf_dir)
-    names = {n: n.replace(".", "_") for n in GRID}
     rows = deterioration_labels(
-        multi, {names[n]: spec for n, spec in GRID.items()}, entity="entity", coverage="coverage"
+        _multi(spark, sf_dir), GRID, entity="entity", coverage="coverage"
     )
     made = label_sensitivity_summary(
-        rows, [*names.values(), "multi_kpi_two_of_three"], entity="entity"
+        rows, [*GRID, "multi_kpi_two_of_three"], entity="entity"
     )
-    dotted = F.regexp_replace("label", r"_(\d)_(\d)$", r"_$1.$2")
-    return rounded(made.withColumn("label", dotted), "prevalence")
+    return rounded(made, "prevalence")
 
 
 @query(

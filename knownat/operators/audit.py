@@ -54,6 +54,7 @@ def eligibility_audit(
     minimum_usable_quarters: int = 24,
     minimum_consecutive_quarters: int = 16,
     minimum_coverage: float = 0.8,
+    minimum_entity_coverage: float | None = None,
     minimum_interest_expense: float = 1_000_000,
     minimum_interest_quarters: int = 12,
     minimum_interest_coverage_quarters: int = 16,
@@ -64,7 +65,13 @@ def eligibility_audit(
     core: Sequence[str] = CORE_FIELDS,
     essential: Sequence[str] = ESSENTIAL_FIELDS,
 ) -> DataFrame:
-    """History rules per entity with reason codes; entities without history count zero."""
+    """History rules per entity with reason codes; entities without history count zero.
+
+    ``minimum_coverage`` applies to each quarter and, unless ``minimum_entity_coverage`` is
+    given, to the entity's whole history.
+    """
+    if minimum_entity_coverage is None:
+        minimum_entity_coverage = minimum_coverage
     if mode not in ("strict_company", "company_quarter"):
         raise ValueError(f"unknown eligibility mode: {mode}")
     absent = [F.lit(None).cast("double").alias(c) for c in core if c not in quarterly.columns]
@@ -131,7 +138,8 @@ def eligibility_audit(
             "INSUFFICIENT_USABLE_QUARTERS": F.col("usable_quarters") < minimum_usable_quarters,
             "INSUFFICIENT_CONSECUTIVE_QUARTERS": F.col("maximum_consecutive_usable_quarters")
             < minimum_consecutive_quarters,
-            "INSUFFICIENT_CORE_FIELD_COVERAGE": F.col("core_field_coverage") < minimum_coverage,
+            "INSUFFICIENT_CORE_FIELD_COVERAGE": F.col("core_field_coverage")
+            < minimum_entity_coverage,
             "INSUFFICIENT_INTEREST_EXPENSE_HISTORY": F.col("meaningful_interest_expense_quarters")
             < minimum_interest_quarters,
         }

@@ -305,7 +305,7 @@ def label_sensitivity_summary(
         time,
         sector,
         F.explode(
-            F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).alias("y")) for n in labels])
+            F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"`{n}`").alias("y")) for n in labels])
         ).alias("l"),
     ).select(entity, time, sector, "l.label", F.col("l.y").alias("y")).where("y IS NOT NULL")
 
