@@ -370,8 +370,8 @@ def readiness_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "describe_by_group",
-    f"""WITH {SQ}, u AS (UNPIVOT INCLUDE NULLS (SELECT sector, coverage, leverage FROM sq) ON coverage, leverage
-    INTO NAME variable VALUE v)
+    f"""WITH {SQ}, u AS (SELECT sector, 'coverage' AS variable, coverage AS v FROM sq
+    UNION ALL SELECT sector, 'leverage', leverage FROM sq)
 SELECT sector, variable, CAST(count(v) AS BIGINT) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std,
   min(v) AS min, round(quantile_cont(v, 0.25), 8) AS p25, round(quantile_cont(v, 0.5), 8) AS p50,
   round(quantile_cont(v, 0.75), 8) AS p75, max(v) AS max FROM u GROUP BY 1, 2""",
@@ -383,8 +383,8 @@ def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "missing_share_by_group",
-    f"""WITH {CQ}, u AS (UNPIVOT INCLUDE NULLS (SELECT fiscal_year, settled, urgent FROM cq) ON settled, urgent
-    INTO NAME variable VALUE v)
+    f"""WITH {CQ}, u AS (SELECT fiscal_year, 'settled' AS variable, settled AS v FROM cq
+    UNION ALL SELECT fiscal_year, 'urgent', urgent FROM cq)
 SELECT fiscal_year, variable, round(1 - count(v) / count(*), 6) AS missing_share,
   round(count(v) / count(*), 6) AS coverage_share FROM u GROUP BY 1, 2""",
 )
