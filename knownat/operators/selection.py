@@ -178,8 +178,8 @@ def size_tiers(
         F.least(F.floor(3 * (F.col("__r") - 1) / (F.col("__n") - 1)) + 1, F.lit(3))
     )
     labelled = F.element_at(F.array(*[F.lit(t) for t in TIERS]), third.cast("int"))
-    tiers = placed.select(F.col(identity).alias("__id"), labelled.alias(name))
-    return df.join(tiers, df[identity] == tiers["__id"], "left").drop("__id")
+    unsized = df.where(F.col(size).isNull()).withColumn(name, F.lit(None).cast("string"))
+    return placed.select(*df.columns, labelled.alias(name)).unionByName(unsized)
 
 
 def select_universe(
@@ -191,24 +191,25 @@ def select_universe(
     identity: str = "cik",
     seed: int,
 ) -> DataFrame:
-    """Exact sector targets plus every other row as an ordered reserve."""
-    chosen = balanced_sample(
-        df, target, within=[sector], strata=strata, identity=identity, seed=seed
-    ).withColumn("selection_status", F.lit("SELECTED"))
+    """Exact sector targets plus every other row as an ordered reserve.
+
+    One chain of rankings marks every row, so the frame is read once and never joined to itself.
+    """
     goal = _goal(target, [sector])
-    rest = df.join(chosen.select(identity), identity, "left_anti").select(*df.columns)
-    reserve = row_rank(
-        rest.withColumn("random_score", hash_score(identity, seed)),
-        [sector],
-        [F.col("random_score"), F.col(identity)],
-        "random_rank",
-    ).withColumns(
-        {
-            "random_rank": F.col("random_rank") + goal,
-            "selection_status": F.lit("RESERVE"),
-        }
+    sizes = df.groupBy(sector).agg(F.count(F.lit(1)).alias("__have"))
+    fail_if_any(sizes, F.col("__have") < goal, "a sector has fewer rows than its target")
+    by_hash = [F.col("random_score"), F.col(identity)]
+    scored = df.withColumn("random_score", hash_score(identity, seed))
+    placed = row_rank(scored, [sector, *strata], by_hash, "__place")
+    turn = [F.col("__place"), *[F.col(s).asc_nulls_first() for s in strata], F.col(identity)]
+    drawn = row_rank(placed, [sector], turn, "random_rank")
+    status = F.when(F.col("random_rank") <= goal, "SELECTED").otherwise("RESERVE")
+    marked = drawn.withColumn("selection_status", status)
+    waiting = row_rank(marked, [sector, "selection_status"], by_hash, "__wait")
+    rank = F.when(F.col("selection_status") == "SELECTED", F.col("random_rank")).otherwise(
+        F.col("__wait") + goal
     )
-    return chosen.unionByName(reserve)
+    return waiting.withColumn("random_rank", rank).drop("__place", "__wait")
 
 
 def replace_failures(
@@ -222,77 +223,81 @@ def replace_failures(
 ) -> tuple[DataFrame, DataFrame]:
     """Replace failed selections by the next certified reserve (then pool) of their sector.
 
-    The i-th failed selection meets the i-th certified option, an equi-join on (sector, i).
+    The i-th failed selection meets the i-th certified option of its sector: both are ranked in
+    one pass and brought together by one aggregate on (sector, i).
     Returns (final selection with ``quality_tier``, audit lines).
     """
-    passed = certification.where("certified").select(identity)
-    selected = universe.where("selection_status = 'SELECTED'")
-    kept = selected.join(passed, identity, "left_semi")
-    failed = selected.join(passed, identity, "left_anti")
-    options = universe.where("selection_status = 'RESERVE'").withColumn("__source", F.lit(0))
+    rows = universe.withColumn("__source", F.lit(0))
     if pool is not None:
         spare = pool.join(universe.select(identity), identity, "left_anti")
-        options = options.unionByName(
-            spare.withColumn("__source", F.lit(1)), allowMissingColumns=True
+        rows = rows.unionByName(
+            spare.withColumns({"__source": F.lit(1), "selection_status": F.lit("RESERVE")}),
+            allowMissingColumns=True,
         )
-    options = options.join(passed, identity, "left_semi")
-    lost = row_rank(failed, [sector], [F.col("random_rank"), F.col(identity)], "__i")
-    spare_order = [
+    passed = F.coalesce(F.col("certified"), F.lit(False))
+    chosen = F.col("selection_status") == "SELECTED"
+    role = (
+        F.when(chosen & passed, "kept").when(chosen, "failed").when(passed, "option")
+    )
+    judged = (
+        rows.join(certification.select(identity, "certified"), identity, "left")
+        .withColumn("__role", role)
+        .where("__role IS NOT NULL")
+        .drop("certified")
+    )
+    order = [
         F.col("__source"),
         F.col("random_rank").asc_nulls_last(),
         F.col("random_score"),
         F.col(identity),
     ]
-    found = row_rank(options, [sector], spare_order, "__i")
-    matched = lost.select(
-        sector,
-        "__i",
-        F.col(identity).alias("removed_id"),
-        F.col("random_rank").alias("replacement_rank"),
-    ).join(
-        found.select(
-            sector,
-            "__i",
-            F.col(identity).alias("replacement_id"),
-            F.col("__source").alias("__from"),
-        ),
-        [sector, "__i"],
-        "left",
-    )
+    ranked = row_rank(judged, [sector, "__role"], order, "__i")
+    columns = [c for c in judged.columns if c not in (sector, "__role")]
+
+    def of(name: str) -> Column:
+        return F.max(F.when(F.col("__role") == name, F.struct(*columns))).alias(name)
+
+    pairs = ranked.groupBy(sector, "__i").agg(of("kept"), of("failed"), of("option"))
+    short = F.col("failed").isNotNull() & F.col("option").isNull()
     if not retain_flagged_shortfall:
-        fail_if_any(
-            matched, F.col("replacement_id").isNull(), "insufficient certified replacements"
-        )
-    audit = matched.select(
-        "removed_id",
-        "replacement_id",
+        fail_if_any(pairs, short, "insufficient certified replacements")
+    audit = pairs.where("failed IS NOT NULL").select(
+        F.col("failed")[identity].alias("removed_id"),
+        F.col("option")[identity].alias("replacement_id"),
         sector,
-        "replacement_rank",
-        F.when(F.col("replacement_id").isNull(), "retained_with_quality_flag")
-        .when(F.col("__from") == 0, "frozen_reserve")
+        F.col("failed.random_rank").alias("replacement_rank"),
+        F.when(F.col("option").isNull(), "retained_with_quality_flag")
+        .when(F.col("option.__source") == 0, "frozen_reserve")
         .otherwise("deterministic_expanded_candidate_pool")
         .alias("replacement_source"),
     )
-    slots = audit.where("replacement_id IS NOT NULL").select(
-        F.col("replacement_id").alias(identity), F.col("replacement_rank").alias("__slot")
-    )
-    incoming = (
-        options.join(slots, identity)
-        .withColumn("random_rank", F.col("__slot").cast("long"))
-        .drop("__slot", "__source")
-    )
-    flagged = failed.join(
-        audit.where("replacement_id IS NULL").select(F.col("removed_id").alias(identity)),
-        identity,
-        "left_semi",
-    )
-    strict, loose = F.lit("CERTIFIED"), F.lit("RETAINED_WITH_QUALITY_FLAG")
-    final = (
-        kept.withColumn("quality_tier", strict)
-        .unionByName(incoming.withColumn("quality_tier", strict), allowMissingColumns=True)
-        .unionByName(flagged.withColumn("quality_tier", loose), allowMissingColumns=True)
-        .withColumn("selection_status", F.lit("SELECTED"))
+
+    def entry(who: str, when: Column, tier: str) -> Column:
+        slot = F.col("failed.random_rank") if who == "option" else F.col(who)["random_rank"]
+        fields = [
+            (slot if c == "random_rank" else F.col(who)[c]).alias(c)
+            for c in columns
+            if c not in ("__source", "selection_status")
+        ]
+        return F.when(
+            when,
+            F.struct(
+                *fields,
+                F.lit("SELECTED").alias("selection_status"),
+                F.lit(tier).alias("quality_tier"),
+            ),
+        )
+
+    certified, flagged = "CERTIFIED", "RETAINED_WITH_QUALITY_FLAG"
+    replaced = F.col("failed").isNotNull() & F.col("option").isNotNull()
+    entries = F.array_compact(
+        F.array(
+            entry("kept", F.col("kept").isNotNull(), certified),
+            entry("option", replaced, certified),
+            entry("failed", short, flagged),
+        )
     )
+    final = pairs.select(sector, F.explode(entries).alias("e")).select(sector, "e.*")
     return final, audit
 
 

@@ -207,7 +207,7 @@ def weighted_quantiles(
     )
     if not needs_split(known, keys):
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        return known.groupBy(*keys).agg(F.percentile(value, wanted, "__n").alias(name))
+        return known.groupBy(*keys).agg(F.percentile(value, wanted, F.col("__n")).alias(name))
     return _quantiles_of_cells(known, keys, value, probabilities, name)
 
 
