@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.knowledge import LABELLED, labelled_panel
 from catalog.registry import query
-from catalog.roles import LB, SQ, rounded, scored_documents, supplier_panel, table
+from catalog.roles import HASH, LB, SQ, rounded, scored_documents, supplier_panel, table
 from knownat.operators import drift, ensembles, resample, scoring
 from knownat.operators.explain import ReasonRule, reason_codes
 from knownat.operators.labels import episode_runs
@@ -77,8 +77,6 @@ def panel_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.ranking_metrics(panel_scores(spark, sf_dir)), *RANKED)
 
 
-CONF = """tp / (tp + fn)"""
-
 
 def confusion_sql(source: str, keys: str, alert: str, name: str = "cf") -> str:
     return f"""
@@ -623,26 +621,89 @@ def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select("decision_key", "model", "probability"), "probability")
 
 
-# --- resampling (seeded draws have no SQL twin) ------------------------------------------------
+# --- resampling --------------------------------------------------------------------------------
+
+REPS = 20
+
+
+def draws_sql(source: str, cluster: str, seed: int) -> str:
+    u = HASH.format(seed=seed, id="(rep || ':' || c.i)")
+    return f"""
+cl AS (SELECT {cluster} AS c, row_number() OVER (ORDER BY {cluster}) AS i, count(*) OVER () AS size
+  FROM (SELECT DISTINCT {cluster} FROM {source})),
+dr AS (SELECT rep, CAST(least(floor({u} * size) + 1, size) AS BIGINT) AS pick FROM cl c,
+    (SELECT unnest(range(1, {REPS + 1})) AS rep)),
+dm AS (SELECT rep, cl.c AS c, count(*) AS times FROM dr JOIN cl ON cl.i = dr.pick GROUP BY ALL)"""
+
+
+INTERVAL = """round(avg(v), 6) AS {c}, round(quantile_cont(v, 0.025), 6) AS {lo}, round(quantile_cont(v, 0.975), 6) AS {hi}"""
 
 
-@query("clustered_bootstrap_ci")
+@query(
+    "clustered_bootstrap_ci",
+    f"""WITH {PB}, {draws_sql("pb", "cik", 20260805)},
+bx AS (SELECT rep, probability, deterioration_label FROM pb JOIN dm ON dm.c = pb.cik, range(times)),
+{ranking_sql("bx", "rep")},
+ml AS (SELECT 'PR_AUC' AS metric, "PR_AUC" AS v FROM rk UNION ALL SELECT 'ROC_AUC', "ROC_AUC" FROM rk
+  UNION ALL SELECT 'Brier_score', "Brier_score" FROM rk)
+SELECT metric, {INTERVAL.format(c="estimate", lo="lower", hi="upper")}, 0.95::DOUBLE AS confidence_level,
+  CAST(count(v) AS BIGINT) AS valid_repetitions FROM ml WHERE v IS NOT NULL GROUP BY metric""",
+)
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.clustered_bootstrap(panel_scores(spark, sf_dir), repetitions=50)
+    made = resample.clustered_bootstrap(panel_scores(spark, sf_dir), repetitions=REPS)
+    return rounded(made, "estimate", "lower", "upper")
 
 
-@query("paired_bootstrap")
+PAIR = f"""{LB}, wd AS (SELECT decision_key, max(cik) AS cik, max(deterioration_label) AS deterioration_label,
+    max(probability) FILTER (model = 'weak') AS b, max(probability) FILTER (model = 'strong') AS c FROM lb GROUP BY decision_key),
+sd AS (SELECT cik, deterioration_label, 'b' AS side, b AS probability FROM wd
+  UNION ALL SELECT cik, deterioration_label, 'c', c FROM wd)"""
+
+
+@query(
+    "paired_bootstrap",
+    f"""WITH {PAIR}, {draws_sql("sd", "cik", 20260805)},
+bx AS (SELECT side, rep, probability, deterioration_label FROM sd JOIN dm ON dm.c = sd.cik, range(times)),
+{ranking_sql("bx", "side, rep")},
+ml AS (SELECT rep, side, 'PR_AUC' AS metric, "PR_AUC" AS v FROM rk UNION ALL SELECT rep, side, 'ROC_AUC', "ROC_AUC" FROM rk
+  UNION ALL SELECT rep, side, 'Brier_score', "Brier_score" FROM rk),
+df AS (SELECT rep, metric, max(v) FILTER (side = 'c') - max(v) FILTER (side = 'b') AS v FROM ml GROUP BY ALL)
+SELECT metric, {INTERVAL.format(c="challenger_minus_baseline", lo="lower_95", hi="upper_95")},
+  round(avg(CASE WHEN metric = 'Brier_score' THEN CAST(v < 0 AS DOUBLE) ELSE CAST(v > 0 AS DOUBLE) END), 6)
+    AS probability_challenger_better, CAST(count(v) AS BIGINT) AS valid_repetitions
+FROM df WHERE v IS NOT NULL GROUP BY metric""",
+)
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_documents(spark, sf_dir)
-    return resample.paired_comparison(
-        rows, baseline="weak", challenger="strong", repetitions=50
+    made = resample.paired_comparison(
+        scored_documents(spark, sf_dir), baseline="weak", challenger="strong", repetitions=REPS
+    )
+    return rounded(
+        made, "challenger_minus_baseline", "lower_95", "upper_95", "probability_challenger_better"
     )
 
 
-@query("development_evidence_uncertainty")
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_documents(spark, sf_dir).withColumn(
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_documents(spark, sf_dir).withColumn(
         "decision_at",
         F.date_add(F.lit("2000-01-01").cast("date"), (F.col("decision_key") % 900).cast("int")),
     )
-    return development_evidence(rows, repetitions=25)["clustered_uncertainty"]
+
+
+@query("development_evidence_uncertainty")
+def evidence_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return development_evidence(_dated(spark, sf_dir), repetitions=REPS)["clustered_uncertainty"]
+
+
+@query(
+    "development_evidence_value",
+    f"""WITH {LB}, ct AS (SELECT model, f, quantile_cont(probability, 1 - f) AS cut FROM lb,
+    (SELECT unnest({FR}) AS f) GROUP BY model, f),
+vj AS (SELECT lb.*, f, cut FROM lb JOIN ct USING (model)),
+{confusion_sql("vj", "model, f, cut", "probability >= cut")}
+SELECT model, f AS review_fraction, round(cut, 6) AS threshold, CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive,
+  CAST(fn AS BIGINT) AS false_negative, CAST(0.0 * tp - 1.0 * fp - 5.0 * fn AS DOUBLE) AS net_value,
+  round((0.0 * tp - 1.0 * fp - 5.0 * fn) / n, 6) AS value_per_observation FROM cf""",
+)
+def evidence_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = development_evidence(_dated(spark, sf_dir), repetitions=2)["decision_value"]
+    return rounded(made, "threshold", "value_per_observation")
