@@ -44,17 +44,17 @@ f AS (SELECT decision_key, decision_at, kpi, CASE WHEN n >= 8 THEN lv + (lv - fv
     CASE WHEN n >= 8 THEN (lv - fv) / (n - 1) * 4 END AS ch,
     CASE WHEN n >= 8 THEN 2 * 1.96 * greatest(sd, 2.220446049250313e-16) * 2 END AS w FROM hs)
 SELECT decision_key, max(decision_at) AS forecast_feature_available_at,
-  round(max(m) FILTER (kpi = 'coverage'), 6) AS forecast_coverage_4q, round(max(ch) FILTER (kpi = 'coverage'), 6) AS forecast_coverage_change_4q,
-  round(max(w) FILTER (kpi = 'coverage'), 6) AS forecast_coverage_uncertainty_4q,
-  round(max(m) FILTER (kpi = 'leverage'), 6) AS forecast_leverage_4q, round(max(ch) FILTER (kpi = 'leverage'), 6) AS forecast_leverage_change_4q,
-  round(max(w) FILTER (kpi = 'leverage'), 6) AS forecast_leverage_uncertainty_4q
+  round(max(m) FILTER (kpi = 'coverage'), 10) AS forecast_coverage_4q, round(max(ch) FILTER (kpi = 'coverage'), 10) AS forecast_coverage_change_4q,
+  round(max(w) FILTER (kpi = 'coverage'), 10) AS forecast_coverage_uncertainty_4q,
+  round(max(m) FILTER (kpi = 'leverage'), 10) AS forecast_leverage_4q, round(max(ch) FILTER (kpi = 'leverage'), 10) AS forecast_leverage_change_4q,
+  round(max(w) FILTER (kpi = 'leverage'), 10) AS forecast_leverage_uncertainty_4q
 FROM f GROUP BY decision_key""",
 )
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = forecasting.forecast_features(
         _panel(spark, sf_dir), kpis=KPIS, minimum_history=8, entity="entity"
     )
-    return rounded(made, *[c for c in made.columns if c.endswith("_4q")])
+    return rounded(made, *[c for c in made.columns if c.endswith("_4q")], digits=10)
 
 
 BACKTEST = f"""{SERIES},
@@ -79,7 +79,7 @@ def _backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     "random_walk_backtest",
     f"""WITH {BACKTEST}
 SELECT fold_id, entity, origin_decision_key, kpi, model, CAST(horizon AS INTEGER) AS horizon, target_at, actual,
-  round(forecast, 6) AS forecast, round(lower, 6) AS lower, round(upper, 6) AS upper, cov AS interval_covered FROM bt""",
+  round(forecast, 10) AS forecast, round(lower, 10) AS lower, round(upper, 10) AS upper, cov AS interval_covered FROM bt""",
 )
 def backtest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _backtest(spark, sf_dir)
@@ -88,7 +88,7 @@ def backtest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             "fold_id", "entity", "origin_decision_key", "kpi", "model", "horizon", "target_at",
             "actual", "forecast", "lower", "upper", "interval_covered",
         ),
-        "forecast", "lower", "upper",
+        "forecast", "lower", "upper", digits=10,
     )
 
 

@@ -696,8 +696,7 @@ def evidence_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "development_evidence_value",
-    f"""WITH {LB}, ct AS (SELECT model, f, quantile_cont(probability, 1 - f) AS cut FROM lb,
-    (SELECT unnest({FR}) AS f) GROUP BY model, f),
+    f"""WITH {LB}, ct AS (SELECT model, unnest({FR}) AS f, unnest(quantile_cont(probability, [0.95, 0.9, 0.8])) AS cut FROM lb GROUP BY model),
 vj AS (SELECT lb.*, f, cut FROM lb JOIN ct USING (model)),
 {confusion_sql("vj", "model, f, cut", "probability >= cut")}
 SELECT model, f AS review_fraction, round(cut, 6) AS threshold, CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive,
