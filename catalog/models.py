@@ -164,7 +164,7 @@ a AS (SELECT period_end, decision_at, avg(CASE WHEN series_id = '1-URGENT' THEN
 z AS (SELECT k.*, u, l, macro_available_at_max, year(k.period_end) || 'Q' || quarter(k.period_end) AS calendar_quarter
   FROM k LEFT JOIN a USING (period_end, decision_at))
 SELECT decision_key, decision_at, calendar_quarter, sector, round(revenue_ttm, 2) AS revenue_ttm, round(total_assets, 2) AS total_assets,
-  maximum_source_available_at, round(cov, 6) AS coverage, round(u, 6) AS "1-URGENT", round(l, 2) AS "5-LOW", macro_available_at_max,
+  maximum_source_available_at, round(cov, 6) AS coverage, round(u, 8) AS "1-URGENT", round(l, 2) AS "5-LOW", macro_available_at_max,
   round(CASE WHEN cov IS NOT NULL THEN (rank() OVER (PARTITION BY calendar_quarter, sector ORDER BY cov NULLS LAST)
     + (count(*) OVER (PARTITION BY calendar_quarter, sector, cov) - 1) / 2.0) / count(cov) OVER (PARTITION BY calendar_quarter, sector) END, 6)
     AS coverage_sector_percentile FROM z""",
@@ -197,7 +197,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("total_assets", 2).alias("total_assets"),
         "maximum_source_available_at",
         F.round("coverage", 6).alias("coverage"),
-        F.round("1-URGENT", 6).alias("1-URGENT"),
+        F.round("1-URGENT", 8).alias("1-URGENT"),
         F.round("5-LOW", 2).alias("5-LOW"),
         "macro_available_at_max",
         F.round("coverage_sector_percentile", 6).alias("coverage_sector_percentile"),
