@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from knownat.functions import composite_key, null_aware_sum
 from knownat.operators.checks import fail_if_any, fail_if_duplicated, require_columns
+from knownat.scale import stable
 
 # Fixed values of the filing domain.
 QUARTER_OF_PERIOD = {"Q1": 1, "Q2": 2, "Q3": 3, "FY": 4}
@@ -261,11 +262,22 @@ def filing_states(
     daily = scoped.groupBy(*keys, known_from.alias("known_from")).agg(*_per_period(pick))
     line = Window.partitionBy(*keys).orderBy("known_from")
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    running = daily.select(
+    numbers = (1, 2, 3, 4)
+    best = daily.select(
+        *keys,
+        "known_from",
+        *[F.col(f"q{n}").alias(f"d{n}") for n in numbers],
+        *[F.max(f"q{n}").over(upto).alias(f"q{n}") for n in numbers],
+    )
+    # A day on which no pick improved leaves the state as it was.
+    improved = F.lit(False)
+    for n in numbers:
+        improved = improved | F.coalesce(F.col(f"d{n}") == F.col(f"q{n}"), F.lit(False))
+    running = best.where(improved).select(
         *keys,
         "known_from",
         F.lead("known_from").over(line).alias("known_until"),
-        *[F.max(f"q{n}").over(upto).alias(f"q{n}") for n in (1, 2, 3, 4)],
+        *[f"q{n}" for n in numbers],
     )
     slim = F.transform(
         _standalone(keys),
@@ -296,7 +308,9 @@ def point_in_time_rows(
     one date, and which quarters a decision needs is settled before any value is fetched.
     """
     require_columns(facts, FACT_COLUMNS, "facts")
-    states = filing_states(facts, first_end_year=first_end_year)
+    # Read twice below (presence, then values), so the states are written once to the shared
+    # checkpoint folder instead of being rebuilt from the facts.
+    states = stable(filing_states(facts, first_end_year=first_end_year))
     current = F.col("fiscal_year") * 4 + F.col("fiscal_quarter_number")
     asked = decisions.withColumn("quarter_index", current.cast("int"))
 
@@ -336,14 +350,7 @@ def point_in_time_rows(
             F.array(F.col("fiscal_year"), F.col("fiscal_year") - 1),
         )
     )
-    wanted = placed.select(
-        "cik",
-        "decision_key",
-        F.to_date("decision_at").alias("__on"),
-        "quarter_index",
-        "__present",
-        F.explode(years).alias("__year"),
-    )
+    wanted = placed.select("*", F.explode(years).alias("__year"))
     held = states.select(
         F.col("cik"),
         F.col("fiscal_year").cast("int").alias("__year"),
@@ -355,8 +362,11 @@ def point_in_time_rows(
     fetched = (
         wanted.join(held, ["cik", "__year"])
         .where(
-            (F.col("known_from") <= F.col("__on"))
-            & (F.col("known_until").isNull() | (F.col("__on") < F.col("known_until")))
+            (F.col("known_from") <= F.to_date("decision_at"))
+            & (
+                F.col("known_until").isNull()
+                | (F.to_date("decision_at") < F.col("known_until"))
+            )
         )
         .select("*", F.explode("quarters").alias("s"))
         .withColumn("__index", F.col("__year") * 4 + F.col("s.n"))
@@ -369,8 +379,9 @@ def point_in_time_rows(
         return F.when((F.col("concept") == concept) & rows, F.col("s")[field])
 
     concepts = [*flows, *balances]
-    gathered = fetched.groupBy("decision_key").agg(
-        F.first(F.size("__present")).alias("ttm_quarters_present"),
+    # The decision's own columns travel as grouping keys: nothing is joined back.
+    gathered = fetched.groupBy(*asked.columns).agg(
+        F.max(F.size("__present")).alias("ttm_quarters_present"),
         *[F.max(of(c, now)).alias(c) for c in concepts],
         *[F.max(of(c, now, "available_at")).alias(f"{c}_available_at") for c in concepts],
         F.max(F.when(now, F.col("s.available_at"))).alias("quarter_available_at"),
@@ -387,8 +398,7 @@ def point_in_time_rows(
         ).alias("preferred_tag_share"),
         F.avg(F.when(recent, F.col("s.is_derived").cast("double"))).alias("derived_fact_share"),
     )
-    rows = placed.drop("__present").join(gathered, "decision_key")
-    return _fill_debt(rows, concepts)
+    return _fill_debt(gathered, concepts)
 
 
 def validate_fiscal_index(frame: DataFrame) -> None:
