@@ -166,12 +166,14 @@ def final_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "selection_digest",
-    """SELECT sha256(array_to_string(list_sort(list(sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}'))), ','))
-  AS selection_sha256, CAST(count(*) AS BIGINT) AS rows FROM customer WHERE c_mktsegment = 'FURNITURE'""",
+    f"""WITH {SELECTED}
+SELECT sha256(array_to_string(list_sort(list(sha256('{{"cik":"' || cik || '","random_rank":' || random_rank || '}}'))), ','))
+  AS selection_sha256, CAST(count(*) AS BIGINT) AS rows FROM se WHERE selection_status = 'SELECTED'""",
 )
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").where("c_mktsegment = 'FURNITURE'")
-    return selection_digest(rows, ["c_custkey", "c_mktsegment"])
+    """Digest of the chosen list, whose size is the sampling target whatever the table's size."""
+    chosen = _universe(spark, sf_dir).where("selection_status = 'SELECTED'")
+    return selection_digest(chosen, ["cik", "random_rank"])
 
 
 RULES = [

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from knownat.operators.checks import require_columns
 from knownat.operators.ratios import risk_band
-from knownat.scale import running_sums
+from knownat.scale import running_sums, settle
 
 
 class ReasonRule(NamedTuple):
@@ -110,7 +110,10 @@ def reference_share_at_or_below(
         .groupBy("feature", "value")
         .agg(F.sum("__r").cast("long").alias("__r"))
     )
-    upto = running_sums(cells, ["feature"], [F.col("value")], {"__upto": F.col("__r")})
+    cells, split = settle(cells, ["feature"])
+    upto = running_sums(
+        cells, ["feature"], [F.col("value")], {"__upto": F.col("__r")}, split=split
+    )
     sizes = known.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     return (
         asked.join(upto.select("feature", "value", "__upto"), ["feature", "value"])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownat.operators.forecasting import long_series
-from knownat.scale import exact_quantiles, same_keys, with_average_rank
+from knownat.scale import exact_quantiles, same_keys, settle, with_average_rank
 
 EPSILON = 2.220446049250313e-16  # fixed value: spacing of doubles at one
 
@@ -65,11 +65,19 @@ def missing_shares(df: DataFrame, groups: Sequence[str], values: Sequence[str])
 
 def value_mix(df: DataFrame, column: str, groups: Sequence[str] = ()) -> DataFrame:
     """Counts and shares of each category; the total is taken over the counted categories."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(
+    keys = list(groups)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(
         F.count(F.lit(1)).alias("rows")
     )
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    return counts.withColumn("share", F.col("rows") / F.sum("rows").over(whole))
+    totals = counts.groupBy(*keys).agg(F.sum("rows").alias("__all"))
+    if keys:
+        placed = same_keys(counts, totals, keys, "inner")
+    else:
+        one = F.lit(1).alias("__one")
+        placed = counts.select("*", one).join(
+            F.broadcast(totals.select("*", one)), "__one"  # a single row
+        )
+    return placed.select(*keys, column, "rows", (F.col("rows") / F.col("__all")).alias("share"))
 
 
 def display_rows(
@@ -188,8 +196,11 @@ def spearman_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     both: Column = F.filter(pairs, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     long = df.select(F.explode(both).alias("p")).select("p.*")
     keys = ["feature_a", "feature_b"]
-    ranked = with_average_rank(long, keys, "x", rank="rx", size="__n")
-    ranked = with_average_rank(ranked.drop("__n"), keys, "y", rank="ry", size="__n")
+    long, split = settle(long, keys)
+    ranked = with_average_rank(long, keys, "x", rank="rx", size="__n", split=split)
+    ranked = with_average_rank(
+        ranked.drop("__n"), keys, "y", rank="ry", size="__n", split=split
+    )
     found = ranked.groupBy(*keys).agg(
         F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("complete_rows")
     )

@@ -47,12 +47,31 @@ def _limit(spark: SparkSession, key: str, default: int) -> int:
 
 
 def needs_split(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True when some group of ``keys`` is too large for a single task."""
-    spark = df.sparkSession
-    if scanned_bytes(df) <= _limit(spark, SPLIT_BYTES, DEFAULT_SPLIT_BYTES):
+    """True when some group of ``keys`` is too large for a single task.
+
+    Small scans are answered from Spark's own size estimate; otherwise one map-side counted pass
+    over the key columns decides.
+    """
+    if not _is_large(df):
         return False
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > _limit(spark, SPLIT_ROWS, DEFAULT_SPLIT_ROWS)
+    return (largest or 0) > _limit(df.sparkSession, SPLIT_ROWS, DEFAULT_SPLIT_ROWS)
+
+
+def _is_large(df: DataFrame) -> bool:
+    return scanned_bytes(df) > _limit(df.sparkSession, SPLIT_BYTES, DEFAULT_SPLIT_BYTES)
+
+
+def settle(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+    """(frame, split) for a derived frame that several primitives will read.
+
+    When its inputs are large the frame is written once to the shared checkpoint folder, so
+    counting its groups and everything after it start from there instead of recomputing it.
+    """
+    if not _is_large(df):
+        return df, False
+    kept = stable(df)
+    return kept, needs_split(kept, keys)
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -89,13 +108,18 @@ def running_sums(
     keys: Sequence[str],
     order: Sequence[Column],
     sums: Mapping[str, Column],
+    *,
+    split: bool | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` inside each group.
 
     ``order`` must be total inside a group: aggregate ties first or end it with a unique id.
+    ``split`` forces a plan; by default the size of the groups decides.
     """
     keys = list(keys)
-    if not needs_split(df, keys):
+    if split is None:
+        split = needs_split(df, keys)
+    if not split:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
     addends = {name: f"__add_{name}" for name in sums}
@@ -138,17 +162,32 @@ def running_sums(
     )
 
 
-def row_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def row_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str,
+    *,
+    split: bool | None = None,
+) -> DataFrame:
     """``row_number`` over a total order, for groups of any size."""
-    return running_sums(df, keys, order, {name: F.lit(1).cast("long")})
+    return running_sums(df, keys, order, {name: F.lit(1).cast("long")}, split=split)
 
 
 def last_known(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    value: str,
+    name: str,
+    *,
+    split: bool | None = None,
 ) -> DataFrame:
     """Latest non-null ``value`` at or before each row of the group."""
     keys = list(keys)
-    if not needs_split(df, keys):
+    if split is None:
+        split = needs_split(df, keys)
+    if not split:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(upto))
     blocked = order_blocks(df, keys, order)
@@ -181,11 +220,15 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     name: str = "quantiles",
+    *,
+    split: bool | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group as an array; nulls are ignored."""
     keys = list(keys)
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double"))
-    if not needs_split(known, keys):
+    if split is None:
+        split = needs_split(known, keys)
+    if not split:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
         return known.groupBy(*keys).agg(F.percentile(value, wanted).alias(name))
     cells = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
@@ -205,7 +248,8 @@ def weighted_quantiles(
     known = cells.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double"), F.col(weight).alias("__n")
     )
-    if not needs_split(known, keys):
+    known, split = settle(known, keys)
+    if not split:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
         return known.groupBy(*keys).agg(F.percentile(value, wanted, F.col("__n")).alias(name))
     return _quantiles_of_cells(known, keys, value, probabilities, name)
@@ -214,7 +258,7 @@ def weighted_quantiles(
 def _quantiles_of_cells(
     cells: DataFrame, keys: list[str], value: str, probabilities: Sequence[float], name: str
 ) -> DataFrame:
-    ranked = running_sums(cells, keys, [F.col(value)], {"__upto": F.col("__n")})
+    ranked = running_sums(cells, keys, [F.col(value)], {"__upto": F.col("__n")}, split=True)
     sizes = cells.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     wanted = F.array(
         *[
@@ -260,28 +304,40 @@ def _attach_all(rows: DataFrame, bounded: DataFrame) -> DataFrame:
     )
 
 
-def with_group_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Broadcast each group's median to its rows (null keys form no group)."""
+def with_group_median(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, *, split: bool | None = None
+) -> DataFrame:
+    """Give each row its group's median (null keys form no group)."""
     keys = list(keys)
+    if split is None:
+        split = needs_split(df, keys)
     grouped = F.lit(True)
     for key in keys:
         grouped = grouped & F.col(key).isNotNull()
-    if not needs_split(df, keys):
+    if not split:
         return df.withColumn(
             name, F.when(grouped, F.median(value).over(Window.partitionBy(*keys)))
         )
-    medians = exact_quantiles(df.where(grouped), keys, value, [0.5]).select(
+    medians = exact_quantiles(df.where(grouped), keys, value, [0.5], split=True).select(
         *keys, F.col("quantiles")[0].alias(name)
     )
     return df.join(medians, keys, "left")
 
 
 def with_average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, *, rank: str, size: str
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    *,
+    rank: str,
+    size: str,
+    split: bool | None = None,
 ) -> DataFrame:
     """Average-tie rank and group size over the non-null values; null rows get a null rank."""
     keys = list(keys)
-    if not needs_split(df, keys):
+    if split is None:
+        split = needs_split(df, keys)
+    if not split:
         ordered = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
         ties = Window.partitionBy(*keys, value)
         whole = Window.partitionBy(*keys)
@@ -298,7 +354,9 @@ def with_average_rank(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    ranked = running_sums(cells, keys, [F.col(value)], {"__upto": F.col("__n")}).select(
+    ranked = running_sums(
+        cells, keys, [F.col(value)], {"__upto": F.col("__n")}, split=True
+    ).select(
         *keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(rank)
     )
     sizes = df.groupBy(*keys).agg(F.count(value).alias(size))
@@ -311,12 +369,16 @@ def with_average_rank(
     )
 
 
-def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+def percent_rank_average(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, *, split: bool | None = None
+) -> DataFrame:
     """Share-of-group rank with average ties, nulls excluded, null groups left null."""
     grouped = F.lit(True)
     for key in keys:
         grouped = grouped & F.col(key).isNotNull()
-    placed = with_average_rank(df, keys, value, rank="__rank", size="__size")
+    placed = with_average_rank(
+        df, keys, value, rank="__rank", size="__size", split=split
+    )
     return placed.select(
         *df.columns, F.when(grouped, F.col("__rank") / F.col("__size")).alias(name)
     )
