@@ -25,6 +25,7 @@ from knownat.operators.audit import (
     contract_evidence,
     eligibility_audit,
     grain_check,
+    group_medians,
     leakage_audit,
     longest_runs,
     readiness,
@@ -38,7 +39,7 @@ from knownat.operators.profile import (
     time_series_diagnostics,
     value_mix,
 )
-from knownat.operators.ratios import risk_band
+from knownat.operators.ratios import modelling_eligibility, risk_band
 from knownat.sources.tables import reconcile_accessions, restrict_to_entities
 
 
@@ -498,3 +499,33 @@ def restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     _, report = restrict_to_entities(orders, ids)
     return report
+
+
+@query(
+    "median_by_year_sector",
+    f"""WITH {SQ} SELECT fiscal_year, sector, round(median(coverage), 8) AS median_coverage FROM sq GROUP BY 1, 2""",
+)
+def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = group_medians(
+        supplier_panel(spark, sf_dir), ["fiscal_year", "sector"], "coverage", "median_coverage"
+    )
+    return rounded(made, "median_coverage", digits=8)
+
+
+@query(
+    "modelling_eligibility",
+    f"""WITH {SQ}, e AS (SELECT decision_key, coverage IS NOT NULL AND income IS NOT NULL AND coalesce(interest > 30000, false) AS a,
+    period_end <= decision_at AND debt IS NOT NULL AS b FROM sq)
+SELECT decision_key, a AS company_quarter_interest_coverage_eligible, b AS company_quarter_lineage_eligible,
+  a AND b AS company_quarter_modeling_eligible FROM e""",
+)
+def eligible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supplier_panel(spark, sf_dir).withColumn("paid", F.col("interest") - 30000)
+    made = modelling_eligibility(
+        rows, coverage="coverage", operating_income="income", interest="paid",
+        source_time="period_end", decision_time="decision_at", lineage="debt",
+    )
+    return made.select(
+        "decision_key", "company_quarter_interest_coverage_eligible",
+        "company_quarter_lineage_eligible", "company_quarter_modeling_eligible",
+    )

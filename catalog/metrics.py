@@ -706,3 +706,37 @@ SELECT model, f AS review_fraction, round(cut, 6) AS threshold, CAST(tp AS BIGIN
 def evidence_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = development_evidence(_dated(spark, sf_dir), repetitions=2)["decision_value"]
     return rounded(made, "threshold", "value_per_observation")
+
+
+@query(
+    "horizon_differences",
+    f"""WITH {LB}, hv AS (SELECT cik, decision_key, deterioration_label, CASE model WHEN 'weak' THEN 2 ELSE 4 END AS horizon, probability,
+    probability >= 0.4 AS alert, CAST(decision_key % 4 + 1 AS DOUBLE) AS lead FROM lb),
+{draws_sql("hv", "cik", 20260805)},
+bx AS (SELECT rep, horizon, probability, deterioration_label, alert, lead FROM hv JOIN dm ON dm.c = hv.cik, range(times)
+  UNION ALL SELECT 0, horizon, probability, deterioration_label, alert, lead FROM hv),
+{ranking_sql("bx", "horizon, rep")},
+om AS (SELECT horizon, rep, count(*) FILTER (alert AND deterioration_label = 1) / sum(deterioration_label) AS recall,
+    count(*) FILTER (alert AND deterioration_label = 1) / count(*) FILTER (alert) AS precision,
+    count(*) FILTER (alert) / count(*) AS alert_rate, median(lead) FILTER (alert AND deterioration_label = 1) AS med FROM bx GROUP BY ALL),
+al AS (SELECT rk.rep, rk.horizon, event_prevalence, "PR_AUC", "Brier_score", recall, precision, alert_rate, med
+  FROM rk JOIN om ON om.horizon = rk.horizon AND om.rep = rk.rep),
+ln AS (SELECT rep, horizon, unnest(['event_prevalence', 'PR_AUC', 'Brier_score', 'recall', 'precision', 'alert_rate', 'median_warning_lead_quarters'])
+    AS metric, unnest([event_prevalence, "PR_AUC", "Brier_score", recall, precision, alert_rate, med]) AS v FROM al),
+df AS (SELECT rep, metric, max(v) FILTER (horizon = 2) - max(v) FILTER (horizon = 4) AS v FROM ln GROUP BY ALL)
+SELECT metric, round(max(v) FILTER (rep = 0), 6) AS difference, round(quantile_cont(v, 0.025) FILTER (rep > 0), 6) AS clustered_95pct_lower,
+  round(quantile_cont(v, 0.975) FILTER (rep > 0), 6) AS clustered_95pct_upper, CAST(count(v) FILTER (rep > 0) AS BIGINT) AS bootstrap_repetitions
+FROM df GROUP BY metric""",
+)
+def horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored_documents(spark, sf_dir).withColumns(
+        {
+            "horizon": F.when(F.col("model") == "weak", 2).otherwise(4),
+            "alert": F.col("probability") >= 0.4,
+            "warning_lead_quarters": (F.col("decision_key") % 4 + 1).cast("double"),
+        }
+    )
+    made = resample.operating_differences(
+        rows, variant="horizon", first=2, second=4, repetitions=REPS
+    )
+    return rounded(made, "difference", "clustered_95pct_lower", "clustered_95pct_upper")

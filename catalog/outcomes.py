@@ -17,8 +17,10 @@ from knownat.operators.labels import (
     episode_runs,
     event_counts,
     first_breach_lead,
+    label_edge_cases,
     label_sensitivity_summary,
     multi_component_label,
+    threshold_sensitivity,
 )
 
 HORIZONS, THRESHOLDS = (2, 4, 6), (1.0, 1.5, 2.0)
@@ -345,3 +347,44 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         labelled_panel(spark, sf_dir), "2000-01-01", embargo_quarters=4
     )
     return rows.select("decision_key", "decision_at", "label_available_at", "deterioration_label")
+
+
+# --- label audits ------------------------------------------------------------------------------
+
+RULE_GRID = [(t, d) for t in (1.0, 1.5, 2.0) for d in (0.3, 0.4, 0.5)]
+
+
+def _rule_sql(t: float, d: float) -> str:
+    return f"""SELECT entity, fiscal_year * 4 + fiscal_quarter_number AS pos, {t}::DOUBLE AS absolute_threshold,
+    {d}::DOUBLE AS relative_decline, CASE WHEN future_minimum IS NOT NULL AND coverage <> 0 THEN
+      CAST(future_minimum < {t} AND decline >= {d} AS INTEGER) END AS y FROM lq"""
+
+
+@query(
+    "label_rule_sensitivity",
+    f"""WITH {LABELLED}, lr AS ({" UNION ALL ".join(_rule_sql(t, d) for t, d in RULE_GRID)}),
+ag AS (SELECT absolute_threshold, relative_decline, entity, count(y) AS labeled, count(*) FILTER (y = 1) AS positive,
+    list_sort(coalesce(list(pos) FILTER (y = 1), [])) AS ps FROM lr GROUP BY ALL),
+st AS (SELECT *, len(list_reduce(list_transform(ps, lambda p: [p]), lambda kept, p: CASE WHEN len(kept) = 0
+    OR p[1] - kept[len(kept)] >= 4 THEN list_concat(kept, p) ELSE kept END, CAST([] AS INTEGER[]))) AS starts FROM ag)
+SELECT absolute_threshold, relative_decline, CAST(sum(labeled) AS BIGINT) AS labeled_rows, CAST(sum(positive) AS BIGINT) AS positive_rows,
+  CAST(sum(starts) AS BIGINT) AS distinct_episodes, CAST(count(*) FILTER (starts > 0) AS BIGINT) AS affected_companies,
+  round(sum(positive) / greatest(sum(labeled), 1), 6) AS row_prevalence FROM st GROUP BY 1, 2""",
+)
+def rule_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = threshold_sensitivity(
+        supplier_panel(spark, sf_dir), entity="entity", coverage="coverage"
+    )
+    return rounded(made, "row_prevalence")
+
+
+@query(
+    "label_edge_cases",
+    f"""WITH {LABELLED} SELECT CAST(count(*) FILTER (income < 0) AS BIGINT) AS negative_operating_income_rows,
+  CAST(count(*) FILTER (interest < 20000) AS BIGINT) AS invalid_interest_denominator_rows,
+  CAST(count(*) FILTER (coverage < 1.5 AND deterioration_label IS NOT NULL) AS BIGINT) AS already_below_threshold_labeled_rows,
+  CAST(count(*) FILTER (deterioration_label IS NULL) AS BIGINT) AS missing_future_window_rows FROM lq""",
+)
+def edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled_panel(spark, sf_dir).withColumn("bad", F.col("interest") < 20000)
+    return label_edge_cases(rows, operating_income="income", invalid="bad")

@@ -55,27 +55,28 @@ def _future_minimum(entity: str, time: str, value: str, horizon: int) -> tuple[C
 
 def deterioration_labels(
     df: DataFrame,
-    grid: Mapping[str, tuple[int, float]],
+    grid: Mapping[str, tuple],
     *,
     entity: str = "cik",
     time: str = "period_end",
     coverage: str = COVERAGE,
     relative: float = 0.40,
 ) -> DataFrame:
-    """One 0/1/NULL label column per ``{name: (horizon, threshold)}`` entry.
+    """One 0/1/NULL label column per ``{name: (horizon, threshold[, decline])}`` entry.
 
     All horizons share one sort of the panel; thresholds are columns, so a grid costs no rows.
     """
     require_columns(df, [entity, time, coverage], "label input")
-    if any(h < 1 for h, _ in grid.values()) or not 0 < relative < 1:
+    cells = {name: (*spec, relative)[:3] for name, spec in grid.items()}
+    if any(h < 1 or not 0 < d < 1 for h, _, d in cells.values()):
         raise ValueError("horizon must be positive and the decline between 0 and 1")
-    rows = _with_continuity(df, entity, time, [h for h, _ in grid.values()])
+    rows = _with_continuity(df, entity, time, [h for h, _, _ in cells.values()])
     current = F.col(coverage).cast("double")
     added = {}
-    for name, (horizon, threshold) in grid.items():
+    for name, (horizon, threshold, decline) in cells.items():
         lowest, known = _future_minimum(entity, time, coverage, horizon)
         valid = F.col(f"__cont{horizon}") & known & current.isNotNull() & (current != 0)
-        breach = (lowest < threshold) & (relative_decline(current, lowest) >= relative)
+        breach = (lowest < threshold) & (relative_decline(current, lowest) >= decline)
         added[name] = F.when(valid, breach.cast("int"))
     rows = rows.withColumns(added)
     return rows.drop(*[c for c in rows.columns if c.startswith("__cont")])
@@ -164,14 +165,7 @@ def cooldown_starts(
     positives = F.sort_array(
         F.collect_set(F.when(F.col(label) == 1, position)).over(Window.partitionBy(entity))
     )
-    starts = F.aggregate(
-        positives,
-        F.array().cast("array<int>"),
-        lambda kept, p: F.when(
-            (F.size(kept) == 0) | (p - F.coalesce(F.try_element_at(kept, F.lit(-1)), p) >= cooldown),
-            F.concat(kept, F.array(p)),
-        ).otherwise(kept),
-    )
+    starts = _greedy_starts(positives, cooldown)
     staged = df.withColumn("__starts", starts)
     return staged.withColumn(
         name, flag(F.col(label) == 1) & F.array_contains("__starts", position)
@@ -366,3 +360,89 @@ def event_counts(
         F.countDistinct(F.when(F.col(start), F.col(entity))).alias("affected_companies"),
         (positive / F.greatest(labelled, F.lit(1))).alias("row_prevalence"),
     )
+
+
+def threshold_sensitivity(
+    df: DataFrame,
+    thresholds: Sequence[float] = (1.0, 1.5, 2.0),
+    declines: Sequence[float] = (0.30, 0.40, 0.50),
+    *,
+    entity: str = "cik",
+    time: str = "period_end",
+    coverage: str = COVERAGE,
+    horizon: int = 4,
+    cooldown: int = 4,
+) -> DataFrame:
+    """Event counts of every (threshold, decline) rule with greedy cooldown episodes."""
+    cells = {
+        f"__c{i}": (horizon, t, d) for i, (t, d) in enumerate(product(thresholds, declines))
+    }
+    wide = deterioration_labels(df, cells, entity=entity, time=time, coverage=coverage)
+    position = panel_position(wide, time)
+    long = wide.select(
+        entity,
+        time,
+        position.alias("__position"),
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(float(t)).alias("absolute_threshold"),
+                        F.lit(float(d)).alias("relative_decline"),
+                        F.col(name).alias("y"),
+                    )
+                    for name, (_, t, d) in cells.items()
+                ]
+            )
+        ).alias("r"),
+    ).select(entity, "__position", "r.*")
+    rules = ["absolute_threshold", "relative_decline"]
+    # One row per rule and entity: its labels folded over positions no longer than the calendar.
+    folded = long.groupBy(*rules, entity).agg(
+        F.count("y").alias("labeled"),
+        F.count(F.when(F.col("y") == 1, 1)).alias("positive"),
+        F.sort_array(F.collect_set(F.when(F.col("y") == 1, F.col("__position")))).alias("at"),
+    )
+    starts = F.size(_greedy_starts("at", cooldown))
+    return folded.withColumn("starts", starts).groupBy(*rules).agg(
+        F.sum("labeled").alias("labeled_rows"),
+        F.sum("positive").alias("positive_rows"),
+        F.sum(F.col("starts").cast("long")).alias("distinct_episodes"),
+        F.count(F.when(F.col("starts") > 0, 1)).alias("affected_companies"),
+        (F.sum("positive") / F.greatest(F.sum("labeled"), F.lit(1))).alias("row_prevalence"),
+    )
+
+
+def _greedy_starts(positions: str | Column, cooldown: int) -> Column:
+    """Sorted positions thinned so that kept ones are at least ``cooldown`` apart."""
+    return F.aggregate(
+        positions,
+        F.array().cast("array<int>"),
+        lambda kept, p: F.when(
+            (F.size(kept) == 0)
+            | (p - F.coalesce(F.try_element_at(kept, F.lit(-1)), p) >= cooldown),
+            F.concat(kept, F.array(p)),
+        ).otherwise(kept),
+    )
+
+
+def label_edge_cases(
+    df: DataFrame,
+    *,
+    operating_income: str = "operating_income_ttm",
+    invalid: str = "interest_denominator_invalid",
+    below: str = "already_below_coverage_threshold",
+    label: str = "deterioration_label",
+) -> DataFrame:
+    """One line counting the rows a reviewer of the label should know about."""
+    y = F.col(label)
+
+    def tally(test: Column) -> Column:
+        return F.count(F.when(test, 1))
+
+    return df.agg(
+        tally(F.col(operating_income) < 0).alias("negative_operating_income_rows"),
+        tally(F.col(invalid)).alias("invalid_interest_denominator_rows"),
+        tally(F.col(below) & y.isNotNull()).alias("already_below_threshold_labeled_rows"),
+        tally(y.isNull()).alias("missing_future_window_rows"),
+    )

@@ -8,11 +8,16 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str | None = None, name: str = "knownat") -> SparkSession:
+def local_session(
+    cpus: int | str | None = None, name: str = "knownat", **settings: str
+) -> SparkSession:
     """A local session; on a cluster the caller's own session is used as it is."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder
+    for key, value in settings.items():
+        builder = builder.config(key.replace("__", "."), value)
     return configure(
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,7 +14,8 @@ from knownat.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests")
+    home = tempfile.mkdtemp(prefix="spark-")
+    session = local_session(4, "tests", spark__sql__warehouse__dir=home)
     # Frames made in tests have no known size; treat them as small unless a test says otherwise.
     session.conf.set(scale.SPLIT_BYTES, str(1 << 62))
     yield session
