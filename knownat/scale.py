@@ -28,9 +28,8 @@ SPLIT_ROWS = "knownat.split.rows"
 BLOCK = "__block"
 DEFAULT_SPLIT_BYTES = 256 << 20
 DEFAULT_SPLIT_ROWS = 4_000_000
-BLOCK_BYTES = 64 << 20
+BLOCK_ROWS = 1_000_000
 MOST_BLOCKS = 50_000
-UNKNOWN_BYTES = 1 << 58  # Spark reports a huge default for relations it cannot size
 
 
 def scanned_bytes(df: DataFrame) -> int:
@@ -82,11 +81,8 @@ def stable(df: DataFrame) -> DataFrame:
 
 def order_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add ``__block``: contiguous, similarly sized ranges of (keys, order)."""
-    spark = df.sparkSession
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = scanned_bytes(df)
-    by_size = math.ceil(size / BLOCK_BYTES) if size < UNKNOWN_BYTES else 0
-    blocks = max(parallel, min(by_size, MOST_BLOCKS))
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(parallel, min(math.ceil(df.count() / BLOCK_ROWS), MOST_BLOCKS))
     ranged = df.repartitionByRange(blocks, *[F.col(k) for k in keys], *order)
     return stable(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
@@ -231,7 +227,8 @@ def exact_quantiles(
     if not split:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
         return known.groupBy(*keys).agg(F.percentile(value, wanted).alias(name))
-    cells = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    # The cells are ranked and summed below: write them once.
+    cells = stable(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")))
     return _quantiles_of_cells(cells, keys, value, probabilities, name)
 
 
@@ -349,7 +346,7 @@ def with_average_rank(
             ).alias(rank),
             F.count(value).over(whole).alias(size),
         )
-    cells = (
+    cells = stable(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__n"))
@@ -359,7 +356,7 @@ def with_average_rank(
     ).select(
         *keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(rank)
     )
-    sizes = df.groupBy(*keys).agg(F.count(value).alias(size))
+    sizes = cells.groupBy(*keys).agg(F.sum("__n").alias(size))
     placed = same_keys(df, ranked, [*keys, value], "left")
     if keys:
         return same_keys(placed, sizes, keys, "left")
