@@ -87,10 +87,10 @@ MACRO_PRIORITIES = {
 def _macro_sql(priority: str, how: str) -> str:
     chosen = f"CASE WHEN series_id = '{priority}' THEN value END"
     if how == "mean":
-        return f'round(avg({chosen}), 8) AS "{priority}"'
+        return f'round(avg({chosen}), 10) AS "{priority}"'
     return (
         f"CASE WHEN max(series_id = '{priority}') THEN "
-        f'round(coalesce(sum({chosen}), 0), 2) END AS "{priority}"'
+        f'round(coalesce(sum({chosen}), 0), 7) END AS "{priority}"'
     )
 
 
@@ -119,7 +119,7 @@ def vintage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_panel(spark, sf_dir).select("decision_key", "period_end", "decision_at")
     made = vintage_window_aggregate(rows, known, MACRO_PRIORITIES)
     return made.withColumns(
-        {s: F.round(F.col(s), 8 if how == "mean" else 2) for s, how in MACRO_PRIORITIES.items()}
+        {s: F.round(F.col(s), 10 if how == "mean" else 7) for s, how in MACRO_PRIORITIES.items()}
     )
 
 

@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from catalog.knowledge import LABELLED, labelled_panel
 from catalog.registry import query
-from catalog.roles import HASH, LB, SQ, rounded, scored_documents, supplier_panel, table
+from catalog.roles import HASH, LB, SQ, scored_documents, supplier_panel, table
+from catalog.roles import rounded as rounded_to
 from knownat.operators import drift, ensembles, resample, scoring
 from knownat.operators.explain import ReasonRule, reason_codes
 from knownat.operators.labels import episode_runs
 from knownat.plans.evidence import development_evidence, sliced_metrics
 
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 10) -> DataFrame:
+    """Shares of counts often end on a five; ten digits keep both engines off the tie."""
+    return rounded_to(df, *names, digits=digits)
+
+
 # Supplier-panel scores: a rational squash of current coverage, tied by rounding.
 SQUASH = "round(0.5 - 0.5 * coverage / (abs(coverage) + 4.0), 3)"
 
@@ -55,8 +63,8 @@ rk AS (SELECT {k}, count(*) AS observations, sum(y) AS events, avg(y) AS event_p
 
 
 RANK_OUT = """CAST(observations AS BIGINT) AS observations, CAST(events AS BIGINT) AS events,
-  round(event_prevalence, 6) AS event_prevalence, round("PR_AUC", 6) AS "PR_AUC", round("ROC_AUC", 6) AS "ROC_AUC",
-  round("Brier_score", 6) AS "Brier_score" """
+  round(event_prevalence, 10) AS event_prevalence, round("PR_AUC", 10) AS "PR_AUC", round("ROC_AUC", 10) AS "ROC_AUC",
+  round("Brier_score", 10) AS "Brier_score" """
 RANKED = ("event_prevalence", "PR_AUC", "ROC_AUC", "Brier_score")
 
 
@@ -97,10 +105,10 @@ def confusion_sql(source: str, keys: str, alert: str, name: str = "cf") -> str:
     f"""WITH {LB}, x AS (SELECT *, 'Overall' AS slice FROM lb UNION ALL SELECT *, sector FROM lb),
 {confusion_sql("x", "model, slice", "probability >= 0.45")}
 SELECT model, slice, CAST(n AS BIGINT) AS observations, CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive,
-  CAST(fn AS BIGINT) AS false_negative, CAST(tn AS BIGINT) AS true_negative, round(recall, 6) AS recall,
-  round(precision, 6) AS precision, round(f1, 6) AS "F1", round((tp + tn) / n, 6) AS accuracy,
-  round((recall + spec) / 2, 6) AS balanced_accuracy, round(alert_rate, 6) AS alert_rate,
-  round(false_alert_rate, 6) AS false_alert_rate FROM cf""",
+  CAST(fn AS BIGINT) AS false_negative, CAST(tn AS BIGINT) AS true_negative, round(recall, 10) AS recall,
+  round(precision, 10) AS precision, round(f1, 10) AS "F1", round((tp + tn) / n, 10) AS accuracy,
+  round((recall + spec) / 2, 10) AS balanced_accuracy, round(alert_rate, 10) AS alert_rate,
+  round(false_alert_rate, 10) AS false_alert_rate FROM cf""",
 )
 def threshold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scoring.with_overall(scored_documents(spark, sf_dir), {"sector": ""})
@@ -126,9 +134,9 @@ FR = "[0.05::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE]"
     f"""WITH {LB}, {queue_sql("lb", "model", "probability DESC, decision_key", FR)}
 SELECT model, f AS review_fraction, CAST(max(k) AS BIGINT) AS companies_quarters_reviewed,
   CAST(sum(deterioration_label) FILTER (pos <= k) AS BIGINT) AS events_captured,
-  round(sum(deterioration_label) FILTER (pos <= k) / max(ev), 6) AS event_capture_rate,
-  round(sum(deterioration_label) FILTER (pos <= k) / max(k), 6) AS precision,
-  round((sum(deterioration_label) FILTER (pos <= k) / max(k)) / (max(ev) / max(n)), 6) AS lift_over_random
+  round(sum(deterioration_label) FILTER (pos <= k) / max(ev), 10) AS event_capture_rate,
+  round(sum(deterioration_label) FILTER (pos <= k) / max(k), 10) AS precision,
+  round((sum(deterioration_label) FILTER (pos <= k) / max(k)) / (max(ev) / max(n)), 10) AS lift_over_random
 FROM qf GROUP BY model, f""",
 )
 def review(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +159,7 @@ ep AS (SELECT *, CASE WHEN deterioration_label = 1 THEN cik || '|episode_' || su
 SELECT sector, f AS review_fraction, CAST(max(k) AS BIGINT) AS company_quarters_reviewed,
   CAST(count(DISTINCT episode) AS BIGINT) AS distinct_episodes,
   CAST(count(DISTINCT episode) FILTER (pos <= k) AS BIGINT) AS episodes_captured,
-  round(count(DISTINCT episode) FILTER (pos <= k) / count(DISTINCT episode), 6) AS episode_capture_rate
+  round(count(DISTINCT episode) FILTER (pos <= k) / count(DISTINCT episode), 10) AS episode_capture_rate
 FROM qf GROUP BY sector, f""",
 )
 def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +172,7 @@ def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {LB}, b AS (SELECT model, sector, probability AS p, deterioration_label AS y,
     {" + ".join(f"CAST(probability >= {i} * 0.1::DOUBLE AS INTEGER)" for i in range(1, 10))} AS bin FROM lb),
 g AS (SELECT model, sector, bin, count(*) AS n, avg(y) AS o, avg(p) AS e FROM b GROUP BY ALL)
-SELECT model, sector, round(sum(n * abs(o - e)) / sum(n), 6) AS calibration_error FROM g GROUP BY 1, 2""",
+SELECT model, sector, round(sum(n * abs(o - e)) / sum(n), 10) AS calibration_error FROM g GROUP BY 1, 2""",
 )
 def ece(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["model", "sector"]
@@ -182,7 +190,7 @@ i AS (SELECT sector, list_sort(ed)[2:len(ed) - 1] AS ed FROM e),
 b AS (SELECT sector, probability AS p, deterioration_label AS y,
     len(list_filter(ed, lambda x: x < probability)) AS bin FROM pb JOIN i USING (sector)),
 g AS (SELECT sector, bin, count(*) AS n, avg(y) AS o, avg(p) AS m FROM b GROUP BY ALL)
-SELECT sector, round(sum(n * abs(o - m)) / sum(n), 6) AS calibration_error FROM g GROUP BY 1""",
+SELECT sector, round(sum(n * abs(o - m)) / sum(n), 10) AS calibration_error FROM g GROUP BY 1""",
 )
 def ece_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = scoring.score_cells(panel_scores(spark, sf_dir), ["sector"])
@@ -198,8 +206,8 @@ t AS (SELECT model, sector, count(*) AS nn, avg(y) AS base, avg((p - y) * (p - y
 g AS (SELECT model, sector, bin, count(*) AS n, avg(y) AS o, avg(p) AS m FROM b GROUP BY ALL),
 d AS (SELECT model, sector, max(brier) AS brier, sum(n / nn * (m - o) * (m - o)) AS rel, sum(n / nn * (o - base) * (o - base)) AS res,
     max(base * (1 - base)) AS unc FROM g JOIN t USING (model, sector) GROUP BY ALL)
-SELECT model, sector, round(brier, 6) AS "Brier_score", round(rel, 6) AS reliability, round(res, 6) AS resolution,
-  round(unc, 6) AS uncertainty, round(rel - res + unc, 6) AS decomposition_approximation FROM d""",
+SELECT model, sector, round(brier, 10) AS "Brier_score", round(rel, 10) AS reliability, round(res, 10) AS resolution,
+  round(unc, 10) AS uncertainty, round(rel - res + unc, 10) AS decomposition_approximation FROM d""",
 )
 def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["model", "sector"]
@@ -214,7 +222,7 @@ def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     "decision_value",
     f"""WITH {LB}, {confusion_sql("lb", "model, sector", "probability >= 0.4")}
 SELECT model, sector, CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive, CAST(fn AS BIGINT) AS false_negative,
-  CAST(0.5 * tp - 1.0 * fp - 5.0 * fn AS DOUBLE) AS net_value, round((0.5 * tp - 1.0 * fp - 5.0 * fn) / n, 6) AS value_per_observation
+  CAST(0.5 * tp - 1.0 * fp - 5.0 * fn AS DOUBLE) AS net_value, round((0.5 * tp - 1.0 * fp - 5.0 * fn) / n, 10) AS value_per_observation
 FROM cf""",
 )
 def value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +246,7 @@ c AS (SELECT e.model, t, count(*) AS n, count(*) FILTER (probability >= t) AS a,
   FROM lb JOIN e USING (model) GROUP BY ALL),
 s AS (SELECT model, t, 5 * (tp / a) * (tp / pos) / greatest(4 * (tp / a) + tp / pos, 2.220446049250313e-16) AS f2
   FROM c WHERE a > 0 AND a / n <= 0.35)
-SELECT model, round(t, 6) AS threshold, round(f2, 6) AS f2 FROM s
+SELECT model, round(t, 10) AS threshold, round(f2, 10) AS f2 FROM s
 QUALIFY row_number() OVER (PARTITION BY model ORDER BY f2 DESC, t) = 1""",
 )
 def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,8 +269,8 @@ rt AS (SELECT DISTINCT model, sector, target, p, a, tp, ev, n FROM rc,
 @query(
     "recall_first_threshold",
     f"""WITH {LB}, {RECALL}
-SELECT model, sector, target AS required_recall, p AS threshold, round(tp / ev, 6) AS recall, round(a / n, 6) AS alert_rate,
-  round(tp / a, 6) AS precision FROM rt""",
+SELECT model, sector, target AS required_recall, p AS threshold, round(tp / ev, 10) AS recall, round(a / n, 10) AS alert_rate,
+  round(tp / a, 10) AS precision FROM rt""",
 )
 def recall_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = scoring.score_cells(scored_documents(spark, sf_dir), ["model", "sector"])
@@ -278,8 +286,8 @@ def recall_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "recall_first_policy",
     f"""WITH {LB}, {RECALL}
-SELECT model, target AS required_recall, round(sum(a) / sum(n), 6) AS alert_rate, round(sum(tp) / sum(a), 6) AS precision,
-  round(sum(tp) / sum(ev), 6) AS overall_recall, round(min(tp / ev), 6) AS minimum_sector_recall FROM rt GROUP BY 1, 2""",
+SELECT model, target AS required_recall, round(sum(a) / sum(n), 10) AS alert_rate, round(sum(tp) / sum(a), 10) AS precision,
+  round(sum(tp) / sum(ev), 10) AS overall_recall, round(min(tp / ev), 10) AS minimum_sector_recall FROM rt GROUP BY 1, 2""",
 )
 def recall_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = scoring.score_cells(scored_documents(spark, sf_dir), ["model", "sector"])
@@ -304,10 +312,10 @@ mm AS (SELECT model, ro."ROC_AUC", ro."PR_AUC", ro."Brier_score", (tp + fp) / n
 
 @query(
     "model_metrics",
-    f"""WITH {MODELS} SELECT model, round("ROC_AUC", 6) AS "ROC_AUC", round("PR_AUC", 6) AS "PR_AUC",
-  round("Brier_score", 6) AS "Brier_score", round(alert_rate, 6) AS alert_rate, round(precision, 6) AS precision,
-  round(recall, 6) AS recall, round(f1, 6) AS "F1", round(accuracy, 6) AS accuracy, round(balanced, 6) AS balanced_accuracy,
-  round(msr, 6) AS minimum_sector_recall, round(weakest, 6) AS "minimum_sector_ROC_AUC" FROM mm""",
+    f"""WITH {MODELS} SELECT model, round("ROC_AUC", 10) AS "ROC_AUC", round("PR_AUC", 10) AS "PR_AUC",
+  round("Brier_score", 10) AS "Brier_score", round(alert_rate, 10) AS alert_rate, round(precision, 10) AS precision,
+  round(recall, 10) AS recall, round(f1, 10) AS "F1", round(accuracy, 10) AS accuracy, round(balanced, 10) AS balanced_accuracy,
+  round(msr, 10) AS minimum_sector_recall, round(weakest, 10) AS "minimum_sector_ROC_AUC" FROM mm""",
 )
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = scoring.model_metrics(scored_documents(spark, sf_dir))
@@ -320,7 +328,7 @@ def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "champion_choice",
-    f"""WITH {MODELS} SELECT model, round("ROC_AUC", 6) AS "ROC_AUC" FROM mm
+    f"""WITH {MODELS} SELECT model, round("ROC_AUC", 10) AS "ROC_AUC" FROM mm
 ORDER BY coalesce("PR_AUC" > 0.412, false) DESC, mm."ROC_AUC" DESC, mm."PR_AUC" DESC, alert_rate, model LIMIT 1""",
 )
 def champion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,9 +365,9 @@ fin AS (SELECT model, ra."PR_AUC" AS pr, ra."Brier_score" AS br, recall, precisi
     (SELECT stddev_pop("PR_AUC") FROM rf WHERE rf.model = ra.model) AS fs,
     (SELECT stddev_pop("PR_AUC") FROM rs WHERE rs.model = ra.model) AS ss
   FROM ra JOIN cf USING (model) JOIN li USING (model) JOIN cal USING (model))
-SELECT model, round(pr, 6) AS "PR_AUC", round(br, 6) AS "Brier_score", round(recall, 6) AS recall, round(precision, 6) AS precision,
-  round(alert_rate, 6) AS alert_rate, round(false_alert_rate, 6) AS false_alert_rate, round(lift, 6) AS top_decile_lift,
-  round(err, 6) AS calibration_error, round(fs, 6) AS fold_pr_auc_std, round(ss, 6) AS sector_pr_auc_std,
+SELECT model, round(pr, 10) AS "PR_AUC", round(br, 10) AS "Brier_score", round(recall, 10) AS recall, round(precision, 10) AS precision,
+  round(alert_rate, 10) AS alert_rate, round(false_alert_rate, 10) AS false_alert_rate, round(lift, 10) AS top_decile_lift,
+  round(err, 10) AS calibration_error, round(fs, 10) AS fold_pr_auc_std, round(ss, 10) AS sector_pr_auc_std,
   CAST(row_number() OVER (ORDER BY pr DESC, br, ss, fs, model) AS BIGINT) AS rank,
   row_number() OVER (ORDER BY pr DESC, br, ss, fs, model) = 1 AS selected FROM fin""",
 )
@@ -378,9 +386,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT lb.*, cut, 'Overall' AS slice FROM lb JOIN mt USING (model) UNION ALL SELECT lb.*, cut, sector FROM lb JOIN mt USING (model)),
 {ranking_sql("x", "model, slice")},
 {confusion_sql("x", "model, slice", "probability >= cut")}
-SELECT model, slice, CAST(observations AS BIGINT) AS observations, round("PR_AUC", 6) AS "PR_AUC", round("Brier_score", 6) AS "Brier_score",
-  round(recall, 6) AS recall, round(precision, 6) AS precision, round(alert_rate, 6) AS alert_rate,
-  round(false_alert_rate, 6) AS false_alert_rate FROM rk JOIN cf USING (model, slice)""",
+SELECT model, slice, CAST(observations AS BIGINT) AS observations, round("PR_AUC", 10) AS "PR_AUC", round("Brier_score", 10) AS "Brier_score",
+  round(recall, 10) AS recall, round(precision, 10) AS precision, round(alert_rate, 10) AS alert_rate,
+  round(false_alert_rate, 10) AS false_alert_rate FROM rk JOIN cf USING (model, slice)""",
 )
 def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sliced_metrics(scored_documents(spark, sf_dir))
@@ -428,8 +436,8 @@ s AS (SELECT feature, bin, greatest(count(*) FILTER (was) / max(bw), 1e-6) AS r,
 p AS (SELECT feature, sum((c - r) * ln(c / r)) AS psi FROM s GROUP BY feature),
 z AS (SELECT feature, psi, rm, cm, CASE WHEN psi >= 0.25 THEN 'escalation' WHEN psi >= 0.1 OR cm - rm >= 0.05 THEN 'warning'
     ELSE 'normal' END AS severity FROM p JOIN t USING (feature))
-SELECT feature, round(psi, 6) AS population_stability_index, round(rm, 6) AS reference_missing_rate,
-  round(cm, 6) AS current_missing_rate, round(cm - rm, 6) AS missingness_change, severity,
+SELECT feature, round(psi, 10) AS population_stability_index, round(rm, 10) AS reference_missing_rate,
+  round(cm, 10) AS current_missing_rate, round(cm - rm, 10) AS missingness_change, severity,
   CASE WHEN severity <> 'normal' THEN 'investigate_before_use' ELSE 'continue_monitoring' END AS action FROM z""",
 )
 def psi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,8 +454,8 @@ def psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH o AS (SELECT o_orderdate < TIMESTAMP '1999-01-01' AS was, CASE WHEN o_orderkey % 11 = 0 AND o_orderdate >= TIMESTAMP '1999-01-01'
     THEN 'NEW' ELSE o_orderpriority END AS c FROM orders),
 g AS (SELECT c, count(*) FILTER (was) AS w, count(*) FILTER (NOT was) AS n FROM o GROUP BY c)
-SELECT c AS category, round(w / sum(w) OVER (), 6) AS reference_share, round(n / sum(n) OVER (), 6) AS current_share,
-  round(abs(n / sum(n) OVER () - w / sum(w) OVER ()), 6) AS absolute_change FROM g""",
+SELECT c AS category, round(w / sum(w) OVER (), 10) AS reference_share, round(n / sum(n) OVER (), 10) AS current_share,
+  round(abs(n / sum(n) OVER () - w / sum(w) OVER ()), 10) AS absolute_change FROM g""",
 )
 def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = F.lit("1999-01-01").cast("timestamp")
@@ -475,7 +483,7 @@ v AS (SELECT 'source_freshness' AS monitor, CAST(DATE '2001-12-31' - max(decisio
   UNION ALL SELECT 'largest_sector_mix_change', v FROM mx UNION ALL SELECT 'matured_event_rate', er FROM a
   UNION ALL SELECT 'ranking_PR_AUC', "PR_AUC" FROM rk UNION ALL SELECT 'calibration_error', gap FROM a
   UNION ALL SELECT 'alert_rate', al FROM a)
-SELECT monitor, round(value, 6) AS value, CASE monitor WHEN 'source_freshness' THEN CASE WHEN value < 0 THEN 'failure' ELSE 'normal' END
+SELECT monitor, round(value, 10) AS value, CASE monitor WHEN 'source_freshness' THEN CASE WHEN value < 0 THEN 'failure' ELSE 'normal' END
   WHEN 'largest_sector_mix_change' THEN CASE WHEN value >= 0.05 THEN 'warning' ELSE 'normal' END
   WHEN 'matured_event_rate' THEN 'diagnostic' WHEN 'ranking_PR_AUC' THEN 'development_only'
   WHEN 'calibration_error' THEN CASE WHEN value >= 0.05 THEN 'warning' ELSE 'normal' END
@@ -515,8 +523,8 @@ def _share_sql(feature: str, position: int, direction: str) -> str:
 sc AS (SELECT * FROM sq WHERE decision_at >= DATE '1999-01-01'),
 a AS ({" UNION ALL ".join(_share_sql(r.feature, i, r.direction) for i, r in enumerate(RULES))}),
 b AS (SELECT *, row_number() OVER (PARTITION BY decision_key ORDER BY severity DESC, position) AS rn FROM a WHERE severity >= 0.75)
-SELECT decision_key, CAST(rn AS INTEGER) AS reason_rank, feature, round(value, 6) AS value,
-  round(share, 6) AS development_percentile, round(severity, 6) AS severity FROM b WHERE rn <= 3""",
+SELECT decision_key, CAST(rn AS INTEGER) AS reason_rank, feature, round(value, 10) AS value,
+  round(share, 10) AS development_percentile, round(severity, 10) AS severity FROM b WHERE rn <= 3""",
 )
 def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_panel(spark, sf_dir)
@@ -551,9 +559,9 @@ ENSEMBLE = f"""{LB}, en AS (SELECT *, 'fold_' || decision_key % 3 AS fold_id FRO
     f"""WITH {ENSEMBLE},
 r AS (SELECT decision_key, fold_id, model, (rank() OVER (PARTITION BY fold_id, model ORDER BY probability)
     + (count(*) OVER (PARTITION BY fold_id, model, probability) - 1) / 2.0) / count(*) OVER (PARTITION BY fold_id, model) AS pr FROM en)
-SELECT decision_key, 'ensemble_simple_average' AS model, round(avg(probability), 6) AS probability FROM en GROUP BY 1
-UNION ALL SELECT decision_key, 'ensemble_rank_average', round(avg(pr), 6) FROM r GROUP BY 1
-UNION ALL SELECT decision_key, 'ensemble_fixed_blend', round(sum(CASE model WHEN 'strong' THEN 0.7 ELSE 0.3 END * probability), 6)
+SELECT decision_key, 'ensemble_simple_average' AS model, round(avg(probability), 10) AS probability FROM en GROUP BY 1
+UNION ALL SELECT decision_key, 'ensemble_rank_average', round(avg(pr), 10) FROM r GROUP BY 1
+UNION ALL SELECT decision_key, 'ensemble_fixed_blend', round(sum(CASE model WHEN 'strong' THEN 0.7 ELSE 0.3 END * probability), 10)
   FROM en GROUP BY 1""",
 )
 def blends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -582,11 +590,11 @@ pa AS (SELECT 'fold_' || f AS fold_id, model, sum(roc * pow(0.8, f - 1 - CAST(ri
 pe AS (SELECT *, greatest(roc - 0.5, 0.001) AS ev FROM pa),
 ad AS (SELECT fold_id, model, 0.5 * ev / sum(ev) OVER (PARTITION BY fold_id) + 0.5 / count(*) OVER (PARTITION BY fold_id) AS weight FROM pe),
 tp AS (SELECT fold_id, model, 1.0 AS weight FROM e QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY roc DESC, model) = 1)
-SELECT decision_key, 'ensemble_static_weighted' AS model, round(sum(probability * weight) / sum(weight), 6) AS probability
+SELECT decision_key, 'ensemble_static_weighted' AS model, round(sum(probability * weight) / sum(weight), 10) AS probability
   FROM en JOIN st USING (fold_id, model) GROUP BY 1
-UNION ALL SELECT decision_key, 'ensemble_adaptive_weighted', round(sum(probability * weight) / sum(weight), 6)
+UNION ALL SELECT decision_key, 'ensemble_adaptive_weighted', round(sum(probability * weight) / sum(weight), 10)
   FROM en JOIN ad USING (fold_id, model) GROUP BY 1
-UNION ALL SELECT decision_key, 'ensemble_inner_winner', round(sum(probability * weight) / sum(weight), 6)
+UNION ALL SELECT decision_key, 'ensemble_inner_winner', round(sum(probability * weight) / sum(weight), 10)
   FROM en JOIN tp USING (fold_id, model) GROUP BY 1""",
 )
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -636,7 +644,7 @@ dr AS (SELECT rep, CAST(least(floor({u} * size) + 1, size) AS BIGINT) AS pick FR
 dm AS (SELECT rep, cl.c AS c, count(*) AS times FROM dr JOIN cl ON cl.i = dr.pick GROUP BY ALL)"""
 
 
-INTERVAL = """round(avg(v), 6) AS {c}, round(quantile_cont(v, 0.025), 6) AS {lo}, round(quantile_cont(v, 0.975), 6) AS {hi}"""
+INTERVAL = """round(avg(v), 10) AS {c}, round(quantile_cont(v, 0.025), 10) AS {lo}, round(quantile_cont(v, 0.975), 10) AS {hi}"""
 
 
 @query(
@@ -669,7 +677,7 @@ ml AS (SELECT rep, side, 'PR_AUC' AS metric, "PR_AUC" AS v FROM rk UNION ALL SEL
   UNION ALL SELECT rep, side, 'Brier_score', "Brier_score" FROM rk),
 df AS (SELECT rep, metric, max(v) FILTER (side = 'c') - max(v) FILTER (side = 'b') AS v FROM ml GROUP BY ALL)
 SELECT metric, {INTERVAL.format(c="challenger_minus_baseline", lo="lower_95", hi="upper_95")},
-  round(avg(CASE WHEN metric = 'Brier_score' THEN CAST(v < 0 AS DOUBLE) ELSE CAST(v > 0 AS DOUBLE) END), 6)
+  round(avg(CASE WHEN metric = 'Brier_score' THEN CAST(v < 0 AS DOUBLE) ELSE CAST(v > 0 AS DOUBLE) END), 10)
     AS probability_challenger_better, CAST(count(v) AS BIGINT) AS valid_repetitions
 FROM df WHERE v IS NOT NULL GROUP BY metric""",
 )
@@ -699,9 +707,9 @@ def evidence_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {LB}, ct AS (SELECT model, unnest({FR}) AS f, unnest(quantile_cont(probability, [0.95, 0.9, 0.8])) AS cut FROM lb GROUP BY model),
 vj AS (SELECT lb.*, f, cut FROM lb JOIN ct USING (model)),
 {confusion_sql("vj", "model, f, cut", "probability >= cut")}
-SELECT model, f AS review_fraction, round(cut, 6) AS threshold, CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive,
+SELECT model, f AS review_fraction, round(cut, 10) AS threshold, CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive,
   CAST(fn AS BIGINT) AS false_negative, CAST(0.0 * tp - 1.0 * fp - 5.0 * fn AS DOUBLE) AS net_value,
-  round((0.0 * tp - 1.0 * fp - 5.0 * fn) / n, 6) AS value_per_observation FROM cf""",
+  round((0.0 * tp - 1.0 * fp - 5.0 * fn) / n, 10) AS value_per_observation FROM cf""",
 )
 def evidence_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = development_evidence(_dated(spark, sf_dir), repetitions=2)["decision_value"]
@@ -724,8 +732,8 @@ al AS (SELECT rk.rep, rk.horizon, event_prevalence, "PR_AUC", "Brier_score", rec
 ln AS (SELECT rep, horizon, unnest(['event_prevalence', 'PR_AUC', 'Brier_score', 'recall', 'precision', 'alert_rate', 'median_warning_lead_quarters'])
     AS metric, unnest([event_prevalence, "PR_AUC", "Brier_score", recall, precision, alert_rate, med]) AS v FROM al),
 df AS (SELECT rep, metric, max(v) FILTER (horizon = 2) - max(v) FILTER (horizon = 4) AS v FROM ln GROUP BY ALL)
-SELECT metric, round(max(v) FILTER (rep = 0), 6) AS difference, round(quantile_cont(v, 0.025) FILTER (rep > 0), 6) AS clustered_95pct_lower,
-  round(quantile_cont(v, 0.975) FILTER (rep > 0), 6) AS clustered_95pct_upper, CAST(count(v) FILTER (rep > 0) AS BIGINT) AS bootstrap_repetitions
+SELECT metric, round(max(v) FILTER (rep = 0), 10) AS difference, round(quantile_cont(v, 0.025) FILTER (rep > 0), 10) AS clustered_95pct_lower,
+  round(quantile_cont(v, 0.975) FILTER (rep > 0), 10) AS clustered_95pct_upper, CAST(count(v) FILTER (rep > 0) AS BIGINT) AS bootstrap_repetitions
 FROM df GROUP BY metric""",
 )
 def horizons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ from knownat.operators.ratios import (
     warning_signals,
 )
 
-ENTITY_LINE = Window.partitionBy("entity").orderBy("qpos")
+def entity_line():
+    return Window.partitionBy("entity").orderBy("qpos")
 
 
 @query(
@@ -41,8 +42,8 @@ def ttm_sum_trailing_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "entity",
         "qpos",
-        F.round(trailing_sum("settled", ENTITY_LINE), 2).alias("settled_ttm"),
-        F.count(F.lit(1)).over(ENTITY_LINE.rowsBetween(-3, 0)).alias("quarters_present"),
+        F.round(trailing_sum("settled", entity_line()), 2).alias("settled_ttm"),
+        F.count(F.lit(1)).over(entity_line().rowsBetween(-3, 0)).alias("quarters_present"),
     )
 
 
@@ -94,9 +95,9 @@ def lag_yoy_change(spark: SparkSession, sf_dir: str) -> DataFrame:
         "coverage_lag1",
         "coverage_lag2",
         "coverage_lag4",
-        F.round(change("coverage", 4, ENTITY_LINE), 6).alias("coverage_yoy_change"),
-        F.round(change("coverage", 1, ENTITY_LINE), 6).alias("coverage_qoq_change"),
-        F.round(relative_growth("revenue", 4, ENTITY_LINE), 6).alias("revenue_growth_yoy"),
+        F.round(change("coverage", 4, entity_line()), 6).alias("coverage_yoy_change"),
+        F.round(change("coverage", 1, entity_line()), 6).alias("coverage_qoq_change"),
+        F.round(relative_growth("revenue", 4, entity_line()), 6).alias("revenue_growth_yoy"),
     )
 
 
@@ -115,8 +116,8 @@ def rolling_std_min_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "entity",
         "qpos",
-        F.round(rolling_std("settled", ENTITY_LINE, 4, 3), 4).alias("volatility_4q"),
-        F.round(rolling_std("settled", ENTITY_LINE, 8, 4), 4).alias("volatility_8q"),
+        F.round(rolling_std("settled", entity_line(), 4, 3), 4).alias("volatility_4q"),
+        F.round(rolling_std("settled", entity_line(), 8, 4), 4).alias("volatility_8q"),
     )
 
 
@@ -137,7 +138,7 @@ def rolling_slope_nonnull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "entity",
         "qpos",
-        F.round(rolling_slope("settled", ENTITY_LINE), 4).alias("settled_trend_4q"),
+        F.round(rolling_slope("settled", entity_line()), 4).alias("settled_trend_4q"),
     )
 
 
@@ -155,7 +156,7 @@ def expanding_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "entity",
         "qpos",
-        F.round(history_distance("coverage", ENTITY_LINE), 6).alias(
+        F.round(history_distance("coverage", entity_line()), 6).alias(
             "coverage_distance_from_history"
         ),
     )

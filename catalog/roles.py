@@ -230,14 +230,14 @@ def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("series_id"),
         day.alias("observation_date"),
         F.date_add(day, (F.col("o_orderkey") % 40).cast("int")).alias("available_at"),
-    ).agg(F.round(F.sum("o_totalprice") / F.count(F.lit(1)) / 1000, 2).alias("value"))
+    ).agg(F.round(F.sum("o_totalprice") / F.count(F.lit(1)) / 1000, 7).alias("value"))
 
 
 VX = """
 vx AS (
   SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS observation_date,
     CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS DATE) AS available_at,
-    round(sum(o_totalprice) / count(*) / 1000, 2) AS value
+    round(sum(o_totalprice) / count(*) / 1000, 7) AS value
   FROM orders GROUP BY 1, 2, 3
 )"""
 

@@ -26,7 +26,7 @@ from knownat.operators.selection import (
 )
 
 SEED = 42
-PER_SECTOR = {"BUILDING": 40, "MACHINERY": 30, "HOUSEHOLD": 20}
+PER_SECTOR = {"BUILDING": 12, "MACHINERY": 9, "HOUSEHOLD": 6}
 
 
 def issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("cik", "sector", "size", "size_tier")
 
 
-GOAL = "CASE sector WHEN 'BUILDING' THEN 40 WHEN 'MACHINERY' THEN 30 WHEN 'HOUSEHOLD' THEN 20 END"
+GOAL = "CASE sector WHEN 'BUILDING' THEN 12 WHEN 'MACHINERY' THEN 9 WHEN 'HOUSEHOLD' THEN 6 END"
 SELECTED = f"""{TIERED},
 se0 AS (SELECT *, {H} AS random_score, {GOAL} AS goal FROM tr WHERE {GOAL} IS NOT NULL),
 se1 AS (SELECT *, row_number() OVER (PARTITION BY sector, industry, size_tier ORDER BY random_score, cik) AS place FROM se0),
