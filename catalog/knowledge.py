@@ -87,17 +87,17 @@ MACRO_PRIORITIES = {
 def _macro_sql(priority: str, how: str) -> str:
     chosen = f"CASE WHEN series_id = '{priority}' THEN value END"
     if how == "mean":
-        return f'round(avg({chosen}), 10) AS "{priority}"'
+        return f'round(avg({chosen}), 6) AS "{priority}"'
     return (
         f"CASE WHEN max(series_id = '{priority}') THEN "
-        f'round(coalesce(sum({chosen}), 0), 7) END AS "{priority}"'
+        f'round(coalesce(sum({chosen}), 0), 2) END AS "{priority}"'
     )
 
 
 @query(
     "vintage_window_aggregate",
     f"""WITH {SQ}, {VX},
-w AS (SELECT *, CASE WHEN value > 220 THEN NULL ELSE value END AS v FROM vx),
+w AS (SELECT *, CASE WHEN value > 220000 THEN NULL ELSE value END AS v FROM vx),
 p AS (SELECT DISTINCT period_end, decision_at FROM sq),
 m AS (SELECT p.period_end, p.decision_at, series_id, observation_date, available_at, v AS value,
     row_number() OVER (PARTITION BY p.period_end, p.decision_at, series_id, observation_date
@@ -114,12 +114,12 @@ FROM sq LEFT JOIN a USING (period_end, decision_at)""",
 )
 def vintage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = vintages(spark, sf_dir).withColumn(
-        "value", F.when(F.col("value") <= 220, F.col("value"))
+        "value", F.when(F.col("value") <= 220000, F.col("value"))
     )
     rows = supplier_panel(spark, sf_dir).select("decision_key", "period_end", "decision_at")
     made = vintage_window_aggregate(rows, known, MACRO_PRIORITIES)
     return made.withColumns(
-        {s: F.round(F.col(s), 10 if how == "mean" else 7) for s, how in MACRO_PRIORITIES.items()}
+        {s: F.round(F.col(s), 6 if how == "mean" else 2) for s, how in MACRO_PRIORITIES.items()}
     )
 
 

@@ -129,7 +129,7 @@ CUTOFF = "2001-06-30"
     f"""WITH {FX},
 vx AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS observation_date,
     CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS DATE) AS available_at,
-    round(sum(o_totalprice) / count(*) / 1000, 7) AS value FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1, 2, 3),
+    CAST(floor(round(sum(o_totalprice), 2) / count(*)) AS DOUBLE) AS value FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1, 2, 3),
 dc AS (SELECT cik, fiscal_year AS dfy, q AS dq, min(filed_at) AS decision_at, max(end_date) AS period_end,
     cik || '|' || fiscal_year || '|FQ' || q AS decision_key
   FROM fx WHERE filed_at <= DATE '{CUTOFF}' AND fiscal_year BETWEEN 1996 AND {CUTOFF[:4]}
@@ -164,7 +164,7 @@ a AS (SELECT period_end, decision_at, avg(CASE WHEN series_id = '1-URGENT' THEN
 z AS (SELECT k.*, u, l, macro_available_at_max, year(k.period_end) || 'Q' || quarter(k.period_end) AS calendar_quarter
   FROM k LEFT JOIN a USING (period_end, decision_at))
 SELECT decision_key, decision_at, calendar_quarter, sector, round(revenue_ttm, 2) AS revenue_ttm, round(total_assets, 2) AS total_assets,
-  maximum_source_available_at, round(cov, 6) AS coverage, round(u, 10) AS "1-URGENT", round(l, 7) AS "5-LOW", macro_available_at_max,
+  maximum_source_available_at, round(cov, 6) AS coverage, round(u, 6) AS "1-URGENT", round(l, 2) AS "5-LOW", macro_available_at_max,
   round(CASE WHEN cov IS NOT NULL THEN (rank() OVER (PARTITION BY calendar_quarter, sector ORDER BY cov NULLS LAST)
     + (count(*) OVER (PARTITION BY calendar_quarter, sector, cov) - 1) / 2.0) / count(cov) OVER (PARTITION BY calendar_quarter, sector) END, 6)
     AS coverage_sector_percentile FROM z""",
@@ -197,8 +197,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("total_assets", 2).alias("total_assets"),
         "maximum_source_available_at",
         F.round("coverage", 6).alias("coverage"),
-        F.round("1-URGENT", 10).alias("1-URGENT"),
-        F.round("5-LOW", 7).alias("5-LOW"),
+        F.round("1-URGENT", 6).alias("1-URGENT"),
+        F.round("5-LOW", 2).alias("5-LOW"),
         "macro_available_at_max",
         F.round("coverage_sector_percentile", 6).alias("coverage_sector_percentile"),
     )

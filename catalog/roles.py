@@ -223,21 +223,21 @@ fx AS (
 
 
 def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean order value (thousands) per priority and day, learned over up to forty later days."""
+    """Mean order value (whole units) per priority and day, learned over up to forty later days."""
     orders = table(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     return orders.groupBy(
         F.col("o_orderpriority").alias("series_id"),
         day.alias("observation_date"),
         F.date_add(day, (F.col("o_orderkey") % 40).cast("int")).alias("available_at"),
-    ).agg(F.round(F.sum("o_totalprice") / F.count(F.lit(1)) / 1000, 7).alias("value"))
+    ).agg(F.floor(F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))).cast("double").alias("value"))
 
 
 VX = """
 vx AS (
   SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS observation_date,
     CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS DATE) AS available_at,
-    round(sum(o_totalprice) / count(*) / 1000, 7) AS value
+    CAST(floor(round(sum(o_totalprice), 2) / count(*)) AS DOUBLE) AS value
   FROM orders GROUP BY 1, 2, 3
 )"""
 
