@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from knownat.llm import tokens
+from knownat.llm import mixing, simhash, tokens
 from knownat.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +30,100 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixture of all documents; ``position`` is the training time of a row's first words."""
+    plan = mixing.plan_mixture(table(spark, sf_dir, "documents"))
+    position = mixing.position_of(
+        F.col("before").cast("double"), F.col("slot"), F.floor("target").cast("double")
+    )
+    return plan.select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.when(F.col("taken") > 0, position).alias("position"),
+    ).orderBy("position", "doc_id")
+
+
+OP2_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source,
+           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+    FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), ranked AS (
+    SELECT source, source_size,
+           ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INTEGER AS slot
+    FROM sources
+), limited AS (
+    SELECT *, CASE slot WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END
+                  AS weight,
+           source_size * 3 AS most
+    FROM ranked
+), levels AS (
+    SELECT *,
+           (sum(source_size) OVER ())::BIGINT - coalesce((sum(most) OVER (
+               ORDER BY most / weight, source NULLS LAST
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS remaining,
+           sum(weight) OVER (
+               ORDER BY most / weight, source NULLS LAST
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+    FROM limited
+), stopped AS (
+    SELECT *, weight * remaining / rest >= most AS stops FROM levels
+), free AS (
+    SELECT *,
+           max(CASE WHEN NOT stops THEN remaining END) OVER () AS shared,
+           max(CASE WHEN NOT stops THEN rest END) OVER () AS by_weight
+    FROM stopped
+), targets AS (
+    SELECT source, source_size, slot,
+           CASE WHEN stops THEN most::DOUBLE ELSE weight * shared / by_weight END AS target
+    FROM free
+), placed AS (
+    SELECT *, (sum(size) OVER (
+               PARTITION BY source
+               ORDER BY md5('mix' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size
+               ROWS UNBOUNDED PRECEDING))::BIGINT - size AS before
+    FROM sized
+), aimed AS (
+    SELECT p.doc_id, p.size, p.before, t.source_size, t.slot, t.target,
+           floor(t.target)::BIGINT AS whole
+    FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+), mixture AS (
+    SELECT *,
+           CASE WHEN source_size > 0 THEN
+               (whole // source_size) * size
+               + greatest(0, least(size, whole - (whole // source_size) * source_size - before))
+           ELSE 0 END::BIGINT AS taken
+    FROM aimed
+)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN
+           0.0::DOUBLE + 2.0::DOUBLE * (before::DOUBLE / whole::DOUBLE)
+           / ((CASE slot WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END)::DOUBLE
+              + sqrt(greatest(0.0::DOUBLE,
+                    (CASE slot WHEN 0 THEN 2.25 WHEN 1 THEN 1.0 ELSE 0.25 END)::DOUBLE
+                    + (CASE slot WHEN 0 THEN -2.0 WHEN 1 THEN 0.0 ELSE 2.0 END)::DOUBLE
+                      * (before::DOUBLE / whole::DOUBLE))))
+       END AS position
+FROM mixture
+"""
+
+
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op2_mixture": op2_mixture,
+    "op6_simhash_groups": op6_simhash_groups,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixture": OP2_SQL}
 
 
 def queries() -> dict[str, Query]:
