@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import mixing, simhash, tokens
+from knownat.llm import decontam, mixing, quality, simhash, tokens
 from knownat.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,20 @@ FROM mixture
 """
 
 
+def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items whose shingles they contain at 0.8 or more."""
+    found = decontam.find_contained(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.withColumn("containment", F.col("shared") / F.col("item_shingles"))
+
+
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words, network = quality.learn_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, words, network)
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -121,6 +135,8 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_mixture": op2_mixture,
+    "op3_benchmark_passages": op3_benchmark_passages,
+    "op4_quality_scores": op4_quality_scores,
     "op6_simhash_groups": op6_simhash_groups,
 }
 ORACLE_SQL: dict[str, str] = {"op2_mixture": OP2_SQL}
