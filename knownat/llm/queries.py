@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import decontam, mixing, quality, simhash, tokens
+from knownat.llm import decontam, mixing, pii, quality, simhash, tokens, toxicity
 from knownat.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,12 +132,31 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+#: A stand-in secret for the registered query; a real one comes from a key store.
+PSEUDONYM_KEY = b"corpus pseudonyms"
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data, their texts with format-preserving pseudonyms."""
+    return pii.pseudonymise_documents(
+        table(spark, sf_dir, "documents"), PSEUDONYM_KEY, only_found=True
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_mixture": op2_mixture,
     "op3_benchmark_passages": op3_benchmark_passages,
     "op4_quality_scores": op4_quality_scores,
     "op6_simhash_groups": op6_simhash_groups,
+    "op7_toxicity_scores": op7_toxicity_scores,
+    "op8_pseudonyms": op8_pseudonyms,
 }
 ORACLE_SQL: dict[str, str] = {"op2_mixture": OP2_SQL}
 
