@@ -116,7 +116,7 @@ def plan_mixture(
     whole = F.floor("target")
     before = F.col("upto") - F.col("size")
     size = F.col("source_size")
-    passes = F.when(size > 0, F.floor(whole / size)).otherwise(F.lit(0))
+    passes = F.when(size > 0, F.floor(F.try_divide(whole, size))).otherwise(F.lit(0))
     rest = whole - passes * size
     inside = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     return aimed.select(
@@ -137,7 +137,7 @@ def position_of(word: Column, slot: Column, demand: Column, schedules=SCHEDULES)
             parts.append((a, upto, level, rise))
             upto += (b - a) * (u + v) / 2 / area
         bends.append(parts)
-    share = word / demand
+    share = F.try_divide(word, demand)
     found = None
     for index, parts in enumerate(bends):
         at = None
@@ -154,7 +154,7 @@ def with_positions(plan: DataFrame, schedules=SCHEDULES) -> DataFrame:
     """One row for every time a row is taken, with its ``position``; rows not taken give none."""
     demand = F.floor("target").cast("double")
     copies = F.when(
-        F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size")).cast("int")
+        F.col("taken") > 0, F.ceil(F.try_divide("taken", "size")).cast("int")
     ).otherwise(0)
     repeated = plan.withColumn(
         "repeat", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)))

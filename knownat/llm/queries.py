@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import decontam, mixing, pii, quality, simhash, tokens, toxicity
+from knownat.llm import decontam, mixing, pii, quality, rules, simhash, tokens, toxicity, urls
 from knownat.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +149,14 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_mixture": op2_mixture,
@@ -157,8 +165,10 @@ QUERIES: dict[str, Query] = {
     "op6_simhash_groups": op6_simhash_groups,
     "op7_toxicity_scores": op7_toxicity_scores,
     "op8_pseudonyms": op8_pseudonyms,
+    "op9_url_verdicts": op9_url_verdicts,
+    "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixture": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixture": OP2_SQL, "op9_url_verdicts": urls.SQL}
 
 
 def queries() -> dict[str, Query]:

@@ -76,8 +76,7 @@ def _templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, n, allow, block, template): the tree, grown level by level."""
     grown = shapes.withColumn("template", F.lit(""))
     for level in range(1, DEPTH + 1):
-        value = F.element_at("segments", level)
-        here = grown.withColumn("value", F.when(F.size("segments") >= level, value))
+        here = grown.withColumn("value", F.get("segments", level - 1))
         branches = (
             here.where("value IS NOT NULL")
             .groupBy("host", "template", "value")
@@ -88,12 +87,13 @@ def _templates(shapes: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("values"),
             *[F.sum(c).alias(f"all_{c}") for c in ("n", "allow", "block")],
         )
-        own, others = F.col("allow") + F.col("block"), None
+        own = F.col("allow") + F.col("block")
         others = F.col("all_allow") + F.col("all_block") - own
-        own_share = F.col("allow") / own
-        rest_share = (F.col("all_allow") - F.col("allow")) / others
-        pooled = F.col("all_allow") / (own + others)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / own.cast("double") + 1 / others.cast("double")))
+        own_share = F.try_divide("allow", own)
+        rest_share = F.try_divide(F.col("all_allow") - F.col("allow"), others)
+        pooled = F.try_divide("all_allow", own + others)
+        each = F.try_divide(F.lit(1.0), own) + F.try_divide(F.lit(1.0), others)
+        error = F.sqrt(pooled * (1 - pooled) * each)
         variable = (F.col("values") > MANY_VALUES) & (F.col("n") < RARE_SHARE * F.col("all_n"))
         apart = (
             (own > 0) & (others > 0) & (F.abs(own_share - rest_share) > APART * error)
