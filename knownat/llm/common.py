@@ -38,6 +38,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as a compressed table in the shared folder and read that instead."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_batches(
     df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:

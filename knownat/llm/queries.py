@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import decontam, mixing, pii, quality, rules, simhash, tokens, toxicity, urls
+from knownat.llm import decontam, mixing, pii, quality, rules, simhash, suffixes, tokens, toxicity, urls
 from knownat.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,11 @@ def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, words, network)
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word spans of at least 50 words that another document's text holds as well."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -162,6 +167,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixture": op2_mixture,
     "op3_benchmark_passages": op3_benchmark_passages,
     "op4_quality_scores": op4_quality_scores,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_simhash_groups": op6_simhash_groups,
     "op7_toxicity_scores": op7_toxicity_scores,
     "op8_pseudonyms": op8_pseudonyms,
