@@ -211,18 +211,23 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(score, -30, 30))))
 
     @classmethod
-    def fit(cls, rows: list[list[int]], target: np.ndarray, width: int) -> Linear:
-        """Penalised logistic loss on soft targets by Adam over the whole bounded sample."""
+    def fit(
+        cls, rows: list[list[int]], target: np.ndarray, sure: np.ndarray, width: int
+    ) -> Linear:
+        """Penalised logistic loss on soft targets by Adam over the whole bounded sample.
+
+        ``sure`` weighs the rows: a posterior near one half says little.
+        """
         weights, base = np.zeros(width), -2.0
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         flat = np.fromiter((i for r in rows for i in r), np.int64, len(owner))
         moments = [np.zeros(width + 1), np.zeros(width + 1)]
-        for step in range(1, 401 if len(rows) else 1):
+        mass = max(float(sure.sum()), 1e-9)
+        for step in range(1, 801 if len(rows) else 1):
             score = base + np.bincount(owner, weights[flat], minlength=len(rows))
-            error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - target
+            error = sure * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target) / mass
             slope = np.append(
-                np.bincount(flat, error[owner], minlength=width) / len(rows) + 1e-5 * weights,
-                error.mean(),
+                np.bincount(flat, error[owner], minlength=width) + 1e-6 * weights, error.sum()
             )
             moments[0] = 0.9 * moments[0] + 0.1 * slope
             moments[1] = 0.999 * moments[1] + 0.001 * slope**2
@@ -294,7 +299,7 @@ def score_toxicity(
         [*hits, *(patterns_at + i for i in range(PATTERNS) if code >> (_KINDS * _SPLIT + i) & 1)]
         for hits, code in zip(learnt.hits, codes, strict=True)
     ]
-    linear = spark.sparkContext.broadcast(Linear.fit(inputs, target, width))
+    linear = spark.sparkContext.broadcast(Linear.fit(inputs, target, np.abs(2 * target - 1), width))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = linear.value
