@@ -86,7 +86,7 @@ def _symbols(m: Measures) -> bool:
 
 
 def _repeated_lines(m: Measures) -> bool:
-    return 10 * m.n_dup_lines > 3 * len(m.lines)
+    return 2 * m.n_dup_lines > len(m.lines)
 
 
 def _letterless(m: Measures) -> bool:
