@@ -177,7 +177,11 @@ def mix(
         docs, id_column=id_column, text_column=text_column, source_column=source_column,
         row_key=row_key, **choices,
     )
-    sequence = settled(with_positions(plan).select("row_key", "position"))
+    sequence = settled(
+        with_positions(plan).select(
+            F.col("row_key").alias("__taken_key"), F.col("position").alias("__position")
+        )
+    )
     texts = docs.withColumn("__row_key", row_key).dropDuplicates(["__row_key"])
-    taken = texts.join(sequence, texts["__row_key"] == sequence["row_key"])
-    return taken.orderBy("position", "row_key").select(*[texts[c] for c in docs.columns])
+    taken = texts.join(sequence, texts["__row_key"] == sequence["__taken_key"])
+    return taken.orderBy("__position", "__taken_key").select(*[texts[c] for c in docs.columns])
