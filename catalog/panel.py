@@ -175,7 +175,7 @@ FROM (SELECT *, median(leverage) OVER (PARTITION BY qpos, sector) AS m FROM sq)"
 )
 def peer_median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = peer_standing(
-        supplier_panel(spark, sf_dir), ["qpos", "sector"], "leverage",
+        supplier_panel(spark, sf_dir), ["qpos", "sector"], ["leverage"],
         median="leverage_sector_median",
     )
     return rounded(
@@ -193,7 +193,7 @@ SELECT entity, qpos, round({PEERS.format(v="lev", g="qpos, sector")}, 6) AS lev_
 )
 def peer_pct_rank_avg_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_panel(spark, sf_dir).withColumn("lev", F.round("leverage", 2))
-    ranked = peer_standing(rows, ["qpos", "sector"], "lev")
+    ranked = peer_standing(rows, ["qpos", "sector"], ["lev"])
     return rounded(ranked.select("entity", "qpos", "lev_sector_percentile"),
                    "lev_sector_percentile")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from knownat.operators.checks import require_columns
 from knownat.operators.ratios import risk_band
-from knownat.scale import running_sums, settle
+from knownat.scale import running_sums
 
 
 class ReasonRule(NamedTuple):
@@ -110,16 +110,12 @@ def reference_share_at_or_below(
         .groupBy("feature", "value")
         .agg(F.sum("__r").cast("long").alias("__r"))
     )
-    cells, split = settle(cells, ["feature"])
     upto = running_sums(
-        cells, ["feature"], [F.col("value")], {"__upto": F.col("__r")}, split=split
-    )
-    sizes = known.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        asked.join(upto.select("feature", "value", "__upto"), ["feature", "value"])
-        .join(sizes, "feature")
-        .select(*key, "feature", "value", (F.col("__upto") / F.col("n")).alias("share"), "n")
+        cells, ["feature"], [F.col("value")], {"__upto": F.col("__r")}, totals={"n": "__upto"}
     )
+    return asked.join(
+        upto.where("n > 0").select("feature", "value", "__upto", "n"), ["feature", "value"]
+    ).select(*key, "feature", "value", (F.col("__upto") / F.col("n")).alias("share"), "n")
 
 
 def reason_codes(

@@ -15,7 +15,7 @@ from knownat.functions import calendar_quarter_label
 from knownat.operators.checks import fail_if_any, require_columns
 from knownat.operators.history import TEMPORAL_FEATURES, structural_ratios, temporal_features
 from knownat.operators.ratios import KPI_COLUMNS, source_quality
-from knownat.scale import percent_rank_average, settle, with_group_median
+from knownat.scale import stable, with_standings
 
 PEER_FEATURES = (
     "interest_coverage_ttm",
@@ -32,20 +32,20 @@ PEER_FEATURES = (
 
 
 def peer_standing(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    *,
-    median: str | None = None,
-    split: bool | None = None,
+    df: DataFrame, groups: Sequence[str], values: Sequence[str], *, median: str | None = None
 ) -> DataFrame:
-    """``<value>_sector_percentile`` and ``<value>_vs_sector_median`` inside ``groups``."""
-    name = median or "__median"
-    rows = df.drop(f"{value}_sector_percentile", f"{value}_vs_sector_median", name)
-    rows = with_group_median(rows, groups, value, name, split=split)
-    rows = percent_rank_average(rows, groups, value, f"{value}_sector_percentile", split=split)
-    rows = rows.withColumn(f"{value}_vs_sector_median", F.col(value) - F.col(name))
-    return rows if median else rows.drop(name)
+    """``<value>_sector_percentile`` and ``<value>_vs_sector_median`` inside ``groups``.
+
+    ``median`` is a name pattern under which the medians are kept.
+    """
+    name = median or "__median_{}"
+    made = [p.format(v) for v in values for p in ("{}_sector_percentile", "{}_vs_sector_median")]
+    rows = df.drop(*made, *[name.format(v) for v in values])
+    rows = with_standings(rows, groups, values, median=name, share="{}_sector_percentile")
+    rows = rows.withColumns(
+        {f"{v}_vs_sector_median": F.col(v) - F.col(name.format(v)) for v in values}
+    )
+    return rows if median else rows.drop(*[name.format(v) for v in values])
 
 
 def peer_context(
@@ -58,24 +58,13 @@ def peer_context(
 ) -> DataFrame:
     """Sector and industry context among rows of the same calendar quarter of period end."""
     rows = panel.withColumn("calendar_quarter", calendar_quarter_label(period_end))
-    # An industry is part of its sector, so the sector groups decide the plan for both.
-    rows, split = settle(rows, ["calendar_quarter", sector])
-    for kpi in kpis:
-        rows = peer_standing(
-            rows,
-            ["calendar_quarter", sector],
-            kpi,
-            median=f"{kpi}_sector_median",
-            split=split,
-        )
-        rows = with_group_median(
-            rows,
-            ["calendar_quarter", sector, industry],
-            kpi,
-            f"{kpi}_industry_median",
-            split=split,
-        )
-    return rows
+    rows = stable(rows)
+    rows = peer_standing(
+        rows, ["calendar_quarter", sector], kpis, median="{}_sector_median"
+    )
+    return with_standings(
+        stable(rows), ["calendar_quarter", sector, industry], kpis, median="{}_industry_median"
+    )
 
 
 def financial_features(
@@ -120,7 +109,5 @@ def financial_features(
     rows = structural_ratios(panel, entity, time)
     rows = temporal_features(rows, entity, time, temporal)
     rows = rows.withColumn("calendar_quarter", calendar_quarter_label(time))
-    rows, split = settle(rows, ["calendar_quarter", sector])
-    for feature in peers:
-        rows = peer_standing(rows, ["calendar_quarter", sector], feature, split=split)
+    rows = peer_standing(stable(rows), ["calendar_quarter", sector], peers)
     return source_quality(rows, decision_time=time)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownat.operators.forecasting import long_series
-from knownat.scale import exact_quantiles, same_keys, settle, with_average_rank
+from knownat.scale import exact_quantiles, same_keys, stable, with_average_rank
 
 EPSILON = 2.220446049250313e-16  # fixed value: spacing of doubles at one
 
@@ -196,11 +196,8 @@ def spearman_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     both: Column = F.filter(pairs, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     long = df.select(F.explode(both).alias("p")).select("p.*")
     keys = ["feature_a", "feature_b"]
-    long, split = settle(long, keys)
-    ranked = with_average_rank(long, keys, "x", rank="rx", size="__n", split=split)
-    ranked = with_average_rank(
-        ranked.drop("__n"), keys, "y", rank="ry", size="__n", split=split
-    )
+    ranked = with_average_rank(stable(long), keys, "x", rank="rx", size="__n")
+    ranked = with_average_rank(stable(ranked.drop("__n")), keys, "y", rank="ry", size="__n")
     found = ranked.groupBy(*keys).agg(
         F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("complete_rows")
     )

@@ -1,16 +1,16 @@
 """Primitives for groups that may hold any share of the rows.
 
-A window or an exact quantile over one group normally runs in one task.  That is right while the
-group is small and fatal when one sector, series or key holds a third of a large table.  Each
-primitive here therefore has two plans with equal results:
-
-* *direct*: the usual window or aggregate, taken when the scanned files are small or a map-side
-  counted pass shows that the largest group fits a task;
-* *split*: rows are range partitioned by (keys, order) so a large group spans many contiguous
-  blocks, every block is scanned on its own, and per-block totals are carried forward.
-
-Block numbers come from sampled range bounds, so the blocked rows are checkpointed before they
-are read twice; a lost executor can never mix two sets of bounds.
+A window or an exact quantile over one group normally runs in one task, which is fatal when one
+sector, series or key holds a third of a large table.  Each primitive here has one plan, taken
+whatever the size: equal rows are first counted into cells where that is possible, rows or cells
+are range partitioned by (keys, order) so that a large group spans many contiguous blocks, every
+block is scanned on its own, and the totals of earlier blocks are carried forward.  Totals meet
+rows on (keys, block), never on the keys of a whole group.
+
+Block numbers come from sampled range bounds, so the input is written once before it is counted
+and the blocked rows once before they are read twice; a lost executor can never mix two sets of
+bounds.  Both go to the checkpoint folder; with ``spark.cleaner.referenceTracking.cleanCheckpoints``
+Spark deletes them when the frames that read them are gone.
 """
 
 from __future__ import annotations
@@ -18,59 +18,15 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownat.session import ensure_checkpoint_dir
 
-SPLIT_BYTES = "knownat.split.bytes"
-SPLIT_ROWS = "knownat.split.rows"
 BLOCK = "__block"
-DEFAULT_SPLIT_BYTES = 256 << 20
-DEFAULT_SPLIT_ROWS = 4_000_000
+#: Rows of a block, about; the number of blocks follows from the rows alone.
 BLOCK_ROWS = 1_000_000
-MOST_BLOCKS = 50_000
-
-
-def scanned_bytes(df: DataFrame) -> int:
-    """Size of the relations a plan reads, as Spark itself estimates them; runs no job."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    for position in range(leaves.size()):
-        total += int(str(leaves.apply(position).stats().sizeInBytes()))
-    return total
-
-
-def _limit(spark: SparkSession, key: str, default: int) -> int:
-    return int(spark.conf.get(key, str(default)))
-
-
-def needs_split(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True when some group of ``keys`` is too large for a single task.
-
-    Small scans are answered from Spark's own size estimate; otherwise one map-side counted pass
-    over the key columns decides.
-    """
-    if not _is_large(df):
-        return False
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > _limit(df.sparkSession, SPLIT_ROWS, DEFAULT_SPLIT_ROWS)
-
-
-def _is_large(df: DataFrame) -> bool:
-    return scanned_bytes(df) > _limit(df.sparkSession, SPLIT_BYTES, DEFAULT_SPLIT_BYTES)
-
-
-def settle(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
-    """(frame, split) for a derived frame that several primitives will read.
-
-    When its inputs are large the frame is written once to the shared checkpoint folder, so
-    counting its groups and everything after it start from there instead of recomputing it.
-    """
-    if not _is_large(df):
-        return df, False
-    kept = stable(df)
-    return kept, needs_split(kept, keys)
+_FEATURE, _VALUE = "__feature", "__value"
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -81,9 +37,10 @@ def stable(df: DataFrame) -> DataFrame:
 
 def order_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add ``__block``: contiguous, similarly sized ranges of (keys, order)."""
+    kept = stable(df)
     parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(parallel, min(math.ceil(df.count() / BLOCK_ROWS), MOST_BLOCKS))
-    ranged = df.repartitionByRange(blocks, *[F.col(k) for k in keys], *order)
+    blocks = max(parallel, math.ceil(kept.count() / BLOCK_ROWS))
+    ranged = kept.repartitionByRange(blocks, *[F.col(k) for k in keys], *order)
     return stable(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
@@ -105,34 +62,35 @@ def running_sums(
     order: Sequence[Column],
     sums: Mapping[str, Column],
     *,
-    split: bool | None = None,
+    totals: Mapping[str, str] | None = None,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` inside each group.
 
     ``order`` must be total inside a group: aggregate ties first or end it with a unique id.
-    ``split`` forces a plan; by default the size of the groups decides.
+    ``totals`` names columns that take the group's whole sum of one of the ``sums``.
     """
-    keys = list(keys)
-    if split is None:
-        split = needs_split(df, keys)
-    if not split:
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
+    keys, totals = list(keys), dict(totals or {})
     addends = {name: f"__add_{name}" for name in sums}
     rows = df.select("*", *[c.alias(addends[n]) for n, c in sums.items()])
     blocked = order_blocks(rows, keys, order)
-    totals = blocked.groupBy(*keys, BLOCK).agg(
+    of_block = blocked.groupBy(*keys, BLOCK).agg(
         *[F.sum(a).alias(f"__tot_{n}") for n, a in addends.items()]
     )
-    before = (
-        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = totals.select(
+    along = Window.partitionBy(*keys).orderBy(BLOCK)  # one row per block that a group touches
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    carried = of_block.select(
         *keys,
         BLOCK,
-        F.row_number().over(Window.partitionBy(*keys).orderBy(BLOCK)).alias("__nth"),
+        F.row_number().over(along).alias("__nth"),
         *[F.sum(f"__tot_{n}").over(before).alias(f"__base_{n}") for n in sums],
-    ).where("__nth > 1")
+        *[
+            F.sum(f"__tot_{n}").over(Window.partitionBy(*keys)).alias(f"__all_{t}")
+            for t, n in totals.items()
+        ],
+    )
+    if not totals:
+        carried = carried.where("__nth > 1")
     within = (
         Window.partitionBy(*keys, BLOCK)
         .orderBy(*order)
@@ -155,37 +113,21 @@ def running_sums(
             .alias(n)
             for n in sums
         ],
+        *[F.col(f"__all_{t}").alias(t) for t in totals],
+        *([BLOCK] if keep_block else []),
     )
 
 
-def row_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    *,
-    split: bool | None = None,
-) -> DataFrame:
+def row_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """``row_number`` over a total order, for groups of any size."""
-    return running_sums(df, keys, order, {name: F.lit(1).cast("long")}, split=split)
+    return running_sums(df, keys, order, {name: F.lit(1).cast("long")})
 
 
 def last_known(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    value: str,
-    name: str,
-    *,
-    split: bool | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str
 ) -> DataFrame:
     """Latest non-null ``value`` at or before each row of the group."""
     keys = list(keys)
-    if split is None:
-        split = needs_split(df, keys)
-    if not split:
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(upto))
     blocked = order_blocks(df, keys, order)
     within = (
         Window.partitionBy(*keys, BLOCK)
@@ -216,20 +158,11 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     name: str = "quantiles",
-    *,
-    split: bool | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group as an array; nulls are ignored."""
-    keys = list(keys)
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double"))
-    if split is None:
-        split = needs_split(known, keys)
-    if not split:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        return known.groupBy(*keys).agg(F.percentile(value, wanted).alias(name))
-    # The cells are ranked and summed below: write them once.
-    cells = stable(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")))
-    return _quantiles_of_cells(cells, keys, value, probabilities, name)
+    cells = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    return weighted_quantiles(cells, keys, value, "__n", probabilities, name)
 
 
 def weighted_quantiles(
@@ -241,49 +174,54 @@ def weighted_quantiles(
     name: str = "quantiles",
 ) -> DataFrame:
     """Quantiles of the rows counted by ``weight`` in cells of distinct (keys, value)."""
-    keys = list(keys)
     known = cells.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double"), F.col(weight).alias("__n")
+        *keys, F.col(value).cast("double").alias(_VALUE), F.col(weight).alias("__n")
+    )
+    ranked = running_sums(
+        known, keys, [F.col(_VALUE)], {"__upto": F.col("__n")}, totals={"__size": "__upto"}
     )
-    known, split = settle(known, keys)
-    if not split:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        return known.groupBy(*keys).agg(F.percentile(value, wanted, F.col("__n")).alias(name))
-    return _quantiles_of_cells(known, keys, value, probabilities, name)
+    return _levels(ranked, list(keys), probabilities, name)
 
 
-def _quantiles_of_cells(
-    cells: DataFrame, keys: list[str], value: str, probabilities: Sequence[float], name: str
+def _levels(
+    ranked: DataFrame, keys: list[str], probabilities: Sequence[float], name: str
 ) -> DataFrame:
-    ranked = running_sums(cells, keys, [F.col(value)], {"__upto": F.col("__n")}, split=True)
-    sizes = cells.groupBy(*keys).agg(F.sum("__n").alias("__size"))
+    """Quantiles of cells that know their running count and their group's size."""
     wanted = F.array(
         *[
             F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
             for i, p in enumerate(probabilities)
         ]
     )
-    targets = sizes.select(*keys, "__size", F.explode(wanted).alias("__t")).select(
-        *keys,
-        F.col("__t.i").alias("__i"),
-        (F.col("__t.p") * (F.col("__size") - 1)).alias("__at"),
+    places = F.transform(
+        wanted,
+        lambda t: F.struct(t["i"].alias("i"), (t["p"] * (F.col("__size") - 1)).alias("at")),
     )
-    pairs = same_keys(ranked, targets, keys, "inner") if keys else _attach_all(ranked, targets)
-    # A cell answers a target when it holds the row at floor(at) or at ceil(at), counted from 0.
+    # A cell answers a level when it holds the row at floor(at) or at ceil(at), counted from 0.
     first, final = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
-    lower, upper = F.floor("__at"), F.ceil("__at")
-    has_low = (first <= lower) & (lower <= final)
-    has_high = (first <= upper) & (upper <= final)
-    weight = F.col("__at") - F.floor("__at")
-    hits = pairs.where(has_low | has_high).groupBy(*keys, "__i").agg(
-        F.max(F.when(has_low, F.col(value))).alias("__low"),
-        F.max(F.when(has_high, F.col(value))).alias("__high"),
-        F.max(weight).alias("__w"),
+
+    def holds(place: Column) -> Column:
+        return (first <= place) & (place <= final)
+
+    hits = ranked.where(F.col("__n") > 0).select(
+        *keys,
+        _VALUE,
+        "__upto",
+        "__n",
+        F.explode(
+            F.filter(places, lambda t: holds(F.floor(t["at"])) | holds(F.ceil(t["at"])))
+        ).alias("__t"),
+    )
+    at = F.col("__t.at")
+    answers = hits.groupBy(*keys, F.col("__t.i").alias("__i")).agg(
+        F.max(F.when(holds(F.floor(at)), F.col(_VALUE))).alias("__low"),
+        F.max(F.when(holds(F.ceil(at)), F.col(_VALUE))).alias("__high"),
+        F.max(at - F.floor(at)).alias("__w"),
     )
     level = F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(
         (1 - F.col("__w")) * F.col("__low") + F.col("__w") * F.col("__high")
     )
-    return hits.groupBy(*keys).agg(
+    return answers.groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(F.col("__i"), level.alias("v")))),
             lambda item: item["v"],
@@ -291,91 +229,90 @@ def _quantiles_of_cells(
     )
 
 
-def _attach_all(rows: DataFrame, bounded: DataFrame) -> DataFrame:
-    """Give every row the handful of target positions of a whole-table quantile."""
-    one = F.lit(1).alias("__one")
-    packed = bounded.agg(F.collect_list(F.struct("__i", "__at")).alias("__all"))
-    joined = rows.select("*", one).join(F.broadcast(packed.select("*", one)), "__one")
-    return joined.select(*rows.columns, F.explode("__all").alias("__t")).select(
-        *rows.columns, F.col("__t.__i").alias("__i"), F.col("__t.__at").alias("__at")
-    )
-
-
-def with_group_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, *, split: bool | None = None
+def with_standings(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    *,
+    median: str | None = None,
+    rank: str | None = None,
+    size: str | None = None,
+    share: str | None = None,
 ) -> DataFrame:
-    """Give each row its group's median (null keys form no group)."""
+    """Each row's standing among its group's non-null values, for several value columns at once.
+
+    The names are patterns in which ``{}`` is the value column: the group's median, the average
+    tie rank, the number of non-null values and rank over number.  Rank and share of a null value
+    are null; rows with a null key belong to no group.  All columns are counted into cells of
+    (keys, column, value) and ranked in one pass; rows look their cells up by value.
+    """
     keys = list(keys)
-    if split is None:
-        split = needs_split(df, keys)
+    pairs = F.array(
+        *[
+            F.struct(F.lit(v).alias(_FEATURE), F.col(v).cast("double").alias(_VALUE))
+            for v in values
+        ]
+    )
+    cells = (
+        df.select(*keys, F.explode(pairs).alias("__p"))
+        .groupBy(*keys, F.col(f"__p.{_FEATURE}"), F.col(f"__p.{_VALUE}"))
+        .agg(F.count_if(F.col(f"__p.{_VALUE}").isNotNull()).alias("__n"))
+    )
+    groups = [*keys, _FEATURE]
+    ranked = running_sums(
+        cells,
+        groups,
+        [F.col(_VALUE).asc_nulls_last()],
+        {"__upto": F.col("__n")},
+        totals={"__size": "__upto"},
+        keep_block=True,
+    )
+    if median:
+        ranked = stable(ranked)
+        middles = _levels(ranked, groups, [0.5], "__middle").select(
+            *groups, F.col("__middle")[0].alias("__median")
+        )
+        of_blocks = same_keys(ranked.select(*groups, BLOCK).distinct(), middles, groups, "left")
+        ranked = same_keys(ranked, of_blocks, [*groups, BLOCK], "left")
+    order = F.when(
+        F.col(_VALUE).isNotNull(), F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)
+    )
+    found = {median: "__median", rank: order, size: "__size", share: order / F.col("__size")}
     grouped = F.lit(True)
     for key in keys:
         grouped = grouped & F.col(key).isNotNull()
-    if not split:
-        return df.withColumn(
-            name, F.when(grouped, F.median(value).over(Window.partitionBy(*keys)))
+    rows = df
+    for value in values:
+        mine = ranked.where(F.col(_FEATURE) == value).select(
+            *keys,
+            _VALUE,
+            *[
+                (F.col(c) if isinstance(c, str) else c).alias(name.format(value))
+                for name, c in found.items()
+                if name
+            ],
         )
-    medians = exact_quantiles(df.where(grouped), keys, value, [0.5], split=True).select(
-        *keys, F.col("quantiles")[0].alias(name)
-    )
-    return df.join(medians, keys, "left")
+        asked = rows.withColumn(_VALUE, F.col(value).cast("double"))
+        rows = same_keys(asked, mine, [*keys, _VALUE], "left").drop(_VALUE)
+        for name in (median, share):
+            if name:
+                column = name.format(value)
+                rows = rows.withColumn(column, F.when(grouped, F.col(column)))
+    return rows
+
+
+def with_group_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Give each row its group's median (null keys form no group)."""
+    return with_standings(df, keys, [value], median=name)
 
 
 def with_average_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    *,
-    rank: str,
-    size: str,
-    split: bool | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, *, rank: str, size: str
 ) -> DataFrame:
     """Average-tie rank and group size over the non-null values; null rows get a null rank."""
-    keys = list(keys)
-    if split is None:
-        split = needs_split(df, keys)
-    if not split:
-        ordered = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-        ties = Window.partitionBy(*keys, value)
-        whole = Window.partitionBy(*keys)
-        return df.select(
-            "*",
-            F.when(
-                F.col(value).isNotNull(),
-                F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2.0,
-            ).alias(rank),
-            F.count(value).over(whole).alias(size),
-        )
-    cells = stable(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    ranked = running_sums(
-        cells, keys, [F.col(value)], {"__upto": F.col("__n")}, split=True
-    ).select(
-        *keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(rank)
-    )
-    sizes = cells.groupBy(*keys).agg(F.sum("__n").alias(size))
-    placed = same_keys(df, ranked, [*keys, value], "left")
-    if keys:
-        return same_keys(placed, sizes, keys, "left")
-    one = F.lit(1).alias("__one")
-    return (
-        placed.select("*", one).join(F.broadcast(sizes.select("*", one)), "__one").drop("__one")
-    )
+    return with_standings(df, keys, [value], rank=rank, size=size)
 
 
-def percent_rank_average(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, *, split: bool | None = None
-) -> DataFrame:
+def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Share-of-group rank with average ties, nulls excluded, null groups left null."""
-    grouped = F.lit(True)
-    for key in keys:
-        grouped = grouped & F.col(key).isNotNull()
-    placed = with_average_rank(
-        df, keys, value, rank="__rank", size="__size", split=split
-    )
-    return placed.select(
-        *df.columns, F.when(grouped, F.col("__rank") / F.col("__size")).alias(name)
-    )
+    return with_standings(df, keys, [value], share=name)

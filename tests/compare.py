@@ -1,14 +1,11 @@
 """Side-by-side check of registered queries against their SQL on one data folder.
 
     python tests/compare.py /root/testdata/sf0.01 [query ...]
-
-FORCE_SPLIT=1 checks the split plans of ``knownat.scale`` instead of the direct ones.
 """
 
 from __future__ import annotations
 
 import math
-import os
 import sys
 import time
 from pathlib import Path
@@ -73,14 +70,10 @@ def differences(spark_table, sql_table) -> list[str]:
 
 def main() -> int:
     from catalog import oracle_sql, queries
-    from knownat import scale
     from knownat.session import local_session
 
     sf_dir, chosen = sys.argv[1], sys.argv[2:]
     spark, con = local_session(), connection(sf_dir)
-    if os.environ.get("FORCE_SPLIT"):  # take the plans meant for groups beyond one task
-        spark.conf.set(scale.SPLIT_BYTES, "0")
-        spark.conf.set(scale.SPLIT_ROWS, "0")
     sql, bad = oracle_sql(), 0
     for name, run in queries().items():
         if chosen and name not in chosen:

@@ -8,7 +8,6 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tests"))
 
-from knownat import scale  # noqa: E402
 from knownat.session import local_session  # noqa: E402
 
 
@@ -16,22 +15,10 @@ from knownat.session import local_session  # noqa: E402
 def spark():
     home = tempfile.mkdtemp(prefix="spark-")
     session = local_session(4, "tests", spark__sql__warehouse__dir=home)
-    # Frames made in tests have no known size; treat them as small unless a test says otherwise.
-    session.conf.set(scale.SPLIT_BYTES, str(1 << 62))
     yield session
     session.stop()
 
 
-@pytest.fixture()
-def forced_split(spark):
-    """Every group counts as too large for one task."""
-    spark.conf.set(scale.SPLIT_BYTES, "0")
-    spark.conf.set(scale.SPLIT_ROWS, "0")
-    yield spark
-    spark.conf.set(scale.SPLIT_BYTES, str(1 << 62))
-    spark.conf.unset(scale.SPLIT_ROWS)
-
-
 @pytest.fixture()
 def make(spark):
     return lambda rows, schema: spark.createDataFrame(rows, schema)
