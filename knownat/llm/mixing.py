@@ -109,9 +109,7 @@ def plan_mixture(
     named = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     ordered = rows.withColumn("draw", F.md5(named.cast("binary")))
     order = [F.col("draw"), F.col("doc_id"), F.col("size"), F.col("row_key")]
-    placed = scale.running_sums(
-        ordered, ["source"], order, {"upto": F.col("size")}, split=True
-    )
+    placed = scale.running_sums(ordered, ["source"], order, {"upto": F.col("size")})
     aimed = scale.same_keys(placed, source_targets(rows, weights, most), ["source"], "inner")
     whole = F.floor("target")
     before = F.col("upto") - F.col("size")
