@@ -13,7 +13,7 @@ speculative attempt replaces a file by an equal one.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,16 +36,46 @@ _REMEMBERED = 1 << 20
 PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
+#: Fixed value: the pre-tokenizer that ``PRETOKEN`` writes out.
+_BYTE_LEVEL = {
+    "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
+}
 INDEX = "doc_id long, part int, offset long, n_tokens long"
 
 
+def _byte_characters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return {byte: chr(byte if byte in plain else next(spare)) for byte in range(256)}
+
+
+class _Irregular(Exception):
+    """A word that does not stand alone: white space comes before the space that ends it."""
+
+
+class _Words(dict):
+    """Ids of each word met, led by a space or not."""
+
+    def __init__(self, learn, lead: str) -> None:
+        self.learn, self.lead = learn, lead
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[-1].isspace():
+            raise _Irregular
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        ids = self[word] = self.learn(word, self.lead)
+        return ids
+
+
 class Encoder:
     """Whole-text ids of a byte-level tokenizer, remembering words it has met.
 
     The pre-tokenizer never joins what stands before a space to the space, unless that is white
     space itself; so a text without white space before a space is the concatenation of its
-    space-led words, and each distinct word needs the library once.  Other texts, and texts that
-    spell a special token, go to the library whole.
+    space-led words, and each distinct piece needs the library's model once.  Other texts, texts
+    that spell a special token and other tokenizers go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,44 +84,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.splits_at_space = '"type":"ByteLevel"' in self.tokenizer.to_str().replace(" ", "")
-        self.irregular = re.compile(r"\s |^ |\s$")
-        self.pretoken = regex.compile(PRETOKEN)
-        self.words: dict[str, bytes] = {}
+        cut = json.loads(self.tokenizer.to_str())
+        self.byte_level = cut["normalizer"] is None and cut["pre_tokenizer"] == _BYTE_LEVEL
+        self.pretoken, self.characters = regex.compile(PRETOKEN), _byte_characters()
         self.pieces: dict[str, bytes] = {}
+        self.first, self.words = _Words(self.learn, ""), _Words(self.learn, " ")
 
     def library(self, text: str) -> bytes:
         return array(
             self.width, self.tokenizer.encode(text, add_special_tokens=False).ids
         ).tobytes()
 
-    def word(self, word: str) -> bytes:
-        known = []
-        for piece in self.pretoken.findall(word):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= _REMEMBERED:
-                    self.pieces.clear()
-                ids = self.pieces[piece] = self.library(piece)
-            known.append(ids)
-        if len(self.words) >= _REMEMBERED:
-            self.words.clear()
-        ids = self.words[word] = b"".join(known)
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= _REMEMBERED:
+                self.pieces.clear()
+            written = piece.encode().decode("latin-1").translate(self.characters)
+            found = [token.id for token in self.tokenizer.model.tokenize(written)]
+            ids = self.pieces[piece] = array(self.width, found).tobytes()
         return ids
 
+    def learn(self, word: str, lead: str) -> bytes:
+        if word.isalpha():
+            return self.piece(lead + word)
+        if word[-1] in ",." and word[:-1].isalpha():
+            return self.piece(lead + word[:-1]) + self.piece(word[-1])
+        return b"".join(map(self.piece, self.pretoken.findall(lead + word)))
+
     def encode(self, text: str) -> bytes:
         """Ids of the text in native byte order."""
-        if (
-            not self.splits_at_space
-            or self.irregular.search(text)
-            or any(token in text for token in self.special)
-        ):
-            return self.library(text)
-        first, *rest = text.split(" ")
-        known, learn = self.words.get, self.word
-        parts = [self.library(first)]
-        parts += [known(word) or learn(word) for word in map(" ".__add__, rest)]
-        return b"".join(parts)
+        if self.byte_level and not any(token in text for token in self.special):
+            words = text.split(" ")
+            try:
+                return self.first[words[0]] + b"".join(map(self.words.__getitem__, words[1:]))
+            except _Irregular:
+                pass
+        return self.library(text)
 
 
 @lru_cache(maxsize=2)
