@@ -631,17 +631,20 @@ def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- resampling --------------------------------------------------------------------------------
 
-REPS = 20
+REPS = 500
 
 
-def draws_sql(source: str, cluster: str, seed: int) -> str:
-    u = HASH.format(seed=seed, id="(rep || ':' || c.i)")
+def draws_sql(source: str, cluster: str, seed: int, within: str = "") -> str:
+    key = f"({within} || ':' || rep || ':' || c.i)" if within else "(rep || ':' || c.i)"
+    u = HASH.format(seed=seed, id=key)
+    group, same = (f"{within}, ", f"cl.{within} = dr.{within} AND ") if within else ("", "")
+    by = f"PARTITION BY {within}" if within else ""
     return f"""
-cl AS (SELECT {cluster} AS c, row_number() OVER (ORDER BY {cluster}) AS i, count(*) OVER () AS size
-  FROM (SELECT DISTINCT {cluster} FROM {source})),
-dr AS (SELECT rep, CAST(least(floor({u} * size) + 1, size) AS BIGINT) AS pick FROM cl c,
+cl AS (SELECT {group}{cluster} AS c, row_number() OVER ({by} ORDER BY {cluster}) AS i, count(*) OVER ({by}) AS size
+  FROM (SELECT DISTINCT {group}{cluster} FROM {source})),
+dr AS (SELECT {group}rep, CAST(least(floor({u} * size) + 1, size) AS BIGINT) AS pick FROM cl c,
     (SELECT unnest(range(1, {REPS + 1})) AS rep)),
-dm AS (SELECT rep, cl.c AS c, count(*) AS times FROM dr JOIN cl ON cl.i = dr.pick GROUP BY ALL)"""
+dm AS (SELECT {"cl." if within else ""}{group}rep, cl.c AS c, count(*) AS times FROM dr JOIN cl ON {same}cl.i = dr.pick GROUP BY ALL)"""
 
 
 INTERVAL = """round(avg(v), 10) AS {c}, round(quantile_cont(v, 0.025), 10) AS {lo}, round(quantile_cont(v, 0.975), 10) AS {hi}"""
@@ -697,9 +700,19 @@ def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("development_evidence_uncertainty")
+@query(
+    "development_evidence_uncertainty",
+    f"""WITH {LB}, {draws_sql("lb", "cik", 20260805, "model")},
+bx AS (SELECT lb.model, rep, probability, deterioration_label FROM lb JOIN dm ON dm.c = lb.cik AND dm.model = lb.model, range(times)),
+{ranking_sql("bx", "model, rep")},
+ml AS (SELECT model, 'PR_AUC' AS metric, "PR_AUC" AS v FROM rk UNION ALL SELECT model, 'ROC_AUC', "ROC_AUC" FROM rk
+  UNION ALL SELECT model, 'Brier_score', "Brier_score" FROM rk)
+SELECT model, metric, {INTERVAL.format(c="estimate", lo="lower", hi="upper")}, 0.95::DOUBLE AS confidence_level,
+  CAST(count(v) AS BIGINT) AS valid_repetitions FROM ml WHERE v IS NOT NULL GROUP BY model, metric""",
+)
 def evidence_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return development_evidence(_dated(spark, sf_dir), repetitions=REPS)["clustered_uncertainty"]
+    made = development_evidence(_dated(spark, sf_dir), repetitions=REPS)["clustered_uncertainty"]()
+    return rounded(made, "estimate", "lower", "upper")
 
 
 @query(
@@ -712,7 +725,7 @@ SELECT model, f AS review_fraction, round(cut, 10) AS threshold, CAST(tp AS BIGI
   round((0.0 * tp - 1.0 * fp - 5.0 * fn) / n, 10) AS value_per_observation FROM cf""",
 )
 def evidence_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = development_evidence(_dated(spark, sf_dir), repetitions=2)["decision_value"]
+    made = development_evidence(_dated(spark, sf_dir), repetitions=REPS)["decision_value"]()
     return rounded(made, "threshold", "value_per_observation")
 
 

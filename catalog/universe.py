@@ -26,7 +26,9 @@ from knownat.operators.selection import (
 )
 
 SEED = 42
-PER_SECTOR = {"BUILDING": 12, "MACHINERY": 9, "HOUSEHOLD": 6}
+PER_SECTOR = {
+    "BUILDING": 12, "MACHINERY": 9, "HOUSEHOLD": 6, "AUTOMOBILE": 10, "FURNITURE": 5
+}
 
 
 def issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,7 @@ def terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("cik", "sector", "size", "size_tier")
 
 
-GOAL = "CASE sector WHEN 'BUILDING' THEN 12 WHEN 'MACHINERY' THEN 9 WHEN 'HOUSEHOLD' THEN 6 END"
+GOAL = "CASE sector WHEN 'BUILDING' THEN 12 WHEN 'MACHINERY' THEN 9 WHEN 'HOUSEHOLD' THEN 6 WHEN 'AUTOMOBILE' THEN 10 WHEN 'FURNITURE' THEN 5 END"
 SELECTED = f"""{TIERED},
 se0 AS (SELECT *, {H} AS random_score, {GOAL} AS goal FROM tr WHERE {GOAL} IS NOT NULL),
 se1 AS (SELECT *, row_number() OVER (PARTITION BY sector, industry, size_tier ORDER BY random_score, cik) AS place FROM se0),
@@ -113,8 +115,7 @@ se AS (SELECT cik, sector, industry, size_tier, random_score, CAST(rr AS BIGINT)
 
 
 def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = issuers(spark, sf_dir).where(F.col("sector").isin(*PER_SECTOR))
-    sized = size_tiers(rows, size="size", identity="cik", within=["sector"])
+    sized = size_tiers(issuers(spark, sf_dir), size="size", identity="cik", within=["sector"])
     return select_universe(sized, PER_SECTOR, seed=SEED)
 
 
@@ -158,7 +159,7 @@ def replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {REPLACED}
 SELECT cik, sector, random_rank, 'CERTIFIED' AS quality_tier FROM se JOIN ce USING (cik) WHERE selection_status = 'SELECTED' AND certified
 UNION ALL SELECT replacement_id, sector, replacement_rank, 'CERTIFIED' FROM au WHERE replacement_id IS NOT NULL
-UNION ALL SELECT removed_id, sector, replacement_rank, 'RETAINED_WITH_QUALITY_FLAG' FROM au WHERE replacement_id IS NULL""",
+UNION ALL SELECT removed_id, sector, replacement_rank, 'FLAGGED_INSUFFICIENT_CERTIFIED_RESERVE' FROM au WHERE replacement_id IS NULL""",
 )
 def final_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replaced(spark, sf_dir)[0].select("cik", "sector", "random_rank", "quality_tier")
@@ -249,33 +250,18 @@ def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "current_listing",
-    """WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS t, list(o_orderpriority ORDER BY o_orderkey) AS e
-  FROM orders GROUP BY o_custkey),
-b AS (SELECT *, list_position(list_transform(e, lambda x: x IN ('1-URGENT', '2-HIGH')), true) AS p FROM a)
-SELECT o_custkey, CASE WHEN p > 0 THEN t[p] END AS ticker, CASE WHEN p > 0 THEN e[p] END AS exchange FROM b""",
+    """WITH a AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents),
+b AS (SELECT *, list_transform(t, lambda w: upper(w[1:1])) AS e FROM a),
+c AS (SELECT *, list_position(list_transform(e, lambda x: x IN ('V', 'K')), true) AS p FROM b)
+SELECT doc_id, CASE WHEN p > 0 THEN t[p] END AS ticker, CASE WHEN p > 0 THEN e[p] END AS exchange FROM c""",
 )
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First eligible (ticker, exchange) of the parallel arrays of a filer document.
-
-    The arrays are built here from orders; only the eligible ones are collected, so a customer
-    with a third of all orders contributes one row: the first eligible order.
-    """
-    orders = table(spark, sf_dir, "orders")
-    eligible = ("1-URGENT", "2-HIGH")
-    first = orders.groupBy("o_custkey").agg(
-        F.min(
-            F.when(
-                F.col("o_orderpriority").isin(*eligible), F.struct("o_orderkey", "o_orderpriority")
-            )
-        ).alias("f"),
-        F.min(F.struct("o_orderkey", "o_orderpriority")).alias("g"),
-    )
-    arrays = first.select(
-        "o_custkey",
-        F.array("g.o_orderkey", "f.o_orderkey").alias("t"),
-        F.array("g.o_orderpriority", "f.o_orderpriority").alias("e"),
-    ).withColumn("l", current_listing("t", "e", eligible))
-    return arrays.select("o_custkey", "l.ticker", "l.exchange")
+    """First eligible pair of two parallel arrays: a document's words and their initials."""
+    words = table(spark, sf_dir, "documents").select(
+        "doc_id", F.split("text", " ").alias("t")
+    ).withColumn("e", F.transform("t", lambda w: F.upper(F.substring(w, 1, 1))))
+    found = words.select("doc_id", current_listing("t", "e", ("V", "K")).alias("l"))
+    return found.select("doc_id", "l.ticker", "l.exchange")
 
 
 CASES = f"""{LB},

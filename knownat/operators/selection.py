@@ -212,6 +212,22 @@ def select_universe(
     return waiting.withColumn("random_rank", rank).drop("__place", "__wait")
 
 
+#: Fixed result values: quality tiers, and names of (reserve, pool, no replacement).
+QUALITY_TIERS = ("CERTIFIED", "FLAGGED_INSUFFICIENT_CERTIFIED_RESERVE")
+REPLACEMENT_SOURCES = {
+    "expanded_pool": (
+        "frozen_reserve",
+        "deterministic_expanded_candidate_pool",
+        "retained_with_quality_flag",
+    ),
+    "same_sector": (
+        "frozen_same_sector_reserve",
+        "deterministic_expanded_candidate_pool",
+        "retained_with_quality_flag",
+    ),
+}
+
+
 def replace_failures(
     universe: DataFrame,
     certification: DataFrame,
@@ -220,13 +236,17 @@ def replace_failures(
     sector: str = "sector",
     identity: str = "cik",
     retain_flagged_shortfall: bool = False,
+    vocabulary: str = "expanded_pool",
 ) -> tuple[DataFrame, DataFrame]:
     """Replace failed selections by the next certified reserve (then pool) of their sector.
 
+    ``vocabulary`` chooses how the audit names the sources of replacements.
+
     The i-th failed selection meets the i-th certified option of its sector: both are ranked in
     one pass and brought together by one aggregate on (sector, i).
     Returns (final selection with ``quality_tier``, audit lines).
     """
+    from_reserve, from_pool, unfilled = REPLACEMENT_SOURCES[vocabulary]
     rows = universe.withColumn("__source", F.lit(0))
     if pool is not None:
         spare = pool.join(universe.select(identity), identity, "left_anti")
@@ -266,9 +286,9 @@ def replace_failures(
         F.col("option")[identity].alias("replacement_id"),
         sector,
         F.col("failed.random_rank").alias("replacement_rank"),
-        F.when(F.col("option").isNull(), "retained_with_quality_flag")
-        .when(F.col("option.__source") == 0, "frozen_reserve")
-        .otherwise("deterministic_expanded_candidate_pool")
+        F.when(F.col("option").isNull(), unfilled)
+        .when(F.col("option.__source") == 0, from_reserve)
+        .otherwise(from_pool)
         .alias("replacement_source"),
     )
 
@@ -288,7 +308,7 @@ def replace_failures(
             ),
         )
 
-    certified, flagged = "CERTIFIED", "RETAINED_WITH_QUALITY_FLAG"
+    certified, flagged = QUALITY_TIERS
     replaced = F.col("failed").isNotNull() & F.col("option").isNotNull()
     entries = F.array_compact(
         F.array(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,8 +100,11 @@ def development_evidence(
     level: float = 0.95,
     seed: int = 20260805,
     cluster: str = "cik",
-) -> dict[str, DataFrame]:
-    """Metrics, queues, episode capture, clustered uncertainty, value and calibration tables."""
+) -> dict[str, Callable[[], DataFrame]]:
+    """Metrics, queues, episode capture, clustered uncertainty, value and calibration tables.
+
+    Each entry makes its table when called, so asking for one runs nothing for the others.
+    """
     require_columns(
         predictions,
         ["decision_key", "cik", "decision_at", "sector", LABEL, "model", SCORE],
@@ -112,48 +115,67 @@ def development_evidence(
         data, ["decision_key", "model"], "a model scored the same decision more than once"
     )
     cells = score_cells(data, ["model", "sector"], LABEL, SCORE)
-    by_model = regroup(cells, ["model"], SCORE)
-    cuts = weighted_quantiles(
-        by_model, ["model"], SCORE, "n", [1 - f for f in review_fractions]
-    ).select(
-        "model",
-        F.explode(
+
+    def value() -> DataFrame:
+        """Cells of (model, score) meet the model's few thresholds, each fraction one column."""
+        by_model = regroup(cells, ["model"], SCORE)
+        cuts = weighted_quantiles(
+            by_model, ["model"], SCORE, "n", [1 - f for f in review_fractions]
+        )
+        asked = F.transform(
+            F.arrays_zip(
+                F.array(*[F.lit(float(f)) for f in review_fractions]).alias("f"),
+                F.col("quantiles").alias("q"),
+            ),
+            lambda c: F.struct(c["f"].alias("review_fraction"), c["q"].alias("threshold")),
+        )
+        counted = F.explode(
             F.array(
-                *[
-                    F.struct(
-                        F.lit(float(f)).alias("review_fraction"),
-                        F.col("quantiles")[i].alias("threshold"),
-                    )
-                    for i, f in enumerate(review_fractions)
-                ]
+                F.struct(F.lit(1).alias(LABEL), F.col("pos").alias("__w")),
+                F.struct(F.lit(0).alias(LABEL), (F.col("n") - F.col("pos")).alias("__w")),
             )
-        ).alias("c"),
-    ).select("model", "c.*")
-    # A few fractions per model meet the model's rows; counts combine before the shuffle.
-    valued = decision_value(
-        data.drop("threshold").join(F.broadcast(cuts), "model"),
-        ["model", "review_fraction", "threshold"],
-        F.col(SCORE) >= F.col("threshold"),
-        missed_event_cost=missed_event_cost,
-        unnecessary_review_cost=unnecessary_review_cost,
-        correct_alert_benefit=correct_alert_benefit,
-    )
-    marked = episode_runs(
-        data.withColumn("__series", F.concat_ws("|", "model", "cik")), entity="__series"
-    )
-    sliced = regroup(with_overall(cells, {"sector": ""}), ["model", "slice"], SCORE)
-    return {
-        "metrics": sliced_metrics(data),
-        "review_queues": review_queue(data, ["model"], review_fractions),
-        "episode_capture": episode_capture(marked, ["model"], review_fractions),
-        "clustered_uncertainty": clustered_bootstrap(
+        ).alias("w")
+        offered = (
+            by_model.join(cuts.select("model", asked.alias("c")), "model")
+            .select("model", SCORE, "n", "pos", F.explode("c").alias("c"))
+            .select("model", SCORE, "c.*", counted)
+            .select("model", SCORE, "review_fraction", "threshold", "w.*")
+        )
+        return decision_value(
+            offered,
+            ["model", "review_fraction", "threshold"],
+            F.col(SCORE) >= F.col("threshold"),
+            missed_event_cost=missed_event_cost,
+            unnecessary_review_cost=unnecessary_review_cost,
+            correct_alert_benefit=correct_alert_benefit,
+            weight=F.col("__w"),
+        )
+
+    def capture() -> DataFrame:
+        marked = episode_runs(
+            data.withColumn("__series", F.concat_ws("|", "model", "cik")), entity="__series"
+        )
+        return episode_capture(marked, ["model"], review_fractions)
+
+    def uncertainty() -> DataFrame:
+        return clustered_bootstrap(
             data,
             within=["model"],
             cluster=cluster,
             repetitions=repetitions,
             level=level,
             seed=seed,
-        ),
-        "decision_value": valued,
-        "calibration_decomposition": brier_decomposition(sliced, ["model", "slice"], SCORE),
+        )
+
+    def decomposition() -> DataFrame:
+        sliced = regroup(with_overall(cells, {"sector": ""}), ["model", "slice"], SCORE)
+        return brier_decomposition(sliced, ["model", "slice"], SCORE)
+
+    return {
+        "metrics": lambda: sliced_metrics(data),
+        "review_queues": lambda: review_queue(data, ["model"], review_fractions),
+        "episode_capture": capture,
+        "clustered_uncertainty": uncertainty,
+        "decision_value": value,
+        "calibration_decomposition": decomposition,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,10 @@ def create_schemas(spark: SparkSession) -> None:
         spark.sql(f"CREATE TABLE IF NOT EXISTS metadata.{name} ({columns}) USING parquet")
 
 
+#: Rows, about, that one task writes into a partition value's folder.
+FILE_ROWS = 4_000_000
+
+
 def publish(df: DataFrame, table: str) -> None:
     """Replace a named table with the rows of a frame."""
     df.write.mode("overwrite").format("parquet").saveAsTable(table)
@@ -37,12 +42,14 @@ def publish(df: DataFrame, table: str) -> None:
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("fold_id", "horizon")) -> None:
     """Hive-partitioned Parquet; readers filtering on ``by`` open only matching folders.
 
-    The keys have few values, so the shuffle also spreads rows inside each of them: a fold with
-    most of the rows is written by many tasks, each holding one open file per key.
+    The keys have few values, so rows are also spread inside each of them by a hash of the other
+    columns: a fold with most of the rows is written by as many tasks as its rows call for.
     """
     require_columns(df, by, "partitioned output")
+    others = [c for c in df.columns if c not in by]
+    salts = max(1, math.ceil(df.count() / FILE_ROWS))
     (
-        df.repartition(*by, F.pmod(F.xxhash64(*df.columns[:1]), F.lit(32)))
+        df.repartition(*by, F.pmod(F.xxhash64(*(others or by)), F.lit(salts)))
         .write.mode("overwrite")
         .partitionBy(*by)
         .parquet(path)
