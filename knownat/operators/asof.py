@@ -87,8 +87,8 @@ def vintage_window_aggregate(
 
     ``series`` maps a series id to ``"mean"`` or ``"sum"``.  Rows sharing the same two dates
     share one answer, so the range join runs on distinct date pairs (bounded by the calendar,
-    not by the panel) and on one row per observation vintage; both sides are cut into month
-    buckets, which makes it an equi-join with a small residual filter.
+    not by the panel) and on one row per observation vintage; both sides are cut by
+    series and month, which makes it an equi-join with a small residual filter.
     """
     require_columns(decisions, [period_end, decision_time], "decisions")
     wanted = vintages.where(F.col(series_id).isin(*series)).select(
@@ -107,8 +107,11 @@ def vintage_window_aggregate(
         return F.year(day) * 12 + F.month(day)
 
     begin = F.date_sub("__end", days)
-    cut = pairs.withColumn("__month", F.explode(F.sequence(month(begin), month(F.col("__end")))))
-    met = cut.join(wanted.withColumn("__month", month(F.col("__obs"))), "__month").where(
+    cut = pairs.withColumn(
+        "__month", F.explode(F.sequence(month(begin), month(F.col("__end"))))
+    ).withColumn("__series", F.explode(F.array(*[F.lit(s) for s in series])))
+    keys = ["__series", "__month"]
+    met = cut.join(wanted.withColumn("__month", month(F.col("__obs"))), keys).where(
         (F.col("__obs") >= begin)
         & (F.col("__obs") <= F.col("__end"))
         & (F.col("__avail") <= F.col("__dec"))

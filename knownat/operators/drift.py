@@ -52,8 +52,18 @@ def stability_index(
     placed = F.when(
         F.col("value").isNotNull(), F.size(F.filter("__inner", lambda e: e <= F.col("value")))
     )
+    # One row per listed feature: packed into one row, the edges need no shuffle of the rows.
+    table = edges.agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("feature", F.struct("__inner", "__edges")))
+        ).alias("__table")
+    )
+    one = F.lit(1).alias("__one")
     counted = (
-        both.join(edges, "feature", "left")
+        both.select("*", one)
+        .join(F.broadcast(table.select("*", one)), "__one")
+        .select("feature", "value", "__now", F.col("__table")[F.col("feature")].alias("__cut"))
+        .select("feature", "value", "__now", "__cut.__inner", "__cut.__edges")
         .groupBy("feature", "__edges", placed.alias("__bin"))
         .agg(
             F.sum((F.col("__now") == 0).cast("long")).alias("was"),

@@ -9,16 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knownat.functions import pad_id
-from knownat.operators.checks import require_columns
+from knownat.operators.checks import fail_if_any, fail_if_duplicated, require_columns
 
 SCHEMAS = ("metadata", "raw", "staging", "intermediate", "marts")
+#: Fixed formats: columns of the metadata tables and the keys that must be unique in them.
 METADATA_TABLES = {
-    "pipeline_runs": "run_id STRING NOT NULL, pipeline STRING NOT NULL, status STRING NOT NULL, "
-    "started_at TIMESTAMP NOT NULL, completed_at TIMESTAMP, details STRING",
-    "source_manifests": "artifact STRING NOT NULL, source STRING NOT NULL, sha256 STRING NOT NULL, "
-    "bytes BIGINT NOT NULL, retrieved_at TIMESTAMP NOT NULL",
-    "universe_decisions": "universe_version STRING NOT NULL, cik STRING NOT NULL, "
-    "selection_status STRING NOT NULL, reason STRING, decided_at DATE NOT NULL",
+    "pipeline_runs": "run_id STRING NOT NULL, started_at_utc TIMESTAMP NOT NULL, "
+    "completed_at_utc TIMESTAMP, status STRING NOT NULL, git_commit STRING, "
+    "config_version STRING NOT NULL",
+    "source_manifests": "source STRING NOT NULL, source_url STRING NOT NULL, "
+    "retrieved_at_utc TIMESTAMP NOT NULL, output_path STRING NOT NULL, sha256 STRING NOT NULL, "
+    "byte_count BIGINT NOT NULL, parameters_json STRING NOT NULL",
+    "universe_decisions": "selection_as_of DATE NOT NULL, cik STRING NOT NULL, ticker STRING, "
+    "company_name STRING NOT NULL, sector STRING, industry STRING, included BOOLEAN NOT NULL, "
+    "reason_code STRING NOT NULL, evidence_json STRING",
+}
+METADATA_KEYS = {
+    "pipeline_runs": ("run_id",),
+    "source_manifests": ("source", "sha256"),
+    "universe_decisions": ("selection_as_of", "cik"),
 }
 
 
@@ -34,6 +43,23 @@ def create_schemas(spark: SparkSession) -> None:
 FILE_ROWS = 4_000_000
 
 
+def record(df: DataFrame, name: str) -> None:
+    """Append rows to a metadata table; required columns must be filled and keys new."""
+    spark, table = df.sparkSession, f"metadata.{name}"
+    parts = [c.strip().split(" ", 1) for c in METADATA_TABLES[name].split(",")]
+    require_columns(df, [c for c, _ in parts], table)
+    rows = df.select(*[F.col(c).cast(kind.split(" ")[0]).alias(c) for c, kind in parts])
+    missing = F.lit(False)
+    for column, kind in parts:
+        if kind.endswith("NOT NULL"):
+            missing = missing | F.col(column).isNull()
+    fail_if_any(rows, missing, f"{table}: a required column is empty")
+    keys = list(METADATA_KEYS[name])
+    both = spark.table(table).select(*keys).unionAll(rows.select(*keys))
+    fail_if_duplicated(both, keys, f"{table}: a key is present already")
+    rows.write.mode("append").insertInto(table)
+
+
 def publish(df: DataFrame, table: str) -> None:
     """Replace a named table with the rows of a frame."""
     df.write.mode("overwrite").format("parquet").saveAsTable(table)

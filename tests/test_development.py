@@ -1,5 +1,5 @@
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -78,3 +78,24 @@ def test_named_tables(spark):
     assert spark.table("marts.sample_rows").count() == 3
     assert "run_id" in spark.table("metadata.pipeline_runs").columns
     spark.sql("DROP TABLE marts.sample_rows")
+
+
+def test_metadata_rows_have_filled_columns_and_new_keys(spark, make):
+    tables.create_schemas(spark)
+    schema = ("run_id string, started_at_utc timestamp, completed_at_utc timestamp, "
+              "status string, git_commit string, config_version string")
+    begun = datetime(2032, 5, 1, 12)
+
+    def run(name, status="done"):
+        return (name, begun, None, status, None, "v1")
+
+    tables.record(make([run("a"), run("b")], schema), "pipeline_runs")
+    assert spark.table("metadata.pipeline_runs").where("config_version = 'v1'").count() == 2
+    for rows, message in (
+        ([run("b")], "present already"),
+        ([run("c"), run("c")], "present already"),
+        ([run("d", None)], "required column"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            tables.record(make(rows, schema), "pipeline_runs")
+    assert spark.table("metadata.pipeline_runs").where("config_version = 'v1'").count() == 2
