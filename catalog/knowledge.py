@@ -240,7 +240,8 @@ SELECT cik, fiscal_year, 'FQ' || q AS fiscal_quarter, min(filed_at) AS decision_
   max(end_date) AS period_end, q AS fiscal_quarter_number,
   cik || '|' || fiscal_year || '|FQ' || q AS decision_key
 FROM fx WHERE filed_at <= DATE '{CUTOFF}' AND fiscal_year BETWEEN 1996 AND {CUTOFF[:4]}
-  AND end_date <= DATE '{CUTOFF}' GROUP BY cik, fiscal_year, q""",
+  AND end_date <= DATE '{CUTOFF}'
+    AND starts_with(form, CASE q WHEN 4 THEN '10-K' ELSE '10-Q' END) GROUP BY cik, fiscal_year, q""",
 )
 def decisions_from_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filing_decisions(filings(spark, sf_dir), cutoff=CUTOFF, first_year=1996)
@@ -252,7 +253,8 @@ def decisions_from_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 dc AS (SELECT cik, fiscal_year AS dfy, q AS dq, min(filed_at) AS decision_at,
     cik || '|' || fiscal_year || '|FQ' || q AS decision_key
   FROM fx WHERE filed_at <= DATE '{CUTOFF}' AND fiscal_year BETWEEN 1996 AND {CUTOFF[:4]}
-    AND end_date <= DATE '{CUTOFF}' GROUP BY cik, fiscal_year, q),
+    AND end_date <= DATE '{CUTOFF}'
+    AND starts_with(form, CASE q WHEN 4 THEN '10-K' ELSE '10-Q' END) GROUP BY cik, fiscal_year, q),
 known AS (SELECT dc.decision_key, fx.* FROM dc JOIN fx ON fx.cik = dc.cik AND fx.filed_at <= dc.decision_at
     AND year(fx.end_date) <= year(dc.decision_at) AND fx.fiscal_year <= dc.dfy),
 pk AS (SELECT * FROM known QUALIFY row_number() OVER (

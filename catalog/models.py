@@ -76,12 +76,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     "company_facts_flatten",
     f"""WITH {FX},
 c AS (SELECT *, 'tag_' || CASE concept WHEN 'revenue' THEN 'A' WHEN 'interest_expense' THEN 'N' ELSE 'R' END || (tag_priority % 2) AS tag
-  FROM fx WHERE tag_priority <> 2 AND value <= 90000 AND value >= 5000),
+  FROM fx WHERE tag_priority <> 2 AND value <= 90000 AND value >= 5000 AND form <> '8-K'),
 d AS (SELECT * FROM (VALUES ('tag_A0', 'revenue', 0), ('tag_A1', 'revenue', 1), ('tag_N0', 'interest_expense', 0),
     ('tag_A0', 'interest_expense', 1)) t(tag, concept, pr))
 SELECT lpad(cik, 10, '0') AS cik, 'Supplier ' || cik AS entity_name, d.concept, d.tag AS taxonomy_tag, CAST(pr AS INTEGER) AS tag_priority,
   CAST(end_date - CAST(duration_days - 1 AS INTEGER) AS DATE) AS start_date, end_date, value, accession_number, fiscal_year,
-  CASE q WHEN 4 THEN 'FY' ELSE 'Q' || q END AS fiscal_period, CASE q WHEN 4 THEN '10-K' ELSE '10-Q' END AS form, filed_at, duration_days
+  CASE q WHEN 4 THEN 'FY' ELSE 'Q' || q END AS fiscal_period, form, filed_at, duration_days
 FROM c JOIN d USING (tag)""",
 )
 def facts_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,8 @@ vx AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS observa
 dc AS (SELECT cik, fiscal_year AS dfy, q AS dq, min(filed_at) AS decision_at, max(end_date) AS period_end,
     cik || '|' || fiscal_year || '|FQ' || q AS decision_key
   FROM fx WHERE filed_at <= DATE '{CUTOFF}' AND fiscal_year BETWEEN 1996 AND {CUTOFF[:4]}
-    AND end_date <= DATE '{CUTOFF}' GROUP BY cik, fiscal_year, q),
+    AND end_date <= DATE '{CUTOFF}'
+    AND starts_with(form, CASE q WHEN 4 THEN '10-K' ELSE '10-Q' END) GROUP BY cik, fiscal_year, q),
 known AS (SELECT dc.decision_key, fx.* FROM dc JOIN fx ON fx.cik = dc.cik AND fx.filed_at <= dc.decision_at
     AND year(fx.end_date) <= year(dc.decision_at) AND fx.fiscal_year <= dc.dfy),
 pk AS (SELECT * FROM known QUALIFY row_number() OVER (

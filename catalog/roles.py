@@ -198,7 +198,14 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("value"),
         F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 9, "0"),
                     F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("accession_number"),
-        F.when(quarter == 4, "10-K").otherwise("10-Q").alias("form"),
+        F.when(F.col("l_partkey") % 13 == 0, "8-K")  # some of another kind, some amended
+        .otherwise(
+            F.concat(
+                F.when(quarter == 4, "10-K").otherwise("10-Q"),
+                F.when(F.col("l_orderkey") % 11 == 0, "/A").otherwise(""),
+            )
+        )
+        .alias("form"),
         F.date_add(end, lag).alias("filed_at"),
         F.when(F.col("l_linestatus") == "O", 90).otherwise(90 * quarter).alias("duration_days"),
     )
@@ -217,7 +224,9 @@ fx AS (
     lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '-' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS accession_number,
     CAST(last_day(CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL 2 MONTH) AS DATE)
       + CAST(20 + (l_orderkey + 3 * l_partkey) % 500 AS INTEGER) AS filed_at,
-    CAST(CASE WHEN l_linestatus = 'O' THEN 90 ELSE 90 * quarter(l_shipdate) END AS INTEGER) AS duration_days
+    CAST(CASE WHEN l_linestatus = 'O' THEN 90 ELSE 90 * quarter(l_shipdate) END AS INTEGER) AS duration_days,
+    CASE WHEN l_partkey % 13 = 0 THEN '8-K' ELSE CASE quarter(l_shipdate) WHEN 4 THEN '10-K' ELSE '10-Q' END
+      || CASE WHEN l_orderkey % 11 = 0 THEN '/A' ELSE '' END END AS form
   FROM lineitem
 )"""
 
