@@ -7,7 +7,7 @@ aggregated map-side when the panel was built.  All frames end at the current row
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,29 +136,38 @@ def temporal_features(
     return df.withColumns(added)
 
 
+#: Ratios as (top, what is taken from the top, bottom); growth rates over a year by their input.
+RATIO_TERMS = {
+    "short_term_debt_share": ("short_term_debt", None, "total_debt"),
+    "refinancing_gap_to_assets": ("short_term_debt", "cash_and_equivalents", "total_assets"),
+    "working_capital_to_assets": ("current_assets", "current_liabilities", "total_assets"),
+    "capital_expenditure_to_revenue": ("capital_expenditures_ttm", None, "revenue_ttm"),
+    "cash_flow_conversion": ("operating_cash_flow_ttm", None, "operating_income_ttm"),
+    "asset_turnover": ("revenue_ttm", None, "total_assets"),
+    "net_income_margin_ttm": ("net_income_ttm", None, "revenue_ttm"),
+}
+GROWTH_TERMS = {
+    "interest_expense_growth_yoy": "interest_expense_ttm",
+    "revenue_growth_yoy": "revenue_ttm",
+}
+
+
+def structural_inputs() -> list[str]:
+    """Columns that the structural ratios are made of."""
+    terms = {t for parts in RATIO_TERMS.values() for t in parts if t}
+    return sorted(terms | set(GROWTH_TERMS.values()))
+
+
 def structural_ratios(df: DataFrame, entity: str, time: str) -> DataFrame:
-    """Debt structure, liquidity, funding and asset-use ratios, with two growth rates."""
+    """Debt structure, liquidity, funding and asset-use ratios, with two growth rates.
+
+    Cash flow is related to the size of income, whatever its sign.
+    """
     w = entity_rows(entity, time)
-    tiny = 1e-9
-
-    def ratio(top: Column | str, bottom: Column | str) -> Column:
-        return guarded_ratio(top, bottom, tiny)
-
-    added: Mapping[str, Column] = {
-        "short_term_debt_share": ratio("short_term_debt", "total_debt"),
-        "refinancing_gap_to_assets": ratio(
-            F.col("short_term_debt") - F.col("cash_and_equivalents"), "total_assets"
-        ),
-        "interest_expense_growth_yoy": relative_growth("interest_expense_ttm", 4, w),
-        "working_capital_to_assets": ratio(
-            F.col("current_assets") - F.col("current_liabilities"), "total_assets"
-        ),
-        "capital_expenditure_to_revenue": ratio("capital_expenditures_ttm", "revenue_ttm"),
-        "cash_flow_conversion": ratio(
-            "operating_cash_flow_ttm", F.abs(F.col("operating_income_ttm"))
-        ),
-        "revenue_growth_yoy": relative_growth("revenue_ttm", 4, w),
-        "asset_turnover": ratio("revenue_ttm", "total_assets"),
-        "net_income_margin_ttm": ratio("net_income_ttm", "revenue_ttm"),
-    }
-    return df.withColumns(dict(added))
+    added: dict[str, Column] = {}
+    for name, (top, less, bottom) in RATIO_TERMS.items():
+        over = F.abs(bottom) if name == "cash_flow_conversion" else F.col(bottom)
+        added[name] = guarded_ratio(F.col(top) - F.col(less) if less else F.col(top), over, 1e-9)
+    for name, term in GROWTH_TERMS.items():
+        added[name] = relative_growth(term, 4, w)
+    return df.withColumns(added)

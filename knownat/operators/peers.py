@@ -13,10 +13,18 @@ from pyspark.sql import functions as F
 
 from knownat.functions import calendar_quarter_label
 from knownat.operators.checks import fail_if_any, require_columns
-from knownat.operators.history import TEMPORAL_FEATURES, structural_ratios, temporal_features
+from knownat.operators.history import (
+    GROWTH_TERMS,
+    RATIO_TERMS,
+    TEMPORAL_FEATURES,
+    structural_inputs,
+    structural_ratios,
+    temporal_features,
+)
 from knownat.operators.ratios import KPI_COLUMNS, source_quality
 from knownat.scale import stable, with_standings
 
+#: Features that get a standing among peers, by the names the result carries.
 PEER_FEATURES = (
     "interest_coverage_ttm",
     "free_cash_flow_margin_ttm",
@@ -77,30 +85,13 @@ def financial_features(
     peers: Sequence[str] = PEER_FEATURES,
 ) -> DataFrame:
     """Debt, liquidity, operating, temporal, peer and data-quality signals of the panel."""
-    needed = [entity, time, "period_end", sector, "preferred_tag_share", "derived_fact_share"]
-    require_columns(
-        panel,
-        [
-            *needed,
-            "short_term_debt",
-            "total_debt",
-            "cash_and_equivalents",
-            "total_assets",
-            "current_assets",
-            "current_liabilities",
-            "interest_expense_ttm",
-            "capital_expenditures_ttm",
-            "operating_cash_flow_ttm",
-            "operating_income_ttm",
-            "revenue_ttm",
-            "net_income_ttm",
-            "operating_margin_ttm",
-            "current_ratio",
-            "maximum_source_available_at",
-            *KPI_COLUMNS,
-        ],
-        "financial features input",
-    )
+    made = {*RATIO_TERMS, *GROWTH_TERMS}
+    given = [f for f in (*temporal, *peers) if f not in made]
+    needed = [
+        entity, time, "period_end", sector, "preferred_tag_share", "derived_fact_share",
+        "maximum_source_available_at", *structural_inputs(), *KPI_COLUMNS, *given,
+    ]
+    require_columns(panel, needed, "financial features input")
     fail_if_any(
         panel,
         F.col("maximum_source_available_at") > F.col(time),
