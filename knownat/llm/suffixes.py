@@ -118,9 +118,10 @@ def neighbouring(suffixes: DataFrame) -> DataFrame:
 
 
 def _windows(marked: DataFrame, least: int, sparse: int) -> DataFrame:
-    """(high, low, text_key, first_id, start) of each window whose minimiser is marked.
+    """(high, low, text_key, first_id, starts): windows whose minimiser is marked, once per text.
 
-    Rows are (text_key, first_id, marks, text); two hashes name a window's words.
+    Rows are (text_key, first_id, marks, text); two hashes name a window's words.  A text that
+    repeats a window in itself lists all its starts in one row.
     """
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,21 +134,28 @@ def _windows(marked: DataFrame, least: int, sparse: int) -> DataFrame:
                 wanted = np.full(len(lowest) + sparse - 1, np.iinfo(np.uint64).max, np.uint64)
                 wanted[marks[row]] = grams[marks[row]]
                 starts = np.flatnonzero(_slide(wanted, sparse, np.minimum) == lowest)
+                if not len(starts):
+                    continue
                 high = window_hashes(words, least)[starts].view(np.int64)
-                low = window_hashes(words, least, _SECOND)[starts].view(np.int64)
+                low = window_hashes(words, least, _SECOND)[starts].view(np.int64) >> 32
+                order = np.lexsort((starts, low, high))
+                starts, high, low = starts[order], high[order], low[order]
+                new = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+                first = np.concatenate([[0], np.flatnonzero(new) + 1])
+                ends = np.append(first, len(starts)).astype(np.int32)
                 yield pa.record_batch(
                     [
-                        pa.array(high),
-                        pa.array((low >> 32).astype(np.int32)),
-                        batch.column(0).take(pa.array(np.full(len(starts), row))),
-                        batch.column(1).take(pa.array(np.full(len(starts), row))),
-                        pa.array(starts.astype(np.int32)),
+                        pa.array(high[first]),
+                        pa.array(low[first].astype(np.int32)),
+                        batch.column(0).take(pa.array(np.full(len(first), row))),
+                        batch.column(1).take(pa.array(np.full(len(first), row))),
+                        pa.ListArray.from_arrays(ends, starts.astype(np.int32)),
                     ],
-                    ["high", "low", "text_key", "first_id", "start"],
+                    ["high", "low", "text_key", "first_id", "starts"],
                 )
 
     return marked.mapInArrow(
-        extend, "high long, low int, text_key long, first_id long, start int"
+        extend, "high long, low int, text_key long, first_id long, starts array<int>"
     )
 
 
@@ -205,7 +213,11 @@ def repeated_passages(
         F.max("text_key").alias("most_key"),
         F.min("first_id").alias("keeper"),
     ).where("least_key <> most_key").select("high", "low", "keeper")
-    found = windows.join(shared, ["high", "low"]).select("text_key", "start", "keeper").distinct()
+    found = (
+        windows.join(shared, ["high", "low"])
+        .select("text_key", F.explode("starts").alias("start"), "keeper")
+        .distinct()
+    )
     along = Window.partitionBy("text_key").orderBy("start")  # a text's windows
     begins = F.coalesce(F.col("start") > F.lag("start").over(along) + least, F.lit(True))
     numbered = found.withColumn("begins", begins.cast("int")).withColumn(
