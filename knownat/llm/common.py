@@ -16,8 +16,10 @@ from knownat.session import ensure_checkpoint_dir
 #: A word: a run of anything but ASCII white space (Java and DuckDB read this pattern alike).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to a Python task at once; a batch of long texts has to fit beside the model.
-BATCH_ROWS = 512
-_KNOWN_WORDS = 1 << 19
+BATCH_ROWS = 256
+_KNOWN_WORDS = 1 << 18
+#: Bytes of text whose words are held at once; a longer text stands alone.
+GROUP_BYTES = 1 << 21
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -62,9 +64,16 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [text or b"" for text in column.cast(pa.large_binary()).to_pylist()]
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text; ``bytes.split`` cuts at exactly the white space that ``WORD`` excludes."""
-    return text.split()
+def text_groups(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, cut into runs of bounded size; one empty run for no texts."""
+    group, held = [], 0
+    for text in texts:
+        if group and held + len(text) > GROUP_BYTES:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    yield group
 
 
 class WordHashes(dict):

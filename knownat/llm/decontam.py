@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knownat.llm.common import WordHashes, prepare, raw_texts, window_hashes
+from knownat.llm.common import WordHashes, prepare, raw_texts, text_groups, window_hashes
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -112,6 +112,13 @@ class ItemIndex:
 
     def contained(self, texts: list[bytes], threshold: float, hashes: WordHashes):
         """(document position, item name, shingles shared, shingles of the item), exact."""
+        before = 0
+        for group in text_groups(texts):
+            for document, *found in self._contained(group, threshold, hashes):
+                yield before + document, *found
+            before += len(group)
+
+    def _contained(self, texts: list[bytes], threshold: float, hashes: WordHashes):
         words = [t.lower().split() for t in texts]
         shingles = [
             window_hashes(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)), self.width)

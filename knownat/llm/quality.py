@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from knownat.llm.common import (
     learning_row,
     prepare,
     raw_texts,
+    text_groups,
 )
 
 BUCKETS = 1 << 14
@@ -58,8 +60,8 @@ def context_vectors(docs: DataFrame, text_column: str = "text") -> DataFrame:
         hashes = WordHashes()
         sums = np.zeros(BUCKETS * WIDTH)
         seen = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            _, flat, owner = _tokens(raw_texts(batch.column(0)), hashes)
+        for texts in chain.from_iterable(text_groups(raw_texts(b.column(0))) for b in batches):
+            _, flat, owner = _tokens(texts, hashes)
             bucket = (flat & np.uint64(BUCKETS - 1)).astype(np.int64)
             seen += np.bincount(bucket, minlength=BUCKETS)
             cells, signs = [], []
@@ -115,6 +117,9 @@ class WordVectors:
 
     def pool(self, texts: list[bytes], hashes: WordHashes) -> np.ndarray:
         """Feature rows of the texts; an empty text has zeros."""
+        return np.concatenate([self._pool(group, hashes) for group in text_groups(texts)])
+
+    def _pool(self, texts: list[bytes], hashes: WordHashes) -> np.ndarray:
         tokens, flat, owner = _tokens(texts, hashes)
         counts = np.bincount(owner, minlength=len(texts))
         full = np.flatnonzero(counts)

@@ -173,13 +173,16 @@ def judge_documents(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            taken = [Measures(t, hashes) for t in raw_texts(batch.column(1))]
-            counts = [pa.array([getattr(m, c) for m in taken], pa.int64()) for c in _COLUMNS]
-            failed = [m.base_failed for m in taken]
-            kept = [
-                not (bad or any(rejects(m) for rejects in cascade))
-                for m, bad in zip(taken, failed, strict=True)
-            ]
+            rows, failed, kept = [], [], []
+            for text in raw_texts(batch.column(1)):
+                measures = Measures(text, hashes)  # a text's words go before the next is read
+                rows.append([getattr(measures, c) for c in _COLUMNS])
+                failed.append(measures.base_failed)
+                kept.append(
+                    not (measures.base_failed or any(rejects(measures) for rejects in cascade))
+                )
+            counts = [pa.array(column, pa.int64()) for column in zip(*rows, strict=True)]
+            counts = counts or [pa.array([], pa.int64())] * len(_COLUMNS)
             yield pa.record_batch(
                 [batch.column(0), *counts, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())],
                 ["doc_id", *_COLUMNS, "base_failed", "kept"],

@@ -31,7 +31,8 @@ from knownat.llm.common import prepare, settled, shared_folder
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 64
-_REMEMBERED = 1 << 20
+#: Words and pieces remembered, each; reached rarely, for frequent words come early.
+_REMEMBERED = 1 << 18
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
 PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
