@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from knownat.llm import decontam, mixing, quality, simhash, tokens
-from knownat.llm.common import prepare, shared_folder
+from knownat.llm.common import prepare, shared_folder, stored_order
 from knownat.llm.queries import table, tokenizer_path
 
 
@@ -38,9 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: token files, and what was read back from them for each document."""
+    """Operator 1: token files in the training order that the mixing stage stored, read back."""
     prepare(spark)
-    folder, index = tokens.write_tokens(docs, tokenizer_path())
+    folder, index = tokens.write_tokens(docs, tokenizer_path(), order=stored_order())
     return tokens.with_starts(tokens.read_tokens(folder, index)).select(
         "doc_id", "start", "n_tokens", "ids_crc32"
     )

@@ -47,6 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_order() -> list[Column]:
+    """Place of a row in a table that was written in order: its file, then its row there.
+
+    Only for a table read from Parquet files; Spark numbers the files of a sorted write in order.
+    """
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")
+    return [number, name, F.col("_metadata.row_index")]
+
+
 def map_batches(
     df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token ids in Arrow stream files of fixed-size lists: equal-length sequences with masks.
 
-Documents are range partitioned and sorted by id; each task encodes its range and streams the
-ids, end id after every document, into a file of its own.  A record batch holds a fixed number of
+Documents are range partitioned and sorted, by id or an order given; each task encodes its range
+and streams the ids, end id after every document, into a file of its own.  A record batch holds a fixed number of
 sequences, a sequence a fixed number of ids, and a mask marks the ids that are not padding (only
 the tail of a file's last sequence is).  All batches but the last therefore have one layout, and
 a memory-mapped file gives any sequence as a view of its pages.  Texts are shuffled once, ids
@@ -228,6 +228,7 @@ def write_tokens(
     *,
     id_column: str = "doc_id",
     text_column: str = "text",
+    order: Sequence[Column] | None = None,
     end_id: int = 0,
     length: int = SEQUENCE,
     batch: int = BATCH_SEQUENCES,
@@ -235,20 +236,27 @@ def write_tokens(
 ) -> tuple[str, DataFrame]:
     """Write every text's ids and return (folder, index: doc_id, part, offset, n_tokens).
 
-    A null or empty text is its end id alone.  Order is by id, null ids first, equal ids by
-    text; repeated rows are written each.  Other columns are not read.  An empty table writes
+    A null or empty text is its end id alone.  Order is by the columns of ``order``, which should
+    tell rows apart, or else by id, null ids first, equal ids by text; repeated rows are written
+    each.  Other columns are not read.  An empty table writes
     no sequence.  ``files`` defaults to the session's shuffle partitions.
     """
     spark = prepare(docs.sparkSession)
     folder = folder or shared_folder(spark, "tokens")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = [column.alias(f"__place{n}") for n, column in enumerate(order or ())]
     rows = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")
-    )
-    tie = F.xxhash64("text")  # a hot id spreads over several ranges
-    ranged = rows.repartitionByRange(files, "doc_id", tie).sortWithinPartitions(
-        "doc_id", tie, "text"
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *places
     )
+    if order:
+        by = [f"__place{n}" for n in range(len(places))]
+        ranged = rows.repartitionByRange(files, *by).sortWithinPartitions(*by)
+    else:
+        tie = F.xxhash64("text")  # a hot id spreads over several ranges
+        ranged = rows.repartitionByRange(files, "doc_id", tie).sortWithinPartitions(
+            "doc_id", tie, "text"
+        )
+    ranged = ranged.select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _filesystem(folder)

@@ -4,7 +4,7 @@ import pytest
 from compare import connection, differences
 
 import corpus_pipeline
-from knownat.llm import queries
+from knownat.llm import mixing, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no benchmark tables here")
@@ -27,6 +27,24 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert sorted(whole.collect()) == sorted(docs.collect())
 
 
+def test_token_files_follow_the_training_order(spark, tmp_path):
+    docs = queries.table(spark, SF, "documents")
+    path = str(tmp_path / "mixed")
+    corpus_pipeline.mix_sources(spark, docs, SF).write.parquet(path)
+    placed = mixing.with_positions(mixing.plan_mixture(docs)).select("doc_id", "position")
+    planned = [r.doc_id for r in placed.orderBy("position").collect()]
+    assert planned != sorted(planned)
+    made = corpus_pipeline.write_token_files(spark, spark.read.parquet(path), SF).collect()
+    written = [r.doc_id for r in sorted(made, key=lambda r: r.start)]
+    place = {}
+    for r in placed.collect():
+        place.setdefault(r.doc_id, []).append(r.position)
+    place = {d: iter(sorted(found)) for d, found in place.items()}
+    positions = [next(place[d]) for d in written]
+    assert sorted(written) == sorted(planned)
+    assert positions == sorted(positions)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     made = queries.queries()[name](spark, SF).toArrow()
