@@ -7,9 +7,12 @@ and the tiles that hold it is high wherever it lies.  A tile is a candidate when
 minimum of any one of ``PERMUTATIONS`` hash orders with an item, and a candidate document is kept
 when it really contains enough of the item's distinct word shingles.
 
-With one hash per band the chance to miss an item is (1 - p) ** PERMUTATIONS, where p, the
-chance that an item's minimum is also that of the tile around it, is at least about a quarter
-for an item contained at 0.8, cut by tile borders at will: less than 1e-7.
+With one hash per band the chance to miss an item is (1 - p) ** PERMUTATIONS, where p is the
+chance that an item's minimum is also that of a tile.  A tile of t shingles that holds m of an
+item's n has it at m / (t + n - m) or more, and t is below 2 n; so p is at least 0.8 / 3 for an
+item contained at 0.8, however the tiles share it out, and the chance is below 1e-8.  Items of at
+most ``SHORT_ITEM`` distinct shingles do without: each of their shingles is looked up, and none
+is missed.
 
 Items are a stated query set: they are read in blocks of bounded size, one pass over the
 documents for each, and a block's index is all that is sent to the tasks.
@@ -33,7 +36,7 @@ from knownat.llm.common import WordHashes, prepare, raw_texts, text_groups, wind
 WIDTH = 5
 CONTAINMENT = 0.8
 PERMUTATIONS = 64
-SMALLEST_TILE = 16
+SHORT_ITEM = 8
 BLOCK_ITEMS = 4096
 BLOCK_BYTES = 16 << 20
 _PIECE = 1 << 16
@@ -43,9 +46,13 @@ _ORDERS = np.random.default_rng(20_24).integers(1, 1 << 63, PERMUTATIONS, dtype=
 
 @dataclass
 class _Partition:
-    """Items of one size: for each hash order the sorted minima and who has them."""
+    """Items of one size: for each hash order the sorted minima and who has them.
+
+    Short items have tiles of one shingle, one order and all shingles as minima.
+    """
 
     tile: int
+    orders: np.ndarray
     minima: list[np.ndarray] = field(default_factory=list)
     owners: list[dict[int, list[int]]] = field(default_factory=list)
 
@@ -65,7 +72,9 @@ class ItemIndex:
             if not held:
                 continue
             values = window_hashes(np.array([hashes[w] for w in words], np.uint64), width)
-            tile = max(SMALLEST_TILE, 1 << (len(values) - 1).bit_length())
+            values = np.unique(values)
+            short = len(values) <= SHORT_ITEM
+            tile = 1 if short else 1 << (len(values) - 1).bit_length()
             groups[tile].append((len(self.names), values))
             self.names.append(name)
             self.shingles.append(held)
@@ -73,11 +82,13 @@ class ItemIndex:
 
     @staticmethod
     def _partition(tile: int, group: list[tuple[int, np.ndarray]]) -> _Partition:
-        found = _Partition(tile)
-        for order in _ORDERS:
+        found = _Partition(tile, _ORDERS if tile > 1 else _ORDERS[:1])
+        for order in found.orders:
             owners: dict[int, list[int]] = defaultdict(list)
             for at, values in group:
-                owners[int((values * order).min())].append(at)
+                ordered = values * order
+                for value in [ordered.min()] if tile > 1 else ordered:
+                    owners[int(value)].append(at)
             found.minima.append(np.array(sorted(owners), np.uint64))
             found.owners.append(dict(owners))
         return found
@@ -100,7 +111,9 @@ class ItemIndex:
                 last = first + per_piece
                 end = starts[last] if last < len(starts) else len(values)
                 piece, cuts = values[mine[0] : end], mine - mine[0]
-                for order, minima, owners in zip(_ORDERS, part.minima, part.owners, strict=True):
+                for order, minima, owners in zip(
+                    part.orders, part.minima, part.owners, strict=True
+                ):
                     lowest = np.minimum.reduceat(piece * order, cuts)
                     near = np.searchsorted(minima, lowest)
                     near[near == len(minima)] = 0

@@ -54,6 +54,19 @@ def test_passages_cut_anywhere_in_long_texts(spark):
     assert sorted(r.item_id for r in found.collect()) == list(range(100))
 
 
+def test_short_items_in_long_texts_agree_with_brute_force():
+    long = prose(60, 20_000).split()
+    items = [(i, " ".join(long[i * 40 : i * 40 + 5 + i % 9])) for i in range(480)]
+    items += [(1000 + i, " ".join([f"w{i}"] * 60)) for i in range(40)]  # one distinct shingle
+    for i in range(40):
+        long[i * 400 + 39 : i * 400 + 39] = [f"w{i}"] * 5
+    text = " ".join(long)
+    index = decontam.ItemIndex([(i, t.encode()) for i, t in items], 5)
+    got = [(1, *hit) for _, *hit in index.contained([text.encode()], 0.8, decontam.WordHashes())]
+    assert sorted(got, key=repr) == brute([(1, text)], items)
+    assert len(got) > 400
+
+
 def test_blocks_of_items_find_the_same(spark, odd, items, monkeypatch):
     table = spark.createDataFrame(items, ITEMS)
     whole = sorted(decontam.find_contained(odd, table).collect(), key=repr)
