@@ -38,6 +38,23 @@ def test_pseudonyms_keep_the_format_and_can_be_undone(kind, value):
     assert counts == {kind: 2}
 
 
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [("phone", v) for v in ("+1 (017) 555-7713", "+1 (132) 555-1352", "415-055-2671", "(100) 100-0000")]
+    + [("date", v) for v in ("12/31/2020", "02.29.2024", "31.12.2020", "05-06-1999")],
+)
+def test_phones_of_any_digits_and_dates_in_either_order_are_replaced(kind, value):
+    given = pii.pseudonym(kind, value, KEY)
+    assert pii.pseudonymise(f"see {value}.", KEY) == (f"see {given}.", {kind: 1})
+    assert given != value
+    assert pii.pseudonym(kind, given, KEY, True) == value
+
+
+@pytest.mark.parametrize("text", ["31/31/2020", "02/30/2020", "13.13.2013", "12/31/1899"])
+def test_what_is_a_day_in_neither_order_stays(text):
+    assert pii.pseudonymise(text, KEY) == (text, {})
+
+
 @pytest.mark.parametrize(
     "text",
     ["", "no data", "4539578763621487", "300.1.2.3", "1.2.3.4.5", "2023-02-29", "000-12-3456",
