@@ -1,12 +1,13 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
-Words and word beginnings that go with toxicity are mined from a bounded sample of labelled rows,
-one of each group of near copies, by their likelihood ratio.  They make up lexicon voters; pattern
+Words and word beginnings that go with toxicity are mined from all labelled rows that may be
+learnt from, one of each group of near copies, by their likelihood ratio.  They make up lexicon voters; pattern
 voters watch shouting, symbols and stressed punctuation.  The votes of all documents are counted
 by vote pattern (``2**VOTERS`` at most), and expectation maximisation on those counts estimates
 the class balance, each voter's rate in either class and the correlations that remain between
 voters given the class, which discount voters that repeat one another.  Rows whose label may be
-learnt keep it.  A logistic model over single lexicon entries is trained on the posterior labels.
+learnt keep it.  A logistic model over single lexicon entries is trained on the posterior labels
+of a bounded sample.
 """
 
 from __future__ import annotations
@@ -31,9 +32,14 @@ from knownat.llm.common import (
     settled,
 )
 
-#: Labelled rows mined and learnt from, and further rows learnt from by posterior alone, about.
+#: Labelled rows that the classifier is fitted on, and further rows by posterior alone, about.
 LEARNING_ROWS = 20_000
-LEXICON = 2048
+#: Bound on the entries sent to the tasks; the likelihood-ratio threshold is what chooses them.
+LEXICON = 1 << 17
+#: Toxic rows that an entry needs: fewer are no evidence.
+_LEAST_TOXIC = 3
+#: Distinct entries counted in a task's memory before they are handed on.
+_COUNTED = 1 << 18
 THRESHOLD = 0.7
 _KINDS, _SPLIT = 3, 3
 PATTERNS = 3
@@ -100,7 +106,7 @@ def _marked(labels: DataFrame, label_column: str) -> DataFrame:
 def mine_lexicon(texts: DataFrame) -> Lexicon:
     """Entries of labelled texts (label, text) that go with label 1 beyond chance.
 
-    ``texts`` is the bounded sample; its near copies count once.
+    Near copies count once.  Counts of a bounded number of entries leave a task at a time.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,31 +116,36 @@ def mine_lexicon(texts: DataFrame) -> Lexicon:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
-        total = [0, 0]
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            names, counts = list(seen), list(seen.values())
+            for start in range(0, len(names), 1 << 16):
+                part = slice(start, start + (1 << 16))
+                yield pa.record_batch(
+                    [
+                        pa.array(names[part], pa.binary()),
+                        pa.array([c[0] for c in counts[part]], pa.int64()),
+                        pa.array([c[1] for c in counts[part]], pa.int64()),
+                    ],
+                    ["entry", "clean", "toxic"],
+                )
+            seen.clear()
+
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                total[label] += 1
+                seen[b""][label] += 1
                 for entry in entries_of(text):
                     seen[entry][label] += 1
-        names = [b"", *seen]
-        counts = [total, *seen.values()]
-        for start in range(0, len(names), 1 << 16):
-            part = slice(start, start + (1 << 16))
-            yield pa.record_batch(
-                [
-                    pa.array(names[part], pa.binary()),
-                    pa.array([c[0] for c in counts[part]], pa.int64()),
-                    pa.array([c[1] for c in counts[part]], pa.int64()),
-                ],
-                ["entry", "clean", "toxic"],
-            )
+                if len(seen) >= _COUNTED:
+                    yield from handed_on()
+        yield from handed_on()
 
     once = texts.select("label", "text").mapInArrow(keyed, "label int, text string, key long")
     once = once.dropDuplicates(["key", "label"]).select("label", "text")
     counts = settled(
         once.mapInArrow(counted, "entry binary, clean long, toxic long")
         .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where("toxic >= 3 OR entry = X''")
+        .where((F.col("toxic") >= _LEAST_TOXIC) | (F.col("entry") == F.lit(b"")))
     )
     total = counts.where("entry = X''").first()
     if total is None or not total.toxic or not total.clean:
@@ -261,8 +272,7 @@ def score_toxicity(
     rows = docs.select(
         F.col(id_column).cast("long").alias("__id"), F.col(text_column).alias("text")
     )
-    sample = rows.join(marked.where(hash_share(F.col("__id"), share)), "__id")
-    lexicon = mine_lexicon(sample.select("label", "text"))
+    lexicon = mine_lexicon(rows.join(marked, "__id").select("label", "text"))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

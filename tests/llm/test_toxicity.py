@@ -41,6 +41,25 @@ def test_held_out_rows_are_told_apart(spark, marked):
     assert not [r for r in held if r.predicted and not truth[r.doc_id]]
 
 
+def test_every_learnable_row_is_mined_however_few_the_classifier_takes(spark, marked, monkeypatch):
+    rows, labels = marked
+    seen, mine = [], toxicity.mine_lexicon
+
+    def watched(texts):
+        seen.append(texts.count())
+        seen.append(mine(texts))
+        return seen[1]
+
+    monkeypatch.setattr(toxicity, "LEARNING_ROWS", 60)
+    monkeypatch.setattr(toxicity, "mine_lexicon", watched)
+    got = toxicity.score_toxicity(
+        spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    )
+    assert got.count() == len(rows)
+    assert seen[0] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, *_ in labels)
+    assert {b"0" + word.encode() for word in BAD} <= set(seen[1].entries)
+
+
 def test_held_out_labels_do_not_matter(spark, marked):
     rows, labels = marked
     turned = [(d, 1 - t if zlib.crc32(str(d).encode()) % 3 == 1 else t, e) for d, t, e in labels]
