@@ -29,6 +29,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def narrow_batches(spark: SparkSession) -> SparkSession:
+    """As :func:`prepare`, for narrow rows: more rows to a batch, bounded by their bytes."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(GROUP_BYTES))
+    return spark
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors both reach."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

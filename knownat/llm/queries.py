@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import decontam, mixing, pii, quality, rules, simhash, suffixes, tokens, toxicity, urls
+from knownat.llm import (
+    centroids, decontam, mixing, pii, quality, rules, simhash, suffixes, tokens, toxicity, urls,
+)
 from knownat.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +164,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_mixture": op2_mixture,
@@ -173,8 +180,13 @@ QUERIES: dict[str, Query] = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_url_verdicts": op9_url_verdicts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_centroid_clusters": op11_centroid_clusters,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixture": OP2_SQL,
+    "op9_url_verdicts": urls.SQL,
+    "op11_centroid_clusters": centroids.sql(),
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixture": OP2_SQL, "op9_url_verdicts": urls.SQL}
 
 
 def queries() -> dict[str, Query]:
