@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knownat.llm import (
-    centroids, decontam, mixing, pii, quality, rules, simhash, suffixes, tokens, toxicity, urls,
+    centroids, decontam, mixing, partenum, pii, prefixes, quality, rules, simhash, suffixes,
+    tokens, toxicity, urls,
 )
 from knownat.llm.common import prepare
 
@@ -169,6 +170,16 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations."""
+    return prefixes.prefix_trie(prefixes.rebuilt_paths(table(spark, sf_dir, "conversations")))
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the size of their shingle set and their group of similar documents."""
+    return partenum.similar_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_mixture": op2_mixture,
@@ -181,11 +192,14 @@ QUERIES: dict[str, Query] = {
     "op9_url_verdicts": op9_url_verdicts,
     "op10_quality_rules": op10_quality_rules,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixture": OP2_SQL,
     "op9_url_verdicts": urls.SQL,
     "op11_centroid_clusters": centroids.sql(),
+    "op12_prefix_trie": prefixes.SQL,
 }
 
 
