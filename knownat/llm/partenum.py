@@ -41,8 +41,9 @@ SHINGLE = 5
 PERCENT = 80
 #: Members of a bucket that may be compared with each other, if in different groups.
 BUCKET = 64
-#: Divisions of a crowded bucket before its remaining pairs are compared as they are.
-LEVELS = 4
+#: Divisions of a crowded bucket before its remaining pairs are compared as they are: texts that
+#: nearly meet the limit share most buckets of any partition, so more divisions only repeat them.
+LEVELS = 1
 #: Members that one copy of a centre's text is compared with.
 PER_CENTRE = 256
 #: Sets up to this size have three second-level parts, larger ones two.
@@ -418,42 +419,38 @@ def _links(
     )
     links = settled(_verified(asked, texts, width, percent))
     tried = _ordered(asked)
-    for level in range(1, LEVELS + 2):
+    for level in range(LEVELS + 1):
         roots = linked_components(links).select(F.col("node").alias("class"), "root")
         groups = settled(
             ids.join(roots, "class", "left").select(
                 "key", "class", F.coalesce("root", "class").alias("root")
             )
         )
-        pairs = _pairs_between(buckets, groups, limit if level <= LEVELS else None)
+        crowded = _crowded(buckets, groups)
+        last = crowded.isEmpty()
+        pairs = _pairs_between(buckets, groups)
+        if level == LEVELS and not last:
+            pairs, last = pairs.union(_pairs_inside(crowded)).distinct(), True
         fresh = settled(pairs.join(tried, ["a", "b"], "left_anti"))
         links = settled(links.union(_verified(fresh, texts, width, percent)))
-        if level > LEVELS:
-            break
-        crowded = _crowded(buckets, groups)
-        if crowded.isEmpty():
+        if last:
             break
         tried = settled(tried.union(fresh))
         inside = texts.join(crowded, "class").select("text", "sig", "key")
-        buckets = _gathered(_divided_signatures(inside, width, percent, level), limit, "divided")
-        if level == LEVELS:
-            buckets = crowded.select(
-                "sig", F.col("key").alias("centre"), F.array("key").alias("members"),
-                F.lit(1).alias("weight"),
-            )
+        divided = _divided_signatures(inside, width, percent, level + 1)
+        buckets = _gathered(divided, limit, "divided")
     return links
 
 
-def _pairs_between(buckets: DataFrame, groups: DataFrame, limit: int | None) -> DataFrame:
-    """Ordered pairs of classes of different groups that share a small bucket.
+def _pairs_inside(crowded: DataFrame) -> DataFrame:
+    """Ordered pairs of classes of different groups that share a crowded bucket."""
+    left = crowded.select("sig", F.col("class").alias("a"), F.col("root").alias("x"))
+    right = crowded.select("sig", F.col("class").alias("b"), F.col("root").alias("y"))
+    return _ordered(left.join(right, "sig").where("x <> y AND a > b"))
 
-    Without a limit the members of each signature are compared across groups as they are.
-    """
-    if limit is None:
-        held = buckets.select("sig", F.explode("members").alias("key")).join(groups, "key")
-        left = held.select("sig", F.col("class").alias("a"), F.col("root").alias("x"))
-        right = held.select("sig", F.col("class").alias("b"), F.col("root").alias("y"))
-        return _ordered(left.join(right, "sig").where("x <> y AND a > b"))
+
+def _pairs_between(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Ordered pairs of classes of different groups that share a small bucket."""
     sets = buckets.where("sig IS NULL").groupBy("members").agg(F.lit(1).alias("one"))
     held = sets.select("members", F.explode("members").alias("key")).join(groups, "key")
     mixed_sets = held.groupBy("members").agg(
@@ -468,10 +465,10 @@ def _pairs_between(buckets: DataFrame, groups: DataFrame, limit: int | None) ->
 
 
 def _crowded(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(sig, class, key) of the large buckets that hold several groups."""
+    """(sig, class, key, root) of the large buckets that hold several groups."""
     held = buckets.where("sig IS NOT NULL").select("sig", F.explode("members").alias("key"))
     rooted = settled(held.join(groups, "key"))
     several = rooted.groupBy("sig").agg(
         F.min("root").alias("low"), F.max("root").alias("high")
     ).where("low <> high").select("sig")
-    return settled(rooted.join(several, "sig").select("sig", "class", "key"))
+    return settled(rooted.join(several, "sig").select("sig", "class", "key", "root"))
