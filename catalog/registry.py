@@ -11,7 +11,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("panel", "knowledge", "outcomes", "audits", "universe", "metrics", "forecasts", "models")
+_MODULES = (
+    "panel", "knowledge", "outcomes", "audits", "universe", "metrics", "forecasts", "models",
+    "stores",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

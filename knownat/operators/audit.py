@@ -344,6 +344,33 @@ def grain_check(
     )
 
 
+def cardinality_violations(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], *, one_to_one: bool = False
+) -> DataFrame:
+    """Keys that a many-to-one (or one-to-one) lookup may not have: (keys, side, rows, partners).
+
+    ``side`` is ``right`` for a key that the lookup side repeats, ``left`` for one that the left
+    side repeats where it may not, ``unmatched`` for a left key without a partner; a key may have
+    several lines.  Each side is counted by key before they meet, so no rows are multiplied.
+    """
+    keys = list(keys)
+    n, m = F.coalesce("__left", F.lit(0)), F.coalesce("__right", F.lit(0))
+    sides = [
+        table.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+        for table, name in ((left, "__left"), (right, "__right"))
+    ]
+    both = sides[0].join(sides[1], keys, "full")
+    found = [F.when(m > 1, "right"), F.when((n > 0) & (m == 0), "unmatched")]
+    if one_to_one:
+        found.append(F.when(n > 1, "left"))
+    return both.select(
+        *keys,
+        F.explode(F.array_compact(F.array(*found))).alias("side"),
+        n.alias("rows"),
+        m.alias("partners"),
+    )
+
+
 def checked_lookup(
     left: DataFrame, right: DataFrame, keys: Sequence[str], *, one_to_one: bool = False
 ) -> DataFrame:

@@ -5,12 +5,9 @@ A malformed payload parses to NULL and is returned by ``rejected`` instead of fa
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +21,7 @@ from knownat.operators.selection import (
     range_rule_lookup,
     screening_reason,
 )
+from knownat.sources.archives import archive_members, member_lines, member_payloads
 
 FACT_DOCUMENT = (
     "cik string, entityName string, facts map<string, map<string, struct<units: map<string, "
@@ -52,48 +50,26 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, member, payload): text members of ZIP files, one archive per task.
-
-    Members are streamed one at a time, so a task holds one archive and one member.
-    """
-
-    def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        text = archive.read(member).decode("utf-8", errors="replace")
-                        yield pd.DataFrame(
-                            {"path": [name], "member": [member], "payload": [text]}
-                        )
-
-    members = (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select("path", "content")
-        .mapInPandas(unzip, "path string, member string, payload string")
-    )
-    return members.where(F.col("member").rlike(pattern)) if pattern else members
+    """(path, member, payload): text members of ZIP files whose names match ``pattern``."""
+    return member_payloads(archive_members(spark, path, pattern))
 
 
 def read_archived_table(
     spark: SparkSession, path: str, member: str, schema: str, separator: str = "\t"
 ) -> DataFrame:
     """Rows of a delimited member (with a header line) of each archive, typed by ``schema``."""
-    lines = read_archive(spark, path).where(F.col("member") == member).select(
-        F.posexplode(F.split("payload", r"\r?\n")).alias("line", "text")
-    )
+    lines = member_lines(archive_members(spark, path).where(F.col("member") == member))
     kept = lines.where((F.col("line") > 0) & (F.length("text") > 0))
     parsed = kept.select(F.from_csv("text", schema, {"sep": separator}).alias("r"))
     return parsed.select("r.*")
 
 
-def rejected(documents: DataFrame, schema: str) -> DataFrame:
-    """Payloads that are not readable JSON objects."""
+def rejected(documents: DataFrame, schema: str, required: str | None = None) -> DataFrame:
+    """Payloads that are not readable JSON objects, or whose ``required`` field is empty."""
     parsed = F.from_json("payload", schema)
-    return documents.where(F.coalesce(parsed["cik"], F.lit("")) == "") if "cik" in schema else (
-        documents.where(parsed.isNull())
-    )
+    if required:
+        return documents.where(F.coalesce(parsed[required].cast("string"), F.lit("")) == "")
+    return documents.where(parsed.isNull())
 
 
 def concept_table(spark: SparkSession, concepts: Mapping[str, Mapping[str, Any]]) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knownat.functions import pad_id
-from knownat.operators.checks import fail_if_any, fail_if_duplicated, require_columns
+from knownat.operators.checks import require_columns
+from knownat.scale import same_keys, stable
+from knownat.sources.archives import file_digests
 
 SCHEMAS = ("metadata", "raw", "staging", "intermediate", "marts")
 #: Fixed formats: columns of the metadata tables and the keys that must be unique in them.
@@ -31,43 +34,88 @@ METADATA_KEYS = {
 }
 
 
-def create_schemas(spark: SparkSession) -> None:
-    """The layer databases and the metadata tables, if they do not exist yet."""
-    for name in SCHEMAS:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
-    for name, columns in METADATA_TABLES.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS metadata.{name} ({columns}) USING parquet")
+def create_schemas(
+    spark: SparkSession, names: Sequence[str] = SCHEMAS, *, location: str | None = None,
+    metadata: str = "metadata",
+) -> None:
+    """The layer databases and the metadata tables, if they do not exist yet.
+
+    ``location`` is a folder for the databases instead of the session's warehouse.
+    """
+    for name in names:
+        place = f" LOCATION '{location}/{name}'" if location else ""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}{place}")
+    for name, columns in METADATA_TABLES.items() if metadata in names else ():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {metadata}.{name} ({columns}) USING parquet")
 
 
 #: Rows, about, that one task writes into a partition value's folder.
 FILE_ROWS = 4_000_000
 
 
-def record(df: DataFrame, name: str) -> None:
-    """Append rows to a metadata table; required columns must be filled and keys new."""
-    spark, table = df.sparkSession, f"metadata.{name}"
+def record(df: DataFrame, name: str, *, metadata: str = "metadata") -> DataFrame:
+    """Append new rows to a metadata table and report on all rows that were offered.
+
+    A row is refused, never changed or merged, when a required column is empty, when its key is
+    in the table already, or when rows of this offer share the key.  One row per offered row:
+    the keys, ``outcome`` and ``detail`` (the empty columns, if any).
+    """
+    spark, table = df.sparkSession, f"{metadata}.{name}"
     parts = [c.strip().split(" ", 1) for c in METADATA_TABLES[name].split(",")]
     require_columns(df, [c for c, _ in parts], table)
     rows = df.select(*[F.col(c).cast(kind.split(" ")[0]).alias(c) for c, kind in parts])
-    missing = F.lit(False)
-    for column, kind in parts:
-        if kind.endswith("NOT NULL"):
-            missing = missing | F.col(column).isNull()
-    fail_if_any(rows, missing, f"{table}: a required column is empty")
-    keys = list(METADATA_KEYS[name])
-    both = spark.table(table).select(*keys).unionAll(rows.select(*keys))
-    fail_if_duplicated(both, keys, f"{table}: a key is present already")
-    rows.write.mode("append").insertInto(table)
+    needed = [c for c, kind in parts if kind.endswith("NOT NULL")]
+    empty = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in needed]))
+    judged = _judged(rows.withColumn("__empty", empty), spark.table(table), METADATA_KEYS[name])
+    judged.where("outcome = 'appended'").select(*[c for c, _ in parts]).write.mode(
+        "append"
+    ).insertInto(table)
+    return judged.select(*METADATA_KEYS[name], "outcome", "detail")
+
+
+def _judged(rows: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Offered rows with ``outcome`` and ``detail``; counts and the table meet them by key."""
+    keys = list(keys)
+    offered = stable(rows)
+    counts = offered.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    held = present.select(*keys).distinct().withColumn("__held", F.lit(True))
+    known = same_keys(counts, held, keys, "left")
+    outcome = (
+        F.when(F.size("__empty") > 0, "required_column_empty")
+        .when(F.col("__held"), "key_present")
+        .when(F.col("__n") > 1, "key_repeated")
+        .otherwise("appended")
+    )
+    judged = same_keys(offered, known, keys, "left").withColumns(
+        {"outcome": outcome, "detail": F.concat_ws(",", "__empty")}
+    )
+    return stable(judged.drop("__empty", "__n", "__held"))
 
 
 def publish(df: DataFrame, table: str) -> None:
-    """Replace a named table with the rows of a frame."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(table)
+    """Replace a named table with the rows of a frame, which may read that table itself.
 
-
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("fold_id", "horizon")) -> None:
+    The rows are written whole under another name first; only then do the names change, so
+    readers see the old table or the new one, and a failed write leaves the old one.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex[:8]
+    staged, former = f"{table}__staged_{mark}", f"{table}__former_{mark}"
+    df.write.format("parquet").saveAsTable(staged)
+    replaced = spark.catalog.tableExists(table)
+    if replaced:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {former}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    if replaced:
+        spark.sql(f"DROP TABLE {former}")
+
+
+def write_partitioned(
+    df: DataFrame, path: str, by: Sequence[str] = ("fold_id", "horizon"), *, only: bool = False
+) -> None:
     """Hive-partitioned Parquet; readers filtering on ``by`` open only matching folders.
 
+    ``only`` replaces just the partitions that the rows belong to and leaves the others.
+
     The keys have few values, so rows are also spread inside each of them by a hash of the other
     columns: a fold with most of the rows is written by as many tasks as its rows call for.
     """
@@ -77,6 +125,7 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("fold_id",
     (
         df.repartition(*by, F.pmod(F.xxhash64(*(others or by)), F.lit(salts)))
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if only else "static")
         .partitionBy(*by)
         .parquet(path)
     )
@@ -112,19 +161,20 @@ def restrict_to_entities(
 
 
 def verify_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Compare (path, content) files with recorded (path, sha256, bytes).
+    """Compare listed files (path) with recorded (path, sha256, bytes); one row per path.
 
-    Hashing runs where each file is read; only digests meet the manifest.
+    Digests are computed where a file is read, as a stream.  A file that nobody recorded and a
+    record without a file each give a row.
     """
-    measured = files.select(
-        "path",
-        F.sha2("content", 256).alias("__sha"),
-        F.length("content").cast("long").alias("__bytes"),
+    measured = file_digests(files).select(
+        "path", F.col("sha256").alias("__sha"), F.col("bytes").alias("__bytes")
     )
-    joined = manifest.join(measured, "path", "left")
+    recorded = manifest.select("path", "sha256", "bytes", F.lit(True).alias("__recorded"))
+    joined = recorded.join(measured, "path", "full")
     same = (F.col("__sha") == F.col("sha256")) & (F.col("__bytes") == F.col("bytes"))
     reason = (
-        F.when(F.col("__sha").isNull(), "artifact_missing")
+        F.when(F.col("__recorded").isNull(), "artifact_unrecorded")
+        .when(F.col("__sha").isNull(), "artifact_missing")
         .when(same, F.lit(None))
         .otherwise("checksum_or_size_mismatch")
     )
@@ -133,10 +183,6 @@ def verify_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
-
-
 def reconcile_accessions(
     bulk: DataFrame, facts: DataFrame, *, accession: str = "accession_number", period: str = "period"
 ) -> DataFrame:
