@@ -19,7 +19,7 @@ from catalog.roles import (
     table,
     vintages,
 )
-from knownat.operators import ensembles, modelling
+from knownat.operators import calibration, ensembles, modelling
 from knownat.operators.asof import vintage_window_aggregate
 from knownat.operators.filings import filing_decisions, point_in_time_rows
 from knownat.operators.folds import expanding_window_splits
@@ -247,7 +247,7 @@ def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     raw = _out_of_fold(spark, sf_dir, "pooled_logistic", fit).persist()
-    return modelling.cross_fitted_calibration(raw, ["none", "intercept", "platt", "isotonic"])
+    return calibration.cross_fitted_calibration(raw, ["none", "intercept", "platt", "isotonic"])
 
 
 @query("boosted_oof")

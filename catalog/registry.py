@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _MODULES = (
     "panel", "knowledge", "outcomes", "audits", "universe", "metrics", "forecasts", "models",
-    "stores",
+    "stores", "learning",
 )
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from knownat.operators import ensembles
 from knownat.operators.asof import prior_event_rate, prior_event_rate_at_origin
 from knownat.operators.folds import calibration_split, inner_split, rolling_training_rows
+from knownat.operators.calibration import calibrator
 from knownat.operators.modelling import (
     FittedModel,
-    calibrator,
     fit_model,
     nested_select,
     out_of_fold,
@@ -234,16 +234,9 @@ def rolling_development(
     )
     # Folds without completed predecessors fall back to the static weights.
     adaptive = past.unionByName(static.join(past, "fold_id", "left_anti"))
-    parts = [
-        base,
-        ensembles.average(base, keys),
-        ensembles.rank_average(base, keys),
-        ensembles.weighted(base, ensembles.top_models(inner, 3), keys, "ensemble_top3_average"),
-        ensembles.weighted(base, ensembles.top_models(inner, 1), keys, "ensemble_inner_winner"),
-        ensembles.weighted(base, static, keys, "ensemble_static_weighted"),
-        ensembles.weighted(base, adaptive, keys, "ensemble_adaptive_weighted"),
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
+    whole = base.unionByName(
+        ensembles.rolling_ensembles(
+            base, folds, keys, inner=inner, static=static, adaptive=adaptive, label=label
+        )
+    )
     return whole, inner
