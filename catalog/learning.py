@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog.audits import AVG_RANK
 from catalog.metrics import PB, panel_scores, ranking_sql
 from catalog.registry import query
-from catalog.roles import rounded
-from knownat.operators import calibration, ensembles, scoring
+from catalog.roles import SQ, rounded, supplier_panel
+from knownat.operators import calibration, ensembles, modelling, scoring
 
 FOLDED = f"""{PB}, f AS (SELECT *, 'fold_' || year(decision_at) AS fold_id FROM pb),
 fo AS (SELECT fold_id, CAST(row_number() OVER (ORDER BY min(decision_at), fold_id) - 1 AS INTEGER) AS k FROM f GROUP BY fold_id)"""
@@ -251,3 +252,102 @@ def frozen_champions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).select("decision_key", F.lit(champion).alias("model"), "probability")
         whole = made if whole is None else whole.unionByName(made)
     return rounded(whole, "probability", digits=8)
+
+
+# --- preprocessing and screens -----------------------------------------------------------------
+
+FEATURES = ("coverage", "cash_margin", "leverage")
+_FIT = ", ".join(
+    f"quantile_cont({f}, 0.01) AS {f}_lo, quantile_cont({f}, 0.5) AS {f}_mid, "
+    f"quantile_cont({f}, 0.99) AS {f}_hi, count(*) > count({f}) AS {f}_gap" for f in FEATURES
+)
+_FILL = "CASE WHEN {f} IS NULL THEN {f}_mid ELSE least(greatest({f}, {f}_lo), {f}_hi) END"
+_FILLED = ", ".join(f"{_FILL.format(f=f)} AS {f}" for f in FEATURES)
+_MOMENTS = ", ".join(
+    f"avg({f}) AS {f}_m, CASE WHEN stddev_pop({f}) = 0 THEN 1 ELSE stddev_pop({f}) END AS {f}_s"
+    for f in FEATURES
+)
+_MADE = ", ".join(
+    f"round(({_FILL.format(f='p.' + f).replace('p.' + f + '_', 't.' + f + '_')} - {f}_m) / {f}_s, 6) AS {f}, "
+    f"CASE WHEN {f}_gap THEN p.{f} IS NULL END AS {f}_missing" for f in FEATURES
+)
+
+
+@query(
+    "fold_preprocessing",
+    f"""WITH {SQ}, p AS (SELECT decision_key, 'fold_' || year(decision_at) AS fold_id, year(decision_at) AS y,
+  CASE WHEN lines % 5 <> 0 THEN coverage END AS coverage, cash_margin, leverage,
+  CASE WHEN qpos % 4 <> 0 THEN industry END AS industry FROM sq WHERE entity % 3 <> 0 OR year(decision_at) > 1994),
+tr AS (SELECT v.y AS target, p.* FROM p JOIN (SELECT DISTINCT y FROM p) v ON p.y < v.y),
+t AS (SELECT target, {_FIT}, list(DISTINCT industry) AS seen FROM tr GROUP BY target),
+mo AS (SELECT target, industry FROM (SELECT target, industry, count(*) AS n FROM tr WHERE industry IS NOT NULL GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, industry) = 1),
+fi AS (SELECT target, {_FILLED} FROM tr JOIN t USING (target)),
+ce AS (SELECT target, {_MOMENTS} FROM fi GROUP BY target)
+SELECT decision_key, fold_id, {_MADE}, coalesce(p.industry, mo.industry) AS industry,
+  list_contains(seen, coalesce(p.industry, mo.industry)) AS industry_seen
+FROM p JOIN t ON p.y = t.target JOIN ce ON p.y = ce.target JOIN mo ON p.y = mo.target""",
+)
+def fold_preprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each year's rows by clips, medians, means and modes of all earlier years."""
+    year = F.year("decision_at")
+    rows = supplier_panel(spark, sf_dir).where((F.col("entity") % 3 != 0) | (year > 1994)).select(
+        "decision_key",
+        F.concat(F.lit("fold_"), year).alias("fold_id"),
+        F.when(F.col("lines") % 5 != 0, F.col("coverage")).alias("coverage"),
+        "cash_margin",
+        "leverage",
+        F.when(F.col("qpos") % 4 != 0, F.col("industry")).alias("industry"),
+    )
+    folds = [r[0] for r in rows.select("fold_id").distinct().orderBy("fold_id").collect()]
+    names = F.array(*[F.lit(f) for f in folds])
+    later = F.filter(names, lambda f: f > F.col("fold_id"))
+    training = rows.withColumn("fold_id", F.explode(later))
+    fitted = modelling.fold_statistics(training, "fold_id", FEATURES, ["industry"])
+    made = modelling.apply_fold_statistics(rows, fitted, "fold_id", FEATURES, ["industry"])
+    return rounded(made, *FEATURES)
+
+
+SCREENED = ("income", "revenue", "assets", "interest", "debt", "coverage", "cash_margin", "leverage", "sparse", "flat")
+PROTECTED = ("assets", "coverage")
+_LISTED = ", ".join(f"({i}, '{f}')" for i, f in enumerate(SCREENED))
+_LONG = " UNION ALL ".join(
+    f"SELECT decision_key, '{f}' AS f, CAST({f} AS DOUBLE) AS v FROM sc" for f in SCREENED
+)
+
+
+@query(
+    "feature_screens",
+    f"""WITH RECURSIVE {SQ}, sc AS (SELECT *, CASE WHEN lines % 2 = 0 THEN revenue END AS sparse, 1.0 AS flat FROM sq),
+fe(i, f) AS (VALUES {_LISTED}), lo AS ({_LONG}),
+ok AS (SELECT fe.i, fe.f, row_number() OVER (ORDER BY fe.i) AS k FROM fe JOIN (SELECT f, count(v) / count(*)::DOUBLE AS share,
+    min(v) AS lo, max(v) AS hi FROM lo GROUP BY f) q USING (f) WHERE 1 - share <= 0.35 AND lo <> hi),
+pr AS (SELECT a.f AS feature_a, b.f AS feature_b, a.v AS x, b.v AS y FROM lo a JOIN lo b USING (decision_key)
+  JOIN ok oa ON oa.f = a.f JOIN ok ob ON ob.f = b.f WHERE oa.i < ob.i AND a.v IS NOT NULL AND b.v IS NOT NULL),
+r AS (SELECT feature_a, feature_b, {AVG_RANK.format(v="x")} AS rx, {AVG_RANK.format(v="y")} AS ry FROM pr),
+cl AS (SELECT feature_a, feature_b FROM r GROUP BY ALL HAVING abs(corr(rx, ry)) >= 0.8),
+ne AS (SELECT k, f, f IN {PROTECTED} AS core,
+    (SELECT coalesce(list(feature_a), []) FROM cl WHERE feature_b = f) || (SELECT coalesce(list(feature_b), []) FROM cl WHERE feature_a = f) AS near FROM ok),
+st(k, kept, gone, winner) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[]
+  UNION ALL
+  SELECT k2,
+    CASE WHEN rival IS NULL THEN list_append(kept, f) WHEN NOT core THEN kept
+      WHEN rival IN {PROTECTED} THEN list_append(kept, f) ELSE list_append(list_filter(kept, lambda x: x <> rival), f) END,
+    CASE WHEN rival IS NULL OR (core AND rival IN {PROTECTED}) THEN gone WHEN core THEN list_append(gone, rival) ELSE list_append(gone, f) END,
+    CASE WHEN rival IS NULL OR (core AND rival IN {PROTECTED}) THEN winner WHEN core THEN list_append(winner, f) ELSE list_append(winner, rival) END
+  FROM (SELECT st.kept, st.gone, st.winner, ne.k AS k2, ne.f, ne.core, list_filter(st.kept, lambda x: list_contains(ne.near, x))[1] AS rival
+    FROM st JOIN ne ON ne.k = st.k + 1) s),
+la AS (SELECT * FROM st ORDER BY k DESC LIMIT 1)
+SELECT fe.f AS feature, CAST(fe.i AS INTEGER) AS position, fe.f IN {PROTECTED} AS protected_core, ok.f IS NOT NULL AS sound,
+  list_contains(kept, fe.f) AS kept, CASE WHEN list_contains(gone, fe.f) THEN winner[list_position(gone, fe.f)] END AS stands_for
+FROM fe LEFT JOIN ok USING (f), la""",
+)
+def feature_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten candidate features through the quality screen and the correlation pruning."""
+    rows = supplier_panel(spark, sf_dir).withColumns(
+        {"sparse": F.when(F.col("lines") % 2 == 0, F.col("revenue")), "flat": F.lit(1.0)}
+    )
+    return modelling.feature_screens(
+        rows, SCREENED, protected=PROTECTED, maximum_correlation=0.8
+    )
