@@ -31,8 +31,8 @@ from knownat.llm.common import prepare, settled, shared_folder
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 64
-#: Words and pieces remembered, each; reached rarely, for frequent words come early.
-_REMEMBERED = 1 << 18
+#: Words and pieces, each, that a worker remembers before the memory turns into the old one.
+_REMEMBERED = 1 << 19
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
 PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,19 +55,21 @@ class _Irregular(Exception):
     """A word that does not stand alone: white space comes before the space that ends it."""
 
 
-class _Words(dict):
-    """Ids of each word met, led by a space or not."""
+class _Recent(dict):
+    """Values by key, made once: a full memory becomes the old one, and hits there move up."""
 
-    def __init__(self, learn, lead: str) -> None:
-        self.learn, self.lead = learn, lead
+    def __init__(self, make, room: int) -> None:
+        self.make, self.room, self.old = make, room, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[-1].isspace():
-            raise _Irregular
-        if len(self) >= _REMEMBERED:
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.room:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.learn(word, self.lead)
-        return ids
+        self[key] = value
+        return value
 
 
 class Encoder:
@@ -88,30 +90,29 @@ class Encoder:
         cut = json.loads(self.tokenizer.to_str())
         self.byte_level = cut["normalizer"] is None and cut["pre_tokenizer"] == _BYTE_LEVEL
         self.pretoken, self.characters = regex.compile(PRETOKEN), _byte_characters()
-        self.pieces: dict[str, bytes] = {}
-        self.first, self.words = _Words(self.learn, ""), _Words(self.learn, " ")
+        self.pieces = _Recent(self.tokenized, _REMEMBERED)
+        self.first = _Recent(self.learn, _REMEMBERED >> 4)
+        self.words = _Recent(lambda word: self.learn(word, " "), _REMEMBERED)
 
     def library(self, text: str) -> bytes:
         return array(
             self.width, self.tokenizer.encode(text, add_special_tokens=False).ids
         ).tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= _REMEMBERED:
-                self.pieces.clear()
-            written = piece.encode().decode("latin-1").translate(self.characters)
-            found = [token.id for token in self.tokenizer.model.tokenize(written)]
-            ids = self.pieces[piece] = array(self.width, found).tobytes()
-        return ids
-
-    def learn(self, word: str, lead: str) -> bytes:
+    def tokenized(self, piece: str) -> bytes:
+        written = piece.encode().decode("latin-1").translate(self.characters)
+        found = [token.id for token in self.tokenizer.model.tokenize(written)]
+        return array(self.width, found).tobytes()
+
+    def learn(self, word: str, lead: str = "") -> bytes:
+        """Ids of a word that stands alone, from those of its pieces."""
+        if not word or word[-1].isspace():
+            raise _Irregular
         if word.isalpha():
-            return self.piece(lead + word)
+            return self.pieces[lead + word]
         if word[-1] in ",." and word[:-1].isalpha():
-            return self.piece(lead + word[:-1]) + self.piece(word[-1])
-        return b"".join(map(self.piece, self.pretoken.findall(lead + word)))
+            return self.pieces[lead + word[:-1]] + self.pieces[word[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.pretoken.findall(lead + word)))
 
     def encode(self, text: str) -> bytes:
         """Ids of the text in native byte order."""
