@@ -162,7 +162,7 @@ def metadata_append_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     unnamed = F.when(F.col("c_custkey") % 14 != 0, F.col("company_name"))
     second = decisions.withColumn("company_name", unnamed)
     offered = second.where("c_custkey % 2 = 0").unionAll(second.where("c_custkey % 10 = 0"))
-    return tables.record(offered, "universe_decisions", metadata=database)
+    return tables.append_new(offered, "universe_decisions", metadata=database)
 
 
 @query(

@@ -53,24 +53,44 @@ def create_schemas(
 FILE_ROWS = 4_000_000
 
 
-def record(df: DataFrame, name: str, *, metadata: str = "metadata") -> DataFrame:
-    """Append new rows to a metadata table and report on all rows that were offered.
+def record(df: DataFrame, name: str, *, metadata: str = "metadata") -> None:
+    """Append rows to a metadata table; required columns must be filled and keys new.
+
+    If a row does not qualify nothing is written and the error names the first such row.
+    """
+    judged, columns = _offered(df, name, metadata)
+    refused = judged.where("outcome <> 'appended'").select("outcome", *METADATA_KEYS[name]).first()
+    if refused:
+        empty = refused.outcome == "required_column_empty"
+        problem = "a required column is empty" if empty else "a key is present already"
+        keys = {k: refused[k] for k in METADATA_KEYS[name]}
+        raise ValueError(f"{metadata}.{name}: {problem}, {keys}")
+    judged.select(*columns).write.mode("append").insertInto(f"{metadata}.{name}")
+
+
+def append_new(df: DataFrame, name: str, *, metadata: str = "metadata") -> DataFrame:
+    """Append the rows of a metadata table that qualify and report on all that were offered.
 
     A row is refused, never changed or merged, when a required column is empty, when its key is
     in the table already, or when rows of this offer share the key.  One row per offered row:
     the keys, ``outcome`` and ``detail`` (the empty columns, if any).
     """
-    spark, table = df.sparkSession, f"{metadata}.{name}"
+    judged, columns = _offered(df, name, metadata)
+    fit = judged.where("outcome = 'appended'").select(*columns)
+    fit.write.mode("append").insertInto(f"{metadata}.{name}")
+    return judged.select(*METADATA_KEYS[name], "outcome", "detail")
+
+
+def _offered(df: DataFrame, name: str, metadata: str) -> tuple[DataFrame, list[str]]:
+    table = f"{metadata}.{name}"
     parts = [c.strip().split(" ", 1) for c in METADATA_TABLES[name].split(",")]
-    require_columns(df, [c for c, _ in parts], table)
+    columns = [c for c, _ in parts]
+    require_columns(df, columns, table)
     rows = df.select(*[F.col(c).cast(kind.split(" ")[0]).alias(c) for c, kind in parts])
     needed = [c for c, kind in parts if kind.endswith("NOT NULL")]
     empty = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in needed]))
-    judged = _judged(rows.withColumn("__empty", empty), spark.table(table), METADATA_KEYS[name])
-    judged.where("outcome = 'appended'").select(*[c for c, _ in parts]).write.mode(
-        "append"
-    ).insertInto(table)
-    return judged.select(*METADATA_KEYS[name], "outcome", "detail")
+    present = df.sparkSession.table(table)
+    return _judged(rows.withColumn("__empty", empty), present, METADATA_KEYS[name]), columns
 
 
 def _judged(rows: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
