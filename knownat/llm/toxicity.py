@@ -34,7 +34,7 @@ from knownat.llm.common import (
 
 #: Labelled rows that the classifier is fitted on, and further rows by posterior alone, about.
 LEARNING_ROWS = 20_000
-#: Bound on the entries sent to the tasks; the likelihood-ratio threshold is what chooses them.
+#: Most entries that tasks may be sent; the likelihood-ratio threshold alone chooses them.
 LEXICON = 1 << 17
 #: Toxic rows that an entry needs: fewer are no evidence.
 _LEAST_TOXIC = 3
@@ -103,16 +103,35 @@ def _marked(labels: DataFrame, label_column: str) -> DataFrame:
     )
 
 
-def mine_lexicon(texts: DataFrame) -> Lexicon:
-    """Entries of labelled texts (label, text) that go with label 1 beyond chance.
+def _labelled_texts(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """(label, text, first) of the labelled rows; one of the near copies of a label is ``first``.
 
-    Near copies count once.  Counts of a bounded number of entries leave a task at a time.
+    Keys and labels meet on narrow rows; then the texts move once, by one kind of join at every
+    size.  An id that several rows hold brings all of them.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [_copy_key(t) for t in raw_texts(batch.column(1))]
-            yield pa.record_batch([*batch.columns, pa.array(keys, pa.int64())], ["label", "text", "key"])
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.int64())], ["__id", "key"])
+
+    learnable = rows.where(F.col("__id").isNotNull() & learning_row(F.col("__id")))
+    keys = learnable.mapInArrow(keyed, "__id long, key long")
+    met = settled(keys.join(marked, "__id"))
+    chosen = met.groupBy("key", "label").agg(F.min("__id").alias("__id")).select("__id").distinct()
+    ids = met.select("__id", "label").distinct().join(
+        chosen.withColumn("first", F.lit(True)), "__id", "left"
+    )
+    flagged = settled(ids.select("__id", "label", F.coalesce("first", F.lit(False)).alias("first")))
+    return learnable.join(flagged.hint("merge"), "__id").select("label", "text", "first")
+
+
+def mine_lexicon(texts: DataFrame) -> Lexicon:
+    """Entries of labelled texts (label, text, first) that go with label 1 beyond chance.
+
+    Near copies count once, by the ``first`` of them.  Counts of a bounded number of entries leave a task at a time.  More entries than the tasks
+    may hold are an error, never dropped.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
@@ -140,10 +159,8 @@ def mine_lexicon(texts: DataFrame) -> Lexicon:
                     yield from handed_on()
         yield from handed_on()
 
-    once = texts.select("label", "text").mapInArrow(keyed, "label int, text string, key long")
-    once = once.dropDuplicates(["key", "label"]).select("label", "text")
     counts = settled(
-        once.mapInArrow(counted, "entry binary, clean long, toxic long")
+        texts.where("first").select("label", "text").mapInArrow(counted, "entry binary, clean long, toxic long")
         .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where((F.col("toxic") >= _LEAST_TOXIC) | (F.col("entry") == F.lit(b"")))
     )
@@ -161,9 +178,12 @@ def mine_lexicon(texts: DataFrame) -> Lexicon:
     best = (
         counts.where("entry <> X''")
         .where((F.col("toxic") > 4 * share * seen) & (ratio >= float(least)))
-        .orderBy(ratio.desc(), "entry").limit(LEXICON)
+        .orderBy(ratio.desc(), "entry").select("entry")
     )
-    return Lexicon([bytes(r.entry) for r in best.select("entry").collect()])
+    entries = best.limit(LEXICON + 1).collect()
+    if len(entries) > LEXICON:
+        raise ValueError(f"more than {LEXICON} entries pass the threshold; raise LEXICON")
+    return Lexicon([bytes(r.entry) for r in entries])
 
 
 @dataclass
@@ -272,7 +292,7 @@ def score_toxicity(
     rows = docs.select(
         F.col(id_column).cast("long").alias("__id"), F.col(text_column).alias("text")
     )
-    lexicon = mine_lexicon(rows.join(marked, "__id").select("label", "text"))
+    lexicon = mine_lexicon(_labelled_texts(rows, marked))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
