@@ -7,7 +7,7 @@ alone, so two equal passages keep suffixes that agree for ``LEAST - SPARSE + 1``
 Suffixes are sorted by a hash of those words over the whole corpus and compared with their
 neighbours; those that agree with one of another text are extended to the left and right: each
 window of ``LEAST`` words whose minimiser is such a suffix is looked for in other texts, and
-adjoining windows found there make up the maximal repeated passages.  Equal texts are one text.
+windows that follow each other make up the maximal repeated passages.  Equal texts are one text.
 """
 
 from __future__ import annotations
@@ -167,15 +167,18 @@ def repeated_passages(
     least: int = LEAST,
     sparse: int = SPARSE,
 ) -> DataFrame:
-    """(doc_id, start_word, n_words, first_doc_id): maximal spans whose every ``least``-word
-    window occurs in another text as well; a text held by two ids is one span.
-
-    ``first_doc_id`` is the smallest id that holds one of the span's windows, so a caller keeps
-    a span where it equals ``doc_id`` and may cut it elsewhere.  Words are runs without ASCII
-    white space, compared as written.  Null, empty and shorter texts give no row, nor do
+    """(doc_id, start_word, n_words, first_doc_id, parts): maximal spans whose every
+    ``least``-word window occurs in another text as well.
+
+    ``parts`` cuts a span where the smallest holder of its windows changes: (start_word, n_words,
+    first_doc_id) each, overlapping by a window less one word; ``first_doc_id`` is the smallest
+    of them.  A caller keeps a part whose first id is its own and may cut it elsewhere.  A text
+    that several ids hold also gives its whole length as one span, next to those it shares with
+    other texts, so no link is lost between copies and a third text.  Words are runs without
+    ASCII white space, compared as written.  Null, empty and shorter texts give no row, nor do
     passages repeated only inside one text.  Repeated rows of one id and text count once and
-    give their spans once; rows without an id join in, under a null id.  Other columns are not
-    read.
+    give their spans once; rows without an id join in, under a null id.  Texts of any length are
+    read whole.  An empty table gives no rows; other columns are not read.
     """
     if not GRAM <= least - sparse + 1:
         raise ValueError("a passage must reach a gram beyond its sparse positions")
@@ -219,22 +222,29 @@ def repeated_passages(
         .distinct()
     )
     along = Window.partitionBy("text_key").orderBy("start")  # a text's windows
-    begins = F.coalesce(F.col("start") > F.lag("start").over(along) + least, F.lit(True))
-    numbered = found.withColumn("begins", begins.cast("int")).withColumn(
-        "span", F.sum("begins").over(along)
-    )
-    spans = numbered.groupBy("text_key", "span").agg(
-        F.min("start").alias("start_word"),
-        (F.max("start") - F.min("start") + least).alias("n_words"),
-        F.min("keeper").alias("keeper"),
+    apart = F.coalesce(F.col("start") > F.lag("start").over(along) + 1, F.lit(True))
+    other = apart | ~F.col("keeper").eqNullSafe(F.lag("keeper").over(along))
+    numbered = found.withColumns(
+        {"apart": apart.cast("int"), "other": other.cast("int")}
+    ).withColumns({"span": F.sum("apart").over(along), "part": F.sum("other").over(along)})
+    words = (F.max("start") - F.min("start") + least).alias("n_words")
+    parts = numbered.groupBy("text_key", "span", "part").agg(
+        F.min("start").alias("start_word"), words, F.first("keeper").alias("first_doc_id")
     )
+    last = F.max(F.col("start_word") + F.col("n_words"))
+    spans = parts.groupBy("text_key", "span").agg(
+        F.min("start_word").alias("start_word"),
+        (last - F.min("start_word")).alias("n_words"),
+        F.min("first_doc_id").alias("first_doc_id"),
+        F.sort_array(F.collect_list(F.struct("start_word", "n_words", "first_doc_id"))).alias("parts"),
+    ).drop("span")
     whole = texts.where((F.col("holders") > 1) & (F.col("size") >= least)).select(
         "text_key", F.lit(0).alias("start_word"), F.col("size").alias("n_words"),
-        F.col("first_id").alias("keeper"),
-    )
-    partial = spans.join(whole.select("text_key"), "text_key", "left_anti").select(
-        "text_key", "start_word", "n_words", "keeper"
-    )
-    return ids.select("doc_id", "text_key").join(whole.union(partial), "text_key").select(
-        "doc_id", "start_word", "n_words", F.col("keeper").alias("first_doc_id")
+        F.col("first_id").alias("first_doc_id"),
     )
+    spans = settled(spans.select("text_key", "start_word", "n_words", "first_doc_id", "parts"))
+    place = ["text_key", "start_word", "n_words"]
+    whole = whole.join(spans.select(*place), place, "left_anti")
+    part = F.array(F.struct("start_word", "n_words", "first_doc_id")).alias("parts")
+    both = whole.select("*", part).union(spans)
+    return ids.select("doc_id", "text_key").join(both, "text_key").drop("text_key")
