@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.audits import AVG_RANK
+from catalog.knowledge import LABELLED, labelled_panel
 from catalog.metrics import PB, panel_scores, ranking_sql
 from catalog.registry import query
 from catalog.roles import SQ, rounded, supplier_panel
-from knownat.operators import calibration, ensembles, modelling, scoring
+from knownat.operators import (
+    calibration, ensembles, folds, history, modelling, profile, ratios, scoring,
+)
 
 FOLDED = f"""{PB}, f AS (SELECT *, 'fold_' || year(decision_at) AS fold_id FROM pb),
 fo AS (SELECT fold_id, CAST(row_number() OVER (ORDER BY min(decision_at), fold_id) - 1 AS INTEGER) AS k FROM f GROUP BY fold_id)"""
@@ -351,3 +356,163 @@ def feature_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modelling.feature_screens(
         rows, SCREENED, protected=PROTECTED, maximum_correlation=0.8
     )
+
+
+# --- indicators, features, windows of one training fold ----------------------------------------
+
+_KPIS = ("interest_coverage_ttm", "free_cash_flow_margin_ttm", "total_debt_to_assets")
+
+
+@query(
+    "financial_kpis",
+    f"""WITH {SQ}, i AS (SELECT decision_key, abs(interest) AS interest, income AS op, cash, debt, assets,
+    CASE WHEN lines % 7 = 0 THEN 0 ELSE revenue END AS revenue, CASE WHEN lines % 3 = 0 THEN debt END AS liabilities FROM sq),
+k AS (SELECT *, coalesce(interest < 2000, TRUE) AS bi, coalesce(revenue <= 0, TRUE) AS br, coalesce(assets <= 0, TRUE) AS ba,
+    cash - 0.1::DOUBLE * assets AS fcf FROM i)
+SELECT decision_key, bi AS interest_denominator_invalid, br AS revenue_denominator_invalid, coalesce(op < 0, FALSE) AS negative_operating_income,
+  round(CASE WHEN NOT bi AND interest > 0 THEN op / interest END, 6) AS interest_coverage_ttm,
+  round(CASE WHEN NOT br THEN fcf / revenue END, 6) AS free_cash_flow_margin_ttm,
+  round(CASE WHEN NOT ba THEN debt / assets END, 6) AS total_debt_to_assets,
+  round(CASE WHEN NOT br THEN op / revenue END, 6) AS operating_margin_ttm,
+  round(CASE WHEN abs(liabilities) > 0 THEN assets / liabilities END, 6) AS current_ratio,
+  (bi OR NOT interest > 0) AS interest_coverage_ttm_missing, br AS free_cash_flow_margin_ttm_missing, (ba OR debt IS NULL) AS total_debt_to_assets_missing
+FROM k""",
+)
+def financial_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing-year indicators with the denominators that make them missing."""
+    rows = supplier_panel(spark, sf_dir).select(
+        "decision_key",
+        F.col("interest").alias("interest_expense_ttm"),
+        F.when(F.col("lines") % 7 == 0, 0.0).otherwise(F.col("revenue")).alias("revenue_ttm"),
+        F.col("assets").alias("total_assets"),
+        F.col("income").alias("operating_income_ttm"),
+        F.col("cash").alias("operating_cash_flow_ttm"),
+        (0.1 * F.col("assets")).alias("capital_expenditures_ttm"),
+        F.col("debt").alias("total_debt"),
+        F.col("assets").alias("current_assets"),
+        F.when(F.col("lines") % 3 == 0, F.col("debt")).alias("current_liabilities"),
+    )
+    made = ratios.financial_kpis(rows, minimum_interest_expense=2000)
+    values = [*_KPIS, "operating_margin_ttm", "current_ratio"]
+    return rounded(
+        made.select(
+            "decision_key", "interest_denominator_invalid", "revenue_denominator_invalid",
+            "negative_operating_income", *values, *[f"{k}_missing" for k in _KPIS],
+        ),
+        *values,
+    )
+
+
+@query(
+    "historical_features",
+    f"""WITH {SQ}, p AS (SELECT decision_key, entity, decision_at, coverage, revenue, sector, leverage,
+    period_end AS a, decision_at - CAST(entity % 9 AS INTEGER) AS m FROM sq)
+SELECT decision_key, round(lag(coverage, 1) OVER w, 6) AS coverage_lag1, round(lag(coverage, 2) OVER w, 6) AS coverage_lag2,
+  round(lag(coverage, 4) OVER w, 6) AS coverage_lag4, round(coverage - lag(coverage, 4) OVER w, 6) AS coverage_yoy_change,
+  round(CASE WHEN count(coverage) OVER f >= 3 THEN stddev_samp(coverage) OVER f END, 5) AS coverage_volatility_4q,
+  round(CASE WHEN abs(lag(revenue, 4) OVER w) > 0 THEN revenue / lag(revenue, 4) OVER w - 1 END, 6) AS revenue_yoy_change,
+  round(CASE WHEN leverage IS NULL THEN NULL WHEN sector = 'ASIA' THEN leverage ELSE 0 END, 6) AS asia_x_leverage,
+  lag(coverage, 4) OVER w IS NULL AS coverage_lag4_missing, coverage IS NULL AS coverage_missing,
+  CAST(greatest(a, m) AS DATE) AS feature_available_at
+FROM p WINDOW w AS (PARTITION BY entity ORDER BY decision_at), f AS (PARTITION BY entity ORDER BY decision_at ROWS 3 PRECEDING)""",
+)
+def historical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags, changes, volatility, macro growth, an interaction and gaps of each supplier."""
+    panel = supplier_panel(spark, sf_dir).select(
+        "decision_key", "entity", "decision_at", "coverage", "revenue", "sector", "leverage",
+        F.col("period_end").alias("maximum_source_available_at"),
+        F.date_sub("decision_at", (F.col("entity") % 9).cast("int")).alias("macro_available_at_max"),
+    )
+    made = history.historical_features(
+        panel, entity="entity", kpis=("coverage",), macros=("revenue",),
+        interactions=(("ASIA", "leverage", "asia_x_leverage"),),
+    )
+    values = ["coverage_lag1", "coverage_lag2", "coverage_lag4", "coverage_yoy_change",
+              "revenue_yoy_change", "asia_x_leverage"]
+    return rounded(
+        rounded(
+            made.select(
+                "decision_key", *values, "coverage_volatility_4q", "coverage_lag4_missing",
+                "coverage_missing", "feature_available_at",
+            ),
+            *values,
+        ),
+        "coverage_volatility_4q", digits=5,
+    )
+
+
+@query(
+    "feature_stability",
+    f"""WITH {SQ}, lo AS (SELECT year(decision_at) AS y, 'coverage' AS feature, coverage AS v FROM sq
+  UNION ALL SELECT year(decision_at), 'cash_margin', cash_margin FROM sq UNION ALL SELECT year(decision_at), 'leverage', leverage FROM sq),
+e AS (SELECT y, feature, round(avg(v), 6) AS loss, round(count(*) FILTER (WHERE v > 0.5) / count(*)::DOUBLE, 6) AS share FROM lo GROUP BY ALL)
+SELECT feature, CAST(count(*) FILTER (WHERE share >= 0.3) AS BIGINT) AS selected_folds, CAST(count(*) AS BIGINT) AS evaluated_folds,
+  round(avg(loss), 9) AS mean_permutation_PR_AUC_loss, round(avg(share), 9) AS mean_positive_permutation_share,
+  count(*) FILTER (WHERE share >= 0.3) = count(*) AS selected_in_every_outer_training_fold
+FROM e GROUP BY feature""",
+)
+def feature_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over years as folds: how often a feature passes and what it scores on average."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in FEATURES])
+    rows = supplier_panel(spark, sf_dir).select(
+        F.year("decision_at").alias("fold_id"), F.explode(pairs).alias("p")
+    ).select("fold_id", "p.*")
+    share = F.round(F.count_if(F.col("v") > 0.5) / F.count(F.lit(1)), 6)
+    evidence = rows.groupBy("fold_id", "feature").agg(
+        F.round(F.avg("v"), 6).alias("mean_permutation_PR_AUC_loss"),
+        share.alias("positive_permutation_share"),
+    ).withColumn("selected", F.col("positive_permutation_share") >= 0.3)
+    made = profile.feature_stability(evidence)
+    return rounded(made, "mean_permutation_PR_AUC_loss", "mean_positive_permutation_share", digits=9)
+
+
+_TRAINING = f"""{LABELLED}, tr AS (SELECT decision_key, decision_at, label_available_at AS av, deterioration_label AS y,
+    CAST(year(decision_at) * 4 + quarter(decision_at) - 1 AS INTEGER) AS q FROM lq
+  WHERE deterioration_label IS NOT NULL AND decision_at < DATE '2000-01-01'),
+oq AS (SELECT q, CAST(row_number() OVER (ORDER BY q) - 1 AS INTEGER) AS i FROM (SELECT DISTINCT q FROM tr)),
+nq AS (SELECT count(*) AS n FROM oq)"""
+_SPAN = """sp AS (SELECT s.s, oq.q, min(oq.q) OVER (PARTITION BY s.s) AS q0 FROM st s JOIN oq ON oq.i >= s.s AND oq.i < s.s + 4),
+me AS (SELECT DISTINCT s, 'fit' AS role, decision_key, y FROM sp JOIN tr ON decision_at < make_date(CAST(q0 // 4 AS INTEGER), CAST(q0 % 4 * 3 + 1 AS INTEGER), 1)
+      AND av < make_date(CAST(q0 // 4 AS INTEGER), CAST(q0 % 4 * 3 + 1 AS INTEGER), 1)
+  UNION ALL SELECT s, 'validation', decision_key, y FROM sp JOIN tr USING (q))"""
+
+
+@query(
+    "inner_windows",
+    f"""WITH {_TRAINING},
+al AS (SELECT unnest(range(8, greatest(n - 4 + 1, 8), 4)) AS s FROM nq),
+st AS (SELECT s FROM (SELECT s, row_number() OVER (ORDER BY s DESC) AS r FROM al) WHERE r <= 3),
+{_SPAN},
+ok AS (SELECT s FROM (SELECT s, role FROM me GROUP BY ALL HAVING min(y) <> max(y)) GROUP BY s HAVING count(*) = 2)
+SELECT CAST(dense_rank() OVER (ORDER BY s) - 1 AS INTEGER) AS window_number, role, decision_key FROM me SEMI JOIN ok USING (s)""",
+)
+def inner_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last inner windows of observed quarters, for fitting and for validation."""
+    windows = folds.inner_windows(
+        _training_fold(spark, sf_dir), minimum_training_quarters=8, validation_quarters=4,
+        maximum_windows=3,
+    )
+    parts = [
+        rows.select(F.lit(n).alias("window_number"), F.lit(role).alias("role"), "decision_key")
+        for n, window in enumerate(windows)
+        for role, rows in zip(("fit", "validation"), window, strict=True)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "inner_split",
+    f"""WITH {_TRAINING}, st AS (SELECT n - 4 AS s FROM nq), {_SPAN} SELECT role, decision_key FROM me""",
+)
+def inner_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last observed year for validation, labels known before it for fitting."""
+    fit, held = folds.inner_split(_training_fold(spark, sf_dir), minimum_quarters=8)
+    return fit.select(F.lit("fit").alias("role"), "decision_key").unionByName(
+        held.select(F.lit("validation").alias("role"), "decision_key")
+    )
+
+
+def _training_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled_panel(spark, sf_dir).where(
+        F.col("deterioration_label").isNotNull() & (F.col("decision_at") < "2000-01-01")
+    )
