@@ -281,10 +281,7 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
             "logistic", training, NUMERIC, (), {"C": 0.1}, sectors=sectors
         )
 
-    rows = model_rows(spark, sf_dir).persist()
-    assignments, _, summary = expanding_window_splits(rows, **FOLD_ARGS)
-    last = summary.agg(F.max("fold_id")).first()[0]
-    return modelling.out_of_fold(rows, assignments, [last], fit, name="sector_specific_logistic")
+    return _out_of_fold(spark, sf_dir, "sector_specific_logistic", fit)
 
 
 @query("permutation_importance")
@@ -296,7 +293,7 @@ def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"C": 0.1, "positive_weight": 2.0},
     )
     losses = modelling.permutation_importance(
-        fit, rows.where(F.col("decision_at") >= edge), NUMERIC, repeats=3
+        fit, rows.where(F.col("decision_at") >= edge), NUMERIC, repeats=5
     )
     return rounded(
         modelling.importance_summary(losses), "mean_permutation_PR_AUC_loss",
