@@ -14,8 +14,10 @@ parts to agree with another in these alone; a set with more of them emits them t
 
 Signatures are shuffled once.  A bucket of equal signatures is not expanded into pairs: each
 member is first compared with the centre it meets most often, and links found so are merged.
-Buckets that still hold several groups give the pairs between different groups; those of more
-than ``BUCKET`` members are first divided again by a new partition of the domain.  Every candidate
+Pairs that sizes and cell counts rule out are dropped before any text moves.
+Buckets that still hold several groups give the pairs between different groups; in those of more
+than ``BUCKET`` members a task compares cell counts first, and those of more than ``TOGETHER`` are
+divided again by a new partition of the domain.  Every candidate
 is verified on whole texts, so the result is exact up to collisions of 64-bit shingle hashes
 within a pair of texts; sets are identified by 128 bits.
 """
@@ -44,11 +46,14 @@ BUCKET = 64
 #: Divisions of a crowded bucket before its remaining pairs are compared as they are: texts that
 #: nearly meet the limit share most buckets of any partition, so more divisions only repeat them.
 LEVELS = 1
+#: Members of a bucket that one task may compare by their cell counts.
+TOGETHER = 1 << 12
 #: Members that one copy of a centre's text is compared with.
 PER_CENTRE = 256
 #: Sets up to this size have three second-level parts, larger ones two.
 _SMALL = 60
 _CHUNK, _SEEN, _SETS = 1 << 12, 1 << 17, 1 << 15
+_CELLS = 128
 
 
 class Bands:
@@ -119,8 +124,20 @@ def signatures(shingles: np.ndarray, bands: Bands, seed: int = 0) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-_DOC = "doc struct<doc_id: long, n_shingles: long, tail: long, text_key: long>"
-_DOC_TYPE = pa.struct([(n, pa.int64()) for n in ("doc_id", "n_shingles", "tail", "text_key")])
+_DOC = "doc struct<doc_id: long, n_shingles: long, tail: long, text_key: long, sketch: binary>"
+_DOC_TYPE = pa.struct(
+    [(n, pa.int64()) for n in ("doc_id", "n_shingles", "tail", "text_key")]
+    + [("sketch", pa.binary())]
+)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """How many elements fall into each of 128 cells, up to 255.
+
+    Two sets differ in at least as many elements as the sum of differences over the cells.
+    """
+    cells = (mixed(shingles ^ np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(57)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=_CELLS), 255).astype(np.uint8)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -143,7 +160,8 @@ def _document_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame
                 shingles = shingle_set(text, words, width)
                 key, tail = set_key(shingles)
                 heads.append(key)
-                docs.append((doc_id, len(shingles), tail, text_key))
+                cells = sketch(shingles).tobytes()
+                docs.append((doc_id, len(shingles), tail, text_key, cells))
                 if (key, tail) not in seen and len(shingles):
                     if len(seen) >= _SEEN:
                         seen.clear()
@@ -156,7 +174,7 @@ def _document_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame
             yield pa.record_batch(
                 [pa.array(_signed(anywhere)), pa.array(heads, pa.int64()),
                  pa.StructArray.from_arrays(
-                     [pa.array(c, pa.int64()) for c in zip(*docs, strict=True)],
+                     [pa.array(c, f.type) for c, f in zip(zip(*docs, strict=True), _DOC_TYPE, strict=True)],
                      fields=list(_DOC_TYPE))] if docs else
                 [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], _DOC_TYPE)],
                 ["sig", "key", "doc"],
@@ -339,6 +357,78 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def _possible(sizes: tuple, cells: tuple, percent: int) -> np.ndarray:
+    """Whether sizes and cell counts leave room for enough shared elements."""
+    apart = np.abs(cells[0].astype(np.int16) - cells[1]).sum(axis=-1, dtype=np.int64)
+    near = apart * (100 + percent) <= (100 - percent) * (sizes[0] + sizes[1])
+    return near & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
+
+
+def _cells(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _CELLS)
+
+
+def _within_bounds(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out; only narrow rows move."""
+    for side in ("a", "b"):
+        held = classes.select(
+            F.col("class").alias(side), F.col("n_shingles").alias(f"n_{side}"),
+            F.col("sketch").alias(f"sketch_{side}"),
+        )
+        pairs = pairs.join(held, side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = tuple(batch.column(i).to_numpy() for i in (2, 3))
+            kept = _possible(sizes, (_cells(batch.column(4)), _cells(batch.column(5))), percent)
+            yield batch.select([0, 1]).filter(pa.array(kept))
+
+    columns = ("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return settled(pairs.select(*columns).mapInArrow(run, "a binary, b binary"))
+
+
+def _pairs_within(held: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Ordered pairs of different groups in each bucket that may be similar.
+
+    A bucket is held by one task as sizes and cell counts; pairs ruled out are never made.
+    """
+    rows = held.select("sig", "class", "root").join(
+        classes.select("class", "n_shingles", "sketch"), "class"
+    ).select("sig", "class", "root", "n_shingles", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, parts = None, []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            bucket = pa.Table.from_batches(parts).combine_chunks()
+            names = bucket.column(1).to_pylist()
+            roots = np.unique(np.array(bucket.column(2).to_pylist(), object), return_inverse=True)[1]
+            sizes, cells = bucket.column(3).to_numpy(), _cells(bucket.column(4))
+            for at in range(1, len(names)):
+                near = _possible((sizes[:at], sizes[at]), (cells[:at], cells[at]), percent)
+                found = np.flatnonzero(near & (roots[:at] != roots[at])).tolist()
+                if found:
+                    ends = [(max(names[at], names[i]), min(names[at], names[i])) for i in found]
+                    yield pa.record_batch(
+                        [pa.array(c, pa.binary()) for c in zip(*ends, strict=True)], ["a", "b"]
+                    )
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if end > start and keys[start] != sig:
+                    if parts:
+                        yield from pairs()
+                    sig, parts = keys[start], []
+                parts.append(batch.slice(start, end - start))
+        if parts:
+            yield from pairs()
+
+    dealt = rows.repartition("sig").sortWithinPartitions("sig", "class")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -348,6 +438,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def similar_groups(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
     width: int = SHINGLE, percent: int = PERCENT, bucket: int = BUCKET,
+    together: int = TOGETHER,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``.
 
@@ -369,15 +460,17 @@ def similar_groups(
     rows = made.where("doc IS NOT NULL").select(
         "doc.*", "key", name.alias("class"), (F.col("doc.n_shingles") == 0).alias("blank")
     )
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key"))
+    unnamed = F.col("doc_id").isNull().alias("unnamed")
+    first = F.min(F.struct(unnamed, "doc_id", "text_key", "n_shingles", "sketch"))
     classes = settled(
         rows.where("NOT blank").groupBy("class", "key")
         .agg(F.min("doc_id").alias("first_id"), first.alias("one"))
-        .select("class", "key", "first_id", F.col("one.doc_id").alias("doc_id"), "one.text_key")
+        .select("class", "key", "first_id", F.col("one.doc_id").alias("doc_id"), "one.text_key",
+                "one.n_shingles", "one.sketch")
     )
     buckets = made.where("doc IS NULL")
     texts = _texts_of(keyed, classes, buckets)
-    links = _links(buckets, classes, texts, width, percent, bucket)
+    links = _links(buckets, classes, texts, width, percent, bucket, together)
     roots = linked_components(links).select(F.col("node").alias("class"), "root")
     rooted = classes.join(roots, "class", "left").select(
         "class", "first_id", F.coalesce("root", "class").alias("root")
@@ -402,7 +495,8 @@ def _texts_of(keyed: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataF
 
 
 def _links(
-    buckets: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, limit: int
+    buckets: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int,
+    limit: int, together: int,
 ) -> DataFrame:
     """Verified links that connect exactly the linked classes."""
     ids = classes.select("key", "class")
@@ -417,7 +511,7 @@ def _links(
         stars.join(ids.withColumnRenamed("class", "a"), "key").join(centres, "centre")
         .select("a", "b").where("a <> b")
     )
-    links = settled(_verified(asked, texts, width, percent))
+    links = settled(_verified(_within_bounds(asked, classes, percent), texts, width, percent))
     tried = _ordered(asked)
     for level in range(LEVELS + 1):
         roots = linked_components(links).select(F.col("node").alias("class"), "root")
@@ -427,12 +521,16 @@ def _links(
             )
         )
         crowded = _crowded(buckets, groups)
+        held = crowded.where(F.col("members") <= together)
+        pairs = _pairs_between(buckets, groups).union(_pairs_within(held, classes, percent))
+        crowded = crowded.where(F.col("members") > together)
         last = crowded.isEmpty()
-        pairs = _pairs_between(buckets, groups)
         if level == LEVELS and not last:
-            pairs, last = pairs.union(_pairs_inside(crowded)).distinct(), True
+            pairs, last = pairs.union(_pairs_inside(crowded)), True
+        pairs = pairs.distinct()
         fresh = settled(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = settled(links.union(_verified(fresh, texts, width, percent)))
+        near = _within_bounds(fresh, classes, percent)
+        links = settled(links.union(_verified(near, texts, width, percent)))
         if last:
             break
         tried = settled(tried.union(fresh))
@@ -465,10 +563,10 @@ def _pairs_between(buckets: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _crowded(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(sig, class, key, root) of the large buckets that hold several groups."""
+    """(sig, class, key, root, members) of the large buckets that hold several groups."""
     held = buckets.where("sig IS NOT NULL").select("sig", F.explode("members").alias("key"))
     rooted = settled(held.join(groups, "key"))
     several = rooted.groupBy("sig").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")
-    ).where("low <> high").select("sig")
-    return settled(rooted.join(several, "sig").select("sig", "class", "key", "root"))
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")
+    ).where("low <> high").select("sig", "members")
+    return settled(rooted.join(several, "sig").select("sig", "class", "key", "root", "members"))

@@ -75,10 +75,10 @@ def families():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("bucket", [64, 2, 1])
-def test_families(spark, families, bucket):
+@pytest.mark.parametrize(("bucket", "together"), [(64, 4096), (2, 4096), (2, 5)])
+def test_families(spark, families, bucket, together):
     frame = spark.createDataFrame(families, "doc_id long, text string").repartition(4)
-    check(families, frame, bucket=bucket)
+    check(families, frame, bucket=bucket, together=together)
 
 
 def test_odd_rows(odd):
