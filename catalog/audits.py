@@ -17,7 +17,7 @@ from catalog.roles import (
     supplier_panel,
     table,
 )
-from knownat.functions import quarter_position
+from knownat.functions import quarter_position, round_half_away
 from knownat.operators.asof import asof_join
 from knownat.operators.audit import (
     artifact_checks,
@@ -137,7 +137,7 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         made.select(
             "cik", "company_name", "sector", "usable_quarters",
-            "maximum_consecutive_usable_quarters", F.round("core_field_coverage", 6).alias(
+            "maximum_consecutive_usable_quarters", round_half_away("core_field_coverage", 6).alias(
                 "core_field_coverage"),
             "meaningful_interest_expense_quarters", "median_total_assets", "median_revenue",
             "eligible", F.concat_ws(",", "reason_codes").alias("reason_codes"),
@@ -463,7 +463,7 @@ FROM r GROUP BY 1, 2""",
 )
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_panel(spark, sf_dir).withColumn(
-        "lev", F.when(F.col("lines") % 5 != 0, F.round("leverage", 2))
+        "lev", F.when(F.col("lines") % 5 != 0, round_half_away("leverage", 2))
     )
     return rounded(spearman_pairs(rows, ["coverage", "cash_margin", "lev"]), "spearman")
 

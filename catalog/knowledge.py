@@ -18,6 +18,7 @@ from catalog.roles import (
     table,
     vintages,
 )
+from knownat.functions import round_half_away
 from knownat.operators.asof import (
     asof_join,
     latest_per_key,
@@ -119,7 +120,7 @@ def vintage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_panel(spark, sf_dir).select("decision_key", "period_end", "decision_at")
     made = vintage_window_aggregate(rows, known, MACRO_PRIORITIES)
     return made.withColumns(
-        {s: F.round(F.col(s), 6 if how == "mean" else 2) for s, how in MACRO_PRIORITIES.items()}
+        {s: round_half_away(F.col(s), 6 if how == "mean" else 2) for s, how in MACRO_PRIORITIES.items()}
     )
 
 
@@ -200,7 +201,7 @@ def standalone_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concept",
         "fiscal_year",
         "fiscal_quarter",
-        F.round("value", 2).alias("value"),
+        round_half_away("value", 2).alias("value"),
         "available_at",
         "is_derived",
         "accession_number",
@@ -230,7 +231,7 @@ def pivot_long_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     for old, new in names.items():
         renamed = F.when(F.col("concept") == old, new).otherwise(renamed)
     wide = quarterly_wide(quarters.withColumn("concept", renamed), list(names.values()))
-    return wide.withColumns({c: F.round(c, 2) for c in names.values()})
+    return wide.withColumns({c: round_half_away(c, 2) for c in names.values()})
 
 
 @query(
@@ -295,7 +296,7 @@ def vintage_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "decision_at",
         "ttm_quarters_present",
         *[
-            F.round(c, 2).alias(c)
+            round_half_away(c, 2).alias(c)
             for c in ("revenue", "interest_expense", "total_assets", "revenue_ttm",
                       "interest_expense_ttm")
         ],
@@ -303,8 +304,8 @@ def vintage_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             "accessions"
         ),
         "maximum_source_available_at",
-        F.round("preferred_tag_share", 6).alias("preferred_tag_share"),
-        F.round("derived_fact_share", 6).alias("derived_fact_share"),
+        round_half_away("preferred_tag_share", 6).alias("preferred_tag_share"),
+        round_half_away("derived_fact_share", 6).alias("derived_fact_share"),
     )
 
 
@@ -396,7 +397,7 @@ def latest_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("2020-01-01").cast("date"),
             (F.col("k") * 90 + F.col("decision_key") % 60).cast("int"),
         ).alias("origin"),
-        F.round(F.col("probability") / F.col("k"), 4).alias("probability"),
+        round_half_away(F.col("probability") / F.col("k"), 4).alias("probability"),
     )
     return latest_per_key(dated, ["decision_key", "model"], "origin")
 

@@ -12,6 +12,7 @@ from catalog.knowledge import LABELLED, labelled_panel
 from catalog.metrics import PB, panel_scores, ranking_sql
 from catalog.registry import query
 from catalog.roles import SQ, rounded, supplier_panel
+from knownat.functions import round_half_away
 from knownat.operators import (
     calibration, ensembles, folds, history, modelling, profile, ratios, scoring,
 )
@@ -207,7 +208,7 @@ def rolling_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("probability")
     return made.select(
         "decision_key", "fold_id", "stacking_source",
-        F.when(F.col("stacking_source") != "meta_model", F.round(p, 8)).alias("fallback"),
+        F.when(F.col("stacking_source") != "meta_model", round_half_away(p, 8)).alias("fallback"),
         ((p > 0) & (p < 1) | (F.col("stacking_source") != "meta_model")).alias("in_range"),
     )
 
@@ -457,9 +458,9 @@ def feature_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_panel(spark, sf_dir).select(
         F.year("decision_at").alias("fold_id"), F.explode(pairs).alias("p")
     ).select("fold_id", "p.*")
-    share = F.round(F.count_if(F.col("v") > 0.5) / F.count(F.lit(1)), 6)
+    share = round_half_away(F.count_if(F.col("v") > 0.5) / F.count(F.lit(1)), 6)
     evidence = rows.groupBy("fold_id", "feature").agg(
-        F.round(F.avg("v"), 6).alias("mean_permutation_PR_AUC_loss"),
+        round_half_away(F.avg("v"), 6).alias("mean_permutation_PR_AUC_loss"),
         share.alias("positive_permutation_share"),
     ).withColumn("selected", F.col("positive_permutation_share") >= 0.3)
     made = profile.feature_stability(evidence)

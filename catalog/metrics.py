@@ -9,6 +9,7 @@ from catalog.knowledge import LABELLED, labelled_panel
 from catalog.registry import query
 from catalog.roles import HASH, LB, SQ, scored_documents, supplier_panel, table
 from catalog.roles import rounded as rounded_to
+from knownat.functions import round_half_away
 from knownat.operators import drift, ensembles, resample, scoring
 from knownat.operators.explain import ReasonRule, reason_codes
 from knownat.operators.labels import episode_runs
@@ -38,7 +39,7 @@ def panel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "industry",
         "qpos",
         "deterioration_label",
-        F.round(0.5 - 0.5 * c / (F.abs(c) + 4.0), 3).alias("probability"),
+        round_half_away(0.5 - 0.5 * c / (F.abs(c) + 4.0), 3).alias("probability"),
     )
 
 

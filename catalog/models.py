@@ -19,6 +19,7 @@ from catalog.roles import (
     table,
     vintages,
 )
+from knownat.functions import round_half_away
 from knownat.operators import calibration, ensembles, modelling
 from knownat.operators.asof import vintage_window_aggregate
 from knownat.operators.filings import filing_decisions, point_in_time_rows
@@ -180,7 +181,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     interest = F.abs(F.col("interest_expense_ttm"))
     rows = rows.withColumn(
         "coverage",
-        F.when(interest >= 50000, F.round(F.col("revenue_ttm") / interest, 8)),
+        F.when(interest >= 50000, round_half_away(F.col("revenue_ttm") / interest, 8)),
     )
     places = table(spark, sf_dir, "supplier").join(
         geography(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")
@@ -194,14 +195,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "decision_at",
         "calendar_quarter",
         "sector",
-        F.round("revenue_ttm", 2).alias("revenue_ttm"),
-        F.round("total_assets", 2).alias("total_assets"),
+        round_half_away("revenue_ttm", 2).alias("revenue_ttm"),
+        round_half_away("total_assets", 2).alias("total_assets"),
         "maximum_source_available_at",
-        F.round("coverage", 6).alias("coverage"),
-        F.round("1-URGENT", 6).alias("1-URGENT"),
-        F.round("5-LOW", 2).alias("5-LOW"),
+        round_half_away("coverage", 6).alias("coverage"),
+        round_half_away("1-URGENT", 6).alias("1-URGENT"),
+        round_half_away("5-LOW", 2).alias("5-LOW"),
         "macro_available_at_max",
-        F.round("coverage_sector_percentile", 6).alias("coverage_sector_percentile"),
+        round_half_away("coverage_sector_percentile", 6).alias("coverage_sector_percentile"),
     )
 
 
@@ -308,7 +309,7 @@ SELECT decision_key, round((SELECT sum(k) FROM c) / (SELECT count(*) FROM c) / c
 )
 def sector_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = modelling.equal_sector_weight(supplier_panel(spark, sf_dir))
-    return made.select("decision_key", F.round(modelling.WEIGHT, 8).alias("weight"))
+    return made.select("decision_key", round_half_away(modelling.WEIGHT, 8).alias("weight"))
 
 
 @query("stacked_ensemble")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog.knowledge import LABELLED, labelled_panel
 from catalog.registry import query
 from catalog.roles import SQ, customer_panel, rounded, supplier_panel
+from knownat.functions import round_half_away
 from knownat.operators.folds import expanding_window_splits, rolling_folds, rolling_training_rows
 from knownat.operators.labels import (
     cooldown_starts,
@@ -70,7 +71,7 @@ SELECT entity, qpos, CASE WHEN fn = 2 AND fk = 2 AND smin = 1 AND smax = 1 AND s
 )
 def sparse_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = customer_panel(spark, sf_dir).withColumn(
-        "strength", F.round(F.col("settled") / 100000, 2)
+        "strength", round_half_away(F.col("settled") / 100000, 2)
     )
     made = deterioration_label(
         rows, entity="entity", time="period_end", coverage="strength", horizon=2, threshold=2.0,
@@ -259,7 +260,7 @@ def panel_label_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("suppliers"),
         F.count(y).alias("labeled"),
         F.sum(y.cast("long")).alias("positives"),
-        F.round(F.avg(y.cast("double")), 6).alias("prevalence"),
+        round_half_away(F.avg(y.cast("double")), 6).alias("prevalence"),
     )
 
 

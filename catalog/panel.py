@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.roles import CQ, SQ, customer_panel, rounded, supplier_panel
-from knownat.functions import guarded_ratio
+from knownat.functions import guarded_ratio, round_half_away
 from knownat.operators.history import (
     change,
     history_distance,
@@ -42,7 +42,7 @@ def ttm_sum_trailing_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "entity",
         "qpos",
-        F.round(trailing_sum("settled", entity_line()), 2).alias("settled_ttm"),
+        round_half_away(trailing_sum("settled", entity_line()), 2).alias("settled_ttm"),
         F.count(F.lit(1)).over(entity_line().rowsBetween(-3, 0)).alias("quarters_present"),
     )
 
@@ -95,9 +95,9 @@ def lag_yoy_change(spark: SparkSession, sf_dir: str) -> DataFrame:
         "coverage_lag1",
         "coverage_lag2",
         "coverage_lag4",
-        F.round(change("coverage", 4, entity_line()), 6).alias("coverage_yoy_change"),
-        F.round(change("coverage", 1, entity_line()), 6).alias("coverage_qoq_change"),
-        F.round(relative_growth("revenue", 4, entity_line()), 6).alias("revenue_growth_yoy"),
+        round_half_away(change("coverage", 4, entity_line()), 6).alias("coverage_yoy_change"),
+        round_half_away(change("coverage", 1, entity_line()), 6).alias("coverage_qoq_change"),
+        round_half_away(relative_growth("revenue", 4, entity_line()), 6).alias("revenue_growth_yoy"),
     )
 
 
@@ -116,8 +116,8 @@ def rolling_std_min_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "entity",
         "qpos",
-        F.round(rolling_std("settled", entity_line(), 4, 3), 4).alias("volatility_4q"),
-        F.round(rolling_std("settled", entity_line(), 8, 4), 4).alias("volatility_8q"),
+        round_half_away(rolling_std("settled", entity_line(), 4, 3), 4).alias("volatility_4q"),
+        round_half_away(rolling_std("settled", entity_line(), 8, 4), 4).alias("volatility_8q"),
     )
 
 
@@ -138,7 +138,7 @@ def rolling_slope_nonnull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "entity",
         "qpos",
-        F.round(rolling_slope("settled", entity_line()), 4).alias("settled_trend_4q"),
+        round_half_away(rolling_slope("settled", entity_line()), 4).alias("settled_trend_4q"),
     )
 
 
@@ -156,7 +156,7 @@ def expanding_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "entity",
         "qpos",
-        F.round(history_distance("coverage", entity_line()), 6).alias(
+        round_half_away(history_distance("coverage", entity_line()), 6).alias(
             "coverage_distance_from_history"
         ),
     )
@@ -192,7 +192,7 @@ def peer_median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT entity, qpos, round({PEERS.format(v="lev", g="qpos, sector")}, 6) AS lev_sector_percentile FROM t""",
 )
 def peer_pct_rank_avg_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = supplier_panel(spark, sf_dir).withColumn("lev", F.round("leverage", 2))
+    rows = supplier_panel(spark, sf_dir).withColumn("lev", round_half_away("leverage", 2))
     ranked = peer_standing(rows, ["qpos", "sector"], ["lev"])
     return rounded(ranked.select("entity", "qpos", "lev_sector_percentile"),
                    "lev_sector_percentile")
@@ -275,8 +275,8 @@ FROM s""",
 def source_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_panel(spark, sf_dir).withColumns(
         {
-            "preferred_tag_share": F.round(1 - 1.0 / F.col("lines"), 6),
-            "derived_fact_share": F.round(1.0 / F.col("lines"), 6),
+            "preferred_tag_share": round_half_away(1 - 1.0 / F.col("lines"), 6),
+            "derived_fact_share": round_half_away(1.0 / F.col("lines"), 6),
             # stretch the delay so that both clipping bounds are met
             "known": F.expr(
                 "date_add(period_end, datediff(decision_at, period_end) * 6 - 120)"

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.functions import hash_score, quarter_end, quarter_position
+from knownat.functions import hash_score, quarter_end, quarter_position, round_half_away
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +75,8 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         *_calendar("qpos"),
         "revenue",
         "interest",
-        F.round(0.25 * F.col("revenue") + F.col("__n") - F.col("__r"), 4).alias("income"),
-        F.round(F.col("__f") - 0.4 * F.col("revenue"), 4).alias("cash"),
+        round_half_away(0.25 * F.col("revenue") + F.col("__n") - F.col("__r"), 4).alias("income"),
+        round_half_away(F.col("__f") - 0.4 * F.col("revenue"), 4).alias("cash"),
         "debt",
         "assets",
         "lines",
@@ -90,13 +90,15 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             "|", F.col("entity").cast("string"), F.col("fiscal_year").cast("string"),
             F.concat(F.lit("FQ"), F.col("fiscal_quarter_number").cast("string")),
         ).alias("decision_key"),
-        F.when(F.col("interest") > 0, F.round(F.col("income") / F.col("interest"), 6)).alias(
-            "coverage"
-        ),
-        F.when(F.col("revenue") > 0, F.round(F.col("cash") / F.col("revenue"), 6)).alias(
-            "cash_margin"
-        ),
-        F.when(F.col("assets") > 0, F.round(F.col("debt") / F.col("assets"), 6)).alias("leverage"),
+        F.when(
+            F.col("interest") > 0, round_half_away(F.col("income") / F.col("interest"), 6)
+        ).alias("coverage"),
+        F.when(
+            F.col("revenue") > 0, round_half_away(F.col("cash") / F.col("revenue"), 6)
+        ).alias("cash_margin"),
+        F.when(
+            F.col("assets") > 0, round_half_away(F.col("debt") / F.col("assets"), 6)
+        ).alias("leverage"),
     )
 
 
@@ -258,7 +260,7 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labels.join(documents, "doc_id")
 
     def score(seed: int, pull: float) -> Column:
-        return F.round(0.65 * hash_score("doc_id", seed) + pull * F.col("quality"), 3)
+        return round_half_away(0.65 * hash_score("doc_id", seed) + pull * F.col("quality"), 3)
 
     return rows.select(
         F.col("doc_id").alias("decision_key"),
@@ -290,4 +292,11 @@ lb AS (
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n), digits) for n in names})
+    """Columns rounded as SQL's ``round`` does it; only floating-point ones differ from Spark's."""
+    types = dict(df.dtypes)
+    return df.withColumns(
+        {
+            n: round_half_away(n, digits) if types[n] == "double" else F.round(F.col(n), digits)
+            for n in names
+        }
+    )

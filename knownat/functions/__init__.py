@@ -17,6 +17,7 @@ from knownat.functions.numbers import (
     guarded_ratio,
     logit,
     null_aware_sum,
+    round_half_away,
     sigmoid,
 )
 
@@ -37,6 +38,7 @@ __all__ = [
     "quarter_end",
     "quarter_position",
     "quarter_start",
+    "round_half_away",
     "sigmoid",
     "split_key",
 ]

@@ -32,6 +32,23 @@ def guarded_ratio(
     return F.when(F.abs(bottom) > F.lit(minimum), finite(top / bottom))
 
 
+def round_half_away(value: Column | str, digits: int) -> Column:
+    """Round the binary product ``value * 10**digits``, halves away from zero, as SQL engines do.
+
+    Spark's own ``round`` goes by the shortest decimal text instead, so 0.285, whose product is
+    28.499999999999996, gives 0.29 there and 0.28 here.
+    """
+    number = _column(value).cast("double")
+    scale = F.lit(10.0**digits)
+    product = F.abs(number) * scale
+    below = F.floor(product)
+    whole = F.when(product - below >= 0.5, below + 1).otherwise(below).cast("double")
+    # Products of 2**52 and more and NaN have no fraction; one that overflows leaves the value.
+    size = F.when(product < 2.0**52, whole).otherwise(product) / scale
+    size = F.when(product == float("inf"), F.abs(number)).otherwise(size)
+    return F.when(number < 0, 0.0 - size).otherwise(size) + 0.0
+
+
 def flag(condition: Column) -> Column:
     """A comparison that is False, not NULL, when an operand is missing."""
     return F.coalesce(condition, F.lit(False))
