@@ -9,17 +9,24 @@ line by line and no member of theirs is held whole; a JSON document is one row a
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from io import TextIOWrapper
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knownat.scale import stable
+
 #: Bytes of text, about, in one batch that a task hands to Spark.
 BATCH_BYTES = 1 << 21
+#: Bytes of text, about, that one task writes; the number of segments follows from the texts alone.
+SEGMENT_BYTES = 1 << 26
 _BLOCK = 1 << 22
 
 
@@ -55,17 +62,25 @@ def archive_members(spark: SparkSession, path: str, pattern: str | None = None)
                 )
 
     schema = "path string, member string, place long, bytes long"
-    listed = list_files(spark, path).select("path").repartition("path")
+    listed = _apart(list_files(spark, path).select("path"), "path")
     members = listed.mapInArrow(directories, schema)
     return members.where(F.col("member").rlike(pattern)) if pattern else members
 
 
+def _parallel(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _apart(df: DataFrame, name: str) -> DataFrame:
+    """Short rows that stand for long files, over all partitions: none is merged for its size."""
+    return df.repartition(_parallel(df), name)
+
+
 def _dealt(members: DataFrame) -> DataFrame:
     """Members over all partitions by hash, those of an archive together inside each."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         members.select("path", "member", "place")
-        .repartition(parts, "path", "place")
+        .repartition(_parallel(members), "path", "place")
         .sortWithinPartitions("path", "place")
     )
 
@@ -144,27 +159,66 @@ def member_lines(members: DataFrame) -> DataFrame:
     return _dealt(members).mapInArrow(run, "path string, member string, line long, text string")
 
 
+def _in_ranges(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Contiguous ranges of ``keys`` of some ``SEGMENT_BYTES`` of text, one a task."""
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return rows.repartitionByRange(
+        max(_parallel(rows), math.ceil(size / SEGMENT_BYTES)), *[F.col(k) for k in keys]
+    )
+
+
+def _copy(system: fs.FileSystem, path: str, sink, size: int | None = None) -> None:
+    """Append a file, or its first ``size`` bytes, to an open stream block by block."""
+    left = math.inf if size is None else size
+    with system.open_input_stream(path) as source:
+        while left and (block := source.read(int(min(_BLOCK, left)))):
+            sink.write(block)
+            left -= len(block)
+
+
+def _joined(segments: DataFrame, folder: str, append, schema: str) -> DataFrame:
+    """Hand (name, paths of its segments in order) to ``append``, one task a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = open_path(folder)
+        for batch in batches:
+            for name, paths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield append(system, name, paths)
+
+    listed = segments.groupBy("name").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("part", "path"))), lambda s: s["path"]
+        ).alias("paths")
+    )
+    made = stable(_apart(listed, "name").mapInArrow(run, schema))
+    system, base = open_path(f"{folder}/_segments")
+    if system.get_file_info(base).type != fs.FileType.NotFound:
+        system.delete_dir(base)
+    return made
+
+
 def write_archives(
     pieces: DataFrame, folder: str, *, archive: str = "archive", member: str = "member",
     place: str = "place", text: str = "text",
 ) -> DataFrame:
     """Write ``folder``/<archive>.zip; a member is its texts in the order of ``place``.
 
-    One task streams one archive; a repeated task writes the same file again.  Returns
-    (archive, members), one row per archive, when it is read.
+    A member is deflated by one task, the members of an archive by many.  Returns
+    (archive, members), one row per archive.
     """
+    kept = f"{folder}/_segments/{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = open_path(folder)
+        system, base = open_path(kept)
         system.create_dir(base, recursive=True)
+        task = TaskContext.get().partitionId()
         name = sink = packed = entry = part = None
-        written: list[tuple[str, int]] = []
+        written: list[tuple[str, int, str]] = []
 
         def close() -> None:
             if entry:
                 entry.close()
             if packed:
-                written.append((name, len(packed.namelist())))
                 packed.close()
                 sink.close()
 
@@ -174,7 +228,9 @@ def write_archives(
                 if own != name:
                     close()
                     name, part, entry = own, None, None
-                    sink = system.open_output_stream(f"{base}/{own}.zip")
+                    path = f"{base}/{task}-{len(written)}.zip"
+                    written.append((name, task, path))
+                    sink = system.open_output_stream(path)
                     packed = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED)
                 if inner != part:
                     if entry:
@@ -184,45 +240,83 @@ def write_archives(
         close()
         if written:
             columns = zip(*written, strict=True)
-            yield pa.record_batch([pa.array(c) for c in columns], ["archive", "members"])
+            yield pa.record_batch([pa.array(c) for c in columns], ["name", "part", "path"])
+
+    def append(system: fs.FileSystem, name: str, paths: list[str]) -> pa.RecordBatch:
+        """Deflated members are copied as they are; only the directory is written anew."""
+        _, base = open_path(folder)
+        target = system.open_output_stream(f"{base}/{name}.zip")
+        with target as sink, zipfile.ZipFile(sink, "w") as whole:
+            for path in paths:
+                start = sink.tell()
+                with system.open_input_file(path) as source, zipfile.ZipFile(source) as segment:
+                    size, members = segment.start_dir, segment.infolist()
+                _copy(system, path, sink, size)
+                for entry in members:
+                    entry.header_offset += start
+                    whole.filelist.append(entry)
+                    whole.NameToInfo[entry.filename] = entry
+            whole.start_dir = sink.tell()
+            return pa.record_batch(
+                [pa.array([name]), pa.array([len(whole.filelist)])], ["archive", "members"]
+            )
 
     rows = pieces.select(
-        F.col(archive).cast("string"), F.col(member), F.col(place), F.col(text)
+        F.col(archive).cast("string").alias("name"), F.col(member).alias("member"),
+        F.col(place).alias("place"), F.col(text).alias("text"),
+    )
+    ranged = _in_ranges(rows, ["name", "member"], "text")
+    segments = ranged.sortWithinPartitions("name", "member", "place").mapInArrow(
+        run, "name string, part long, path string"
     )
-    sorted_rows = rows.repartition(archive).sortWithinPartitions(archive, member, place)
-    return sorted_rows.mapInArrow(run, "archive string, members long")
+    return _joined(stable(segments), folder, append, "archive string, members long")
 
 
 def write_files(
     pieces: DataFrame, folder: str, *, file: str = "file", place: str | Column = "place",
     text: str = "text",
 ) -> DataFrame:
-    """Write ``folder``/<file> from texts in the order of ``place``; (file, bytes) when read."""
+    """Write ``folder``/<file> from texts in the order of ``place``; returns (file, bytes)."""
+    kept = f"{folder}/_segments/{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = open_path(folder)
+        system, base = open_path(kept)
         system.create_dir(base, recursive=True)
+        task = TaskContext.get().partitionId()
         name = sink = None
-        written: list[tuple[str, int]] = []
+        written: list[tuple[str, int, str]] = []
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in (0, 2)]
             for own, piece in zip(*columns, strict=True):
                 if own != name:
                     if sink:
-                        written.append((name, sink.tell()))
                         sink.close()
-                    name, sink = own, system.open_output_stream(f"{base}/{own}")
+                    path = f"{base}/{task}-{len(written)}"
+                    name, sink = own, system.open_output_stream(path)
+                    written.append((name, task, path))
                 sink.write((piece or "").encode())
         if sink:
-            written.append((name, sink.tell()))
             sink.close()
             columns = zip(*written, strict=True)
-            yield pa.record_batch([pa.array(c) for c in columns], ["file", "bytes"])
+            yield pa.record_batch([pa.array(c) for c in columns], ["name", "part", "path"])
+
+    def append(system: fs.FileSystem, name: str, paths: list[str]) -> pa.RecordBatch:
+        _, base = open_path(folder)
+        with system.open_output_stream(f"{base}/{name}") as sink:
+            for path in paths:
+                _copy(system, path, sink)
+            return pa.record_batch([pa.array([name]), pa.array([sink.tell()])], ["file", "bytes"])
 
-    rows = pieces.select(F.col(file).cast("string"), F.col(place), F.col(text))
-    return rows.repartition(file).sortWithinPartitions(file, place).mapInArrow(
-        run, "file string, bytes long"
+    rows = pieces.select(
+        F.col(file).cast("string").alias("name"), F.col(place).alias("place"),
+        F.col(text).alias("text"),
+    )
+    segments = (
+        _in_ranges(rows, ["name", "place"], "text")
+        .sortWithinPartitions("name", "place")
+        .mapInArrow(run, "name string, part long, path string")
     )
+    return _joined(stable(segments), folder, append, "file string, bytes long")
 
 
 def file_digests(files: DataFrame) -> DataFrame:
@@ -242,6 +336,6 @@ def file_digests(files: DataFrame) -> DataFrame:
                     ["path", "sha256", "bytes"],
                 )
 
-    return files.select("path").repartition("path").mapInArrow(
+    return _apart(files.select("path"), "path").mapInArrow(
         run, "path string, sha256 string, bytes long"
     )

@@ -55,6 +55,28 @@ def test_archives_and_files_written_in_order(spark, tmp_path, make):
     assert {r.file: r.bytes for r in files}["m0.txt"] == len(body)
 
 
+def test_one_archive_or_file_is_written_by_many_tasks(spark, tmp_path, make, monkeypatch):
+    monkeypatch.setattr(archives, "SEGMENT_BYTES", 2000)
+    rows = [("a", f"m{i // 4:03d}.txt", i, f"line {i} " + "xyz" * (i % 30) + "\n") for i in range(400)]
+    made = make(rows, "archive string, member string, place long, text string").repartition(5)
+    segments = archives._in_ranges(made, ["archive", "place"], "text")
+    sizes = [r["count"] for r in segments.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400 and len(sizes) > 5 and max(sizes) < 100
+    assert archives.write_archives(made, str(tmp_path / "zips")).collect() == [("a", 100)]
+    with zipfile.ZipFile(tmp_path / "zips" / "a.zip") as packed:
+        assert packed.testzip() is None and len(packed.namelist()) == 100
+        for k in range(100):
+            body = "".join(r[3] for r in rows[4 * k : 4 * k + 4])
+            assert packed.read(f"m{k:03d}.txt").decode() == body
+    assert documents.read_archive(spark, str(tmp_path / "zips" / "a.zip")).count() == 100
+    files = archives.write_files(
+        made.drop("member").withColumnRenamed("archive", "file"), str(tmp_path / "files")
+    ).collect()
+    body = "".join(r[3] for r in rows).encode()
+    assert (tmp_path / "files" / "a").read_bytes() == body and files == [("a", len(body))]
+    assert [f.name for f in (tmp_path / "files").iterdir() if not f.name.startswith(".")] == ["a"]
+
+
 def test_every_kind_of_artifact_gives_a_row(spark, tmp_path, make):
     for name in ("same", "other", "extra"):
         (tmp_path / name).write_bytes(name.encode() * 3_000_000)
