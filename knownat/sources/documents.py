@@ -1,6 +1,6 @@
 """Nested JSON documents and archives of them, flattened lazily.
 
-A malformed payload parses to NULL and is returned by ``rejected`` instead of failing the job.
+A malformed payload parses to nothing but NULLs and is returned by ``rejected`` instead of failing the job.
 """
 
 from __future__ import annotations
@@ -49,6 +49,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _parsed(documents: DataFrame, schema: str) -> DataFrame:
+    """The fields of each payload, parsed once.
+
+    A filter on a field of a plain column of ``from_json`` is pushed below it and parses again.
+    """
+    return documents.select(F.inline(F.array(F.from_json("payload", schema))))
+
+
 def read_archive(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(path, member, payload): text members of ZIP files whose names match ``pattern``."""
     return member_payloads(archive_members(spark, path, pattern))
@@ -66,10 +74,12 @@ def read_archived_table(
 
 def rejected(documents: DataFrame, schema: str, required: str | None = None) -> DataFrame:
     """Payloads that are not readable JSON objects, or whose ``required`` field is empty."""
-    parsed = F.from_json("payload", schema)
+    parsed = F.from_json(
+        "payload", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"}
+    )
     if required:
         return documents.where(F.coalesce(parsed[required].cast("string"), F.lit("")) == "")
-    return documents.where(parsed.isNull())
+    return documents.where(parsed.isNull() | parsed["__bad"].isNotNull())
 
 
 def concept_table(spark: SparkSession, concepts: Mapping[str, Mapping[str, Any]]) -> DataFrame:
@@ -94,13 +104,11 @@ def company_facts(
     ``ordinal`` keeps the order of observations inside a payload, the last tie-break when facts
     compete.  The concept list is configuration (a few dozen rows), hence the broadcast.
     """
-    parsed = documents.select(F.from_json("payload", FACT_DOCUMENT).alias("d")).where(
-        F.col("d.cik").isNotNull()
-    )
+    parsed = _parsed(documents, FACT_DOCUMENT).where(F.col("cik").isNotNull())
     tags = parsed.select(
-        pad_id("d.cik").alias("cik"),
-        F.col("d.entityName").alias("entity_name"),
-        F.explode(F.try_element_at(F.col("d.facts"), F.lit(taxonomy))).alias(
+        pad_id("cik").alias("cik"),
+        F.col("entityName").alias("entity_name"),
+        F.explode(F.try_element_at(F.col("facts"), F.lit(taxonomy))).alias(
             "taxonomy_tag", "fact"
         ),
     )
@@ -168,18 +176,17 @@ def filer_candidates(
     ``rules`` map industry codes to (sector, industry), first rule wins; ``overrides`` map an
     id to its own exclusion reason.
     """
-    d = F.from_json("payload", FILER_DOCUMENT)
-    parsed = members.select(d.alias("d")).where(F.col("d.cik").isNotNull())
-    recent = "d.filings.recent"
+    parsed = _parsed(members, FILER_DOCUMENT).where(F.col("cik").isNotNull())
+    recent = "filings.recent"
     named = parsed.select(
-        pad_id("d.cik").alias("cik"),
-        F.trim(F.coalesce("d.name", F.lit(""))).alias("company_name"),
-        current_listing("d.tickers", "d.exchanges").alias("listing"),
-        F.coalesce(F.col("d.sic").try_cast("int"), F.lit(0)).alias("sic"),
-        F.col("d.sicDescription").alias("sic_description"),
-        F.col("d.fiscalYearEnd").alias("fiscal_year_end"),
-        F.col("d.stateOfIncorporation").alias("state_of_incorporation"),
-        F.col("d.entityType").alias("entity_type"),
+        pad_id("cik").alias("cik"),
+        F.trim(F.coalesce("name", F.lit(""))).alias("company_name"),
+        current_listing("tickers", "exchanges").alias("listing"),
+        F.coalesce(F.col("sic").try_cast("int"), F.lit(0)).alias("sic"),
+        F.col("sicDescription").alias("sic_description"),
+        F.col("fiscalYearEnd").alias("fiscal_year_end"),
+        F.col("stateOfIncorporation").alias("state_of_incorporation"),
+        F.col("entityType").alias("entity_type"),
         domestic_filer(f"{recent}.form").alias("domestic"),
         filing_history(
             f"{recent}.form", f"{recent}.reportDate", f"{recent}.filingDate", cutoff

@@ -79,3 +79,11 @@ def test_series(spark, make):
          "value": "1.5"}]})
     made = documents.series_observations(make([(text,)], "payload string"), F.lit("S")).collect()
     assert [r["value"] for r in made] == [None, 1.5]
+
+
+def test_payloads_are_parsed_once(spark, make):
+    docs = make([(json.dumps(payload()),), ("{broken",), ('{"entityName": "x"}',)], "payload string")
+    facts = documents.company_facts(docs, documents.concept_table(spark, CONCEPTS))
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert {r["cik"] for r in facts.collect()} == {"0000000042"}
