@@ -179,30 +179,69 @@ def time_series_diagnostics(
 def spearman_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rank correlation of every feature pair over the rows where both are present.
 
-    Ranks are recomputed per pair, as pairwise-complete correlation demands; each pair is a
-    group of ordinary average-tie ranks.
+    Pairwise-complete correlation ranks a feature among the rows that have the other.  Where the
+    other has no gap of its own, that is the feature's one ranking, made once for all such pairs.
     """
-    pairs = F.array(
+    pairs = list(combinations(features, 2))
+    rows = stable(
+        df.select(
+            F.monotonically_increasing_id().alias("__row"),
+            *[F.col(f).cast("double").alias(f"__v{i}") for i, f in enumerate(features)],
+        )
+    )
+    known = {f: F.col(f"__v{i}") for i, f in enumerate(features)}
+    counts = rows.agg(
+        F.array(*[F.count(known[f]) for f in features]).alias("one"),
+        F.array(*[F.count(F.when(known[b].isNotNull(), known[a])) for a, b in pairs]).alias("two"),
+    ).first()
+    of_one = dict(zip(features, counts.one, strict=True))
+    alike = {f: f for f in features}  # the first feature that is present in the same rows
+    for (a, b), both in zip(pairs, counts.two, strict=True):
+        if both == of_one[a] == of_one[b]:
+            alike[b] = min(alike[a], alike[b], key=list(features).index)
+    rankings: dict[tuple[str, str | None], int] = {}
+    wanted = []  # places of the two rankings of each pair
+    for (a, b), both in zip(pairs, counts.two, strict=True):
+        asked = [(x, None if both == of_one[x] else alike[y]) for x, y in ((a, b), (b, a))]
+        wanted.append([rankings.setdefault(k, len(rankings)) for k in asked])
+    if not pairs:
+        return df.sparkSession.createDataFrame(
+            [], "feature_a string, feature_b string, spearman double, complete_rows long"
+        )
+    values = F.array(
         *[
             F.struct(
-                F.lit(a).alias("feature_a"),
-                F.lit(b).alias("feature_b"),
-                F.col(a).cast("double").alias("x"),
-                F.col(b).cast("double").alias("y"),
+                F.lit(i).alias("__k"),
+                (known[f] if among is None else F.when(known[among].isNotNull(), known[f])).alias("v"),
             )
-            for a, b in combinations(features, 2)
+            for (f, among), i in rankings.items()
         ]
     )
-    both: Column = F.filter(pairs, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    long = df.select(F.explode(both).alias("p")).select("p.*")
-    keys = ["feature_a", "feature_b"]
-    ranked = with_average_rank(stable(long), keys, "x", rank="rx", size="__n")
-    ranked = with_average_rank(stable(ranked.drop("__n")), keys, "y", rank="ry", size="__n")
-    found = ranked.groupBy(*keys).agg(
-        F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("complete_rows")
+    present = F.filter(values, lambda p: p["v"].isNotNull())
+    long = rows.select("__row", F.explode(present).alias("p")).select("__row", "p.*")
+    ranked = with_average_rank(long, ["__k"], "v", rank="__r", size="__n")
+    wide = ranked.groupBy("__row").agg(
+        *[F.max(F.when(F.col("__k") == i, F.col("__r"))).alias(f"__r{i}") for i in rankings.values()]
     )
-    return found.select(
-        *keys,
+    met: Column = F.filter(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(n).alias("n"), F.col(f"__r{i}").alias("x"), F.col(f"__r{j}").alias("y")
+                )
+                for n, (i, j) in enumerate(wanted)
+            ]
+        ),
+        lambda p: p["x"].isNotNull() & p["y"].isNotNull(),
+    )
+    found = wide.select(F.explode(met).alias("p")).groupBy("p.n").agg(
+        F.corr("p.x", "p.y").alias("rho"), F.count(F.lit(1)).alias("complete_rows")
+    )
+    names = F.array(
+        *[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for a, b in pairs]
+    )
+    return found.withColumn("f", names[F.col("n")]).select(
+        "f.*",
         F.when(~F.isnan("rho"), F.col("rho")).alias("spearman"),
         "complete_rows",
     )

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from knownat.operators import folds
+from knownat.operators import folds, profile
 from knownat.plans import development
 from knownat.sources import tables
 
@@ -99,3 +99,35 @@ def test_metadata_rows_have_filled_columns_and_new_keys(spark, make):
         with pytest.raises(ValueError, match=message):
             tables.record(make(rows, schema), "pipeline_runs")
     assert spark.table("metadata.pipeline_runs").where("config_version = 'v1'").count() == 2
+
+
+def test_pairs_share_rankings_where_no_gap_divides_them(make, monkeypatch):
+    draw = random.Random(8)
+    rows = []
+    for _ in range(120):
+        a, b = draw.randint(0, 9), draw.random()
+        gap, own = draw.random() < 0.3, draw.random() < 0.2
+        rows.append((float(a), b, None if gap else a + b, None if gap else -b,
+                     None if own else a * b, float("nan") if a == 3 else b))
+    names = list("abcdef")
+    frame = make(rows, ", ".join(f"{n} double" for n in names))
+    asked = []
+    real = profile.with_average_rank
+    monkeypatch.setattr(
+        profile, "with_average_rank",
+        lambda df, keys, *args, **kw: asked.append(df.select(*keys).distinct().count())
+        or real(df, keys, *args, **kw),
+    )
+    made = {(r.feature_a, r.feature_b): r for r in profile.spearman_pairs(frame, names).collect()}
+    # six alone, four among the rows of c (and d), five among those of e; 30 if made by pair
+    assert asked == [15]
+    table = pd.DataFrame(rows, columns=names)
+    held = {n: [r[i] is not None for r in rows] for i, n in enumerate(names)}
+    top = table["f"].max() + 1  # NaN ranks above every number in Spark
+    table["f"] = table["f"].fillna(top)
+    assert len(made) == 15
+    for (x, y), r in made.items():
+        both = [p and q for p, q in zip(held[x], held[y], strict=True)]
+        part = table[both]
+        assert r.complete_rows == len(part)
+        assert r.spearman == pytest.approx(part[x].rank().corr(part[y].rank()), abs=1e-9)
