@@ -16,6 +16,7 @@ from knownat.functions import round_half_away
 from knownat.operators import (
     calibration, ensembles, folds, history, modelling, profile, ratios, scoring,
 )
+from knownat.scale import stable
 
 FOLDED = f"""{PB}, f AS (SELECT *, 'fold_' || year(decision_at) AS fold_id FROM pb),
 fo AS (SELECT fold_id, CAST(row_number() OVER (ORDER BY min(decision_at), fold_id) - 1 AS INTEGER) AS k FROM f GROUP BY fold_id)"""
@@ -168,21 +169,21 @@ UNION ALL SELECT decision_key, fold_id, 'ensemble_xgb_rf_blend', round(sum(proba
 )
 def rolling_ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight ensembles of each fold over base scores with gaps; the ninth, stacking, below."""
-    made = _all_ensembles(spark, sf_dir).where("model <> 'ensemble_stacking'")
+    made = _ensembles(spark, sf_dir)
     return rounded(made.select("decision_key", "fold_id", "model", "probability"), "probability", digits=8)
 
 
-def _all_ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = base_scores(spark, sf_dir)
+def _ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = stable(base_scores(spark, sf_dir))  # every ensemble reads it
     folds = _folds(base)
-    outer = scoring.ranking_metrics(base, ["fold_id", "model"]).where("ROC_AUC IS NOT NULL").select(
-        "fold_id", "model", "ROC_AUC"
-    )
+    ranked = scoring.ranking_metrics(base, ["fold_id", "model"])
+    outer = stable(ranked.where("ROC_AUC IS NOT NULL").select("fold_id", "model", "ROC_AUC"))
     static = ensembles.weight_table(outer, 0.5)
     past = ensembles.weight_table(ensembles.adaptive_scores(outer, folds, decay=0.8), 0.5)
     adaptive = past.unionByName(static.join(past, "fold_id", "left_anti"))
     return ensembles.rolling_ensembles(
-        base, folds, ["decision_key", "fold_id"], inner=outer, static=static, adaptive=adaptive
+        base, folds, ["decision_key", "fold_id"], inner=outer, static=static, adaptive=adaptive,
+        stacked=False,
     )
 
 
@@ -203,7 +204,7 @@ def rolling_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The fitted values themselves are tested against a plain solver.
     """
-    base = base_scores(spark, sf_dir)
+    base = stable(base_scores(spark, sf_dir))
     made = ensembles.rolling_stacking(base, _folds(base), ["decision_key", "fold_id"])
     p = F.col("probability")
     return made.select(
@@ -245,12 +246,11 @@ UNION ALL SELECT decision_key, 'ensemble_adaptive_weighted', {_BLEND} FROM la JO
 )
 def frozen_champions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each possible champion, frozen on the folds before 1997, on the rows since."""
-    base = base_scores(spark, sf_dir)
+    base = stable(base_scores(spark, sf_dir))  # every champion reads it
     history = base.where("fold_id < 'fold_1997'")
     scored = base.where("fold_id >= 'fold_1997'").drop("fold_id", "deterioration_label")
-    inner = scoring.ranking_metrics(history.where("fold_id = 'fold_1996'"), ["model"]).select(
-        "model", "ROC_AUC"
-    )
+    ranked = scoring.ranking_metrics(history.where("fold_id = 'fold_1996'"), ["model"])
+    inner = stable(ranked.select("model", "ROC_AUC"))
     whole = None
     for champion in CHAMPIONS:
         made = ensembles.champion_scores(
@@ -355,7 +355,7 @@ def feature_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"sparse": F.when(F.col("lines") % 2 == 0, F.col("revenue")), "flat": F.lit(1.0)}
     )
     return modelling.feature_screens(
-        rows, SCREENED, protected=PROTECTED, maximum_correlation=0.8
+        stable(rows.select(*SCREENED)), SCREENED, protected=PROTECTED, maximum_correlation=0.8
     )
 
 

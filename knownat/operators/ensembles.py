@@ -283,10 +283,13 @@ def rolling_ensembles(
     base: DataFrame, folds: DataFrame, keys: Sequence[str], *, inner: DataFrame,
     static: DataFrame, adaptive: DataFrame, blends: Mapping[str, Mapping[str, float]] | None = None,
     label: str = "deterioration_label", model: str = "model", score: str = "probability",
+    stacked: bool = True,
 ) -> DataFrame:
     """All ensembles of each fold: averages, leaders, weights, fixed blends and stacking.
 
-    A blend whose members are not all among the base models is left out.
+    A blend whose members are not all among the base models is left out, as are the stacks, which
+    are fitted when they are asked for, without ``stacked``.  Every ensemble reads ``base``: hand
+    it over checkpointed if it is costly to make.
     """
     blends = registered_blends() if blends is None else blends
     present = {r[0] for r in base.select(model).distinct().collect()}
@@ -299,7 +302,7 @@ def rolling_ensembles(
         weighted(base, top_models(inner, 1), keys, "ensemble_inner_winner", **names),
         weighted(base, static, keys, "ensemble_static_weighted", **names),
         weighted(base, adaptive, keys, "ensemble_adaptive_weighted", **names),
-        rolling_stacking(base, folds, keys, label=label, **names),
+        *([rolling_stacking(base, folds, keys, label=label, **names)] if stacked else []),
         *[
             fixed_blend(base, shares, keys, name, **names)
             for name, shares in blends.items() if set(shares) <= present

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import catalog
 from knownat.operators import calibration, ensembles
 
 
@@ -140,3 +141,9 @@ def test_stacking_scores_every_decision(spark, make):
     )
     with pytest.raises(ValueError, match="neither"):
         ensembles.champion_scores("unknown", later, ["decision_key"], history=history, inner=history)
+
+
+def test_ensembles_and_champions_read_their_base_once(spark):
+    for name in ("rolling_ensembles", "frozen_champion_scores", "rolling_stacking"):
+        made = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        assert "parquet" not in made._jdf.queryExecution().optimizedPlan().toString(), name
