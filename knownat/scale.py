@@ -35,6 +35,12 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Hash partitions of some ``BLOCK_ROWS`` rows each, so a task's memory stays what it is."""
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parallel, math.ceil(rows / BLOCK_ROWS)), *keys)
+
+
 def order_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add ``__block``: contiguous, similarly sized ranges of (keys, order)."""
     kept = stable(df)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import catalog
 from knownat import scale
 from knownat.operators import scoring
 from knownat.operators.asof import asof_join
@@ -106,3 +107,16 @@ def test_ranking_metrics_split(spark, data):
         assert split.loc[name, "PR_AUC"] == pytest.approx(ap)
         assert split.loc[name, "ROC_AUC"] == pytest.approx(auc)
         assert split.loc[name, "Brier_score"] == pytest.approx(((p - y) ** 2).mean())
+
+
+def test_partitions_follow_from_the_rows(spark, make, monkeypatch):
+    monkeypatch.setattr(scale, "BLOCK_ROWS", 100)
+    frame = make([(i,) for i in range(1000)], "k long").coalesce(1)
+    sizes = scale.dealt(frame, ["k"], 1000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 200
+    made = catalog.queries()["grain_and_chronology_check"](spark, "/root/testdata/sf0.001")
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # and nothing else deals the lines out again
+    assert "hashpartitioning(l_orderkey#" in plan and "l_linenumber#" not in "".join(
+        line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line)
