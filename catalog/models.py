@@ -27,6 +27,7 @@ from knownat.operators.folds import expanding_window_splits
 from knownat.operators.history import entity_rows, rolling_std
 from knownat.operators.labels import deterioration_diagnostics
 from knownat.operators.peers import peer_context
+from knownat.scale import stable
 from knownat.sources.documents import company_facts, concept_table, series_observations
 
 # --- documents ---------------------------------------------------------------------------------
@@ -174,10 +175,11 @@ SELECT decision_key, decision_at, calendar_quarter, sector, round(revenue_ttm, 2
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = filings(spark, sf_dir)
     asked = filing_decisions(facts, cutoff=CUTOFF, first_year=1996)
-    rows = point_in_time_rows(
+    known = point_in_time_rows(
         facts, asked, flows=("revenue", "interest_expense"), balances=("total_assets",),
         first_end_year=1990,
     )
+    rows = stable(known)  # read for its dates and for its rows
     interest = F.abs(F.col("interest_expense_ttm"))
     rows = rows.withColumn(
         "coverage",
