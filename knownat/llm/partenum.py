@@ -13,10 +13,10 @@ projections would be shared by strangers.  They are left out by a set that has t
 parts to agree with another in these alone; a set with more of them emits them too.
 
 Signatures are shuffled once.  A bucket of equal signatures is not expanded into pairs: each
-member is first compared with the centre it meets most often, and links found so are merged.
-Pairs that sizes and cell counts rule out are dropped before any text moves.
+member is first compared with the centre it meets most often, members of a large one also along a
+forest of their nearest possible pairs, and links found so are merged.  Pairs that sizes and cell parities rule out are dropped before any text moves.
 Buckets that still hold several groups give the pairs between different groups; in those of more
-than ``BUCKET`` members a task compares cell counts first, and those of more than ``TOGETHER`` are
+than ``BUCKET`` members a task compares cell parities first, and those of more than ``TOGETHER`` are
 divided again by a new partition of the domain.  Every candidate
 is verified on whole texts, so the result is exact up to collisions of 64-bit shingle hashes
 within a pair of texts; sets are identified by 128 bits.
@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knownat.llm.common import (
-    WordHashes, linked_components, mixed, narrow_batches, raw_texts, settled, window_hashes, written,
+    GROUP_BYTES, WordHashes, linked_components, mixed, narrow_batches, raw_texts, settled,
+    window_hashes, written,
 )
 
 SHINGLE = 5
@@ -46,14 +47,15 @@ BUCKET = 64
 #: Divisions of a crowded bucket before its remaining pairs are compared as they are: texts that
 #: nearly meet the limit share most buckets of any partition, so more divisions only repeat them.
 LEVELS = 1
-#: Members of a bucket that one task may compare by their cell counts.
+#: Members of a bucket that one task may compare by their cell parities.
 TOGETHER = 1 << 12
 #: Members that one copy of a centre's text is compared with.
 PER_CENTRE = 256
 #: Sets up to this size have three second-level parts, larger ones two.
 _SMALL = 60
 _CHUNK, _SEEN, _SETS = 1 << 12, 1 << 17, 1 << 15
-_CELLS = 128
+#: Cells of a sketch, a power of two: at least twice the elements, within these bounds.
+_FEWEST, _MOST = 1 << 8, 1 << 14
 
 
 class Bands:
@@ -131,13 +133,16 @@ _DOC_TYPE = pa.struct(
 )
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """How many elements fall into each of 128 cells, up to 255.
+def sketch(shingles: np.ndarray) -> bytes:
+    """One bit for each cell: whether it holds an odd number of the elements.
 
-    Two sets differ in at least as many elements as the sum of differences over the cells.
+    Two sets differ in at least as many elements as their parities differ in cells.  With cells in
+    proportion to the set few differences fall together, so the bound is close to the truth.
     """
-    cells = (mixed(shingles ^ np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(57)).astype(np.int64)
-    return np.minimum(np.bincount(cells, minlength=_CELLS), 255).astype(np.uint8)
+    cells = min(max(1 << (2 * len(shingles) - 1).bit_length(), _FEWEST), _MOST)
+    spread = mixed(shingles ^ np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(40)
+    counts = np.bincount((spread % np.uint64(cells)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -160,8 +165,7 @@ def _document_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame
                 shingles = shingle_set(text, words, width)
                 key, tail = set_key(shingles)
                 heads.append(key)
-                cells = sketch(shingles).tobytes()
-                docs.append((doc_id, len(shingles), tail, text_key, cells))
+                docs.append((doc_id, len(shingles), tail, text_key, sketch(shingles)))
                 if (key, tail) not in seen and len(shingles):
                     if len(seen) >= _SEEN:
                         seen.clear()
@@ -357,15 +361,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def _possible(sizes: tuple, cells: tuple, percent: int) -> np.ndarray:
-    """Whether sizes and cell counts leave room for enough shared elements."""
-    apart = np.abs(cells[0].astype(np.int16) - cells[1]).sum(axis=-1, dtype=np.int64)
+def _possible(sizes: tuple, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and cells of other parity leave room for enough shared elements."""
     near = apart * (100 + percent) <= (100 - percent) * (sizes[0] + sizes[1])
     return near & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
 
 
-def _cells(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _CELLS)
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of ``size`` bytes each; cells of longer ones are laid together."""
+    rows = np.empty((len(sketches), size // 8), np.uint64)
+    lengths = np.array([len(cells) for cells in sketches])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        words = np.frombuffer(b"".join(sketches[n] for n in at.tolist()), np.uint64)
+        rows[at] = np.bitwise_xor.reduce(words.reshape(len(at), -1, size // 8), axis=1)
+    return rows
 
 
 def _within_bounds(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -380,17 +394,26 @@ def _within_bounds(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = tuple(batch.column(i).to_numpy() for i in (2, 3))
-            kept = _possible(sizes, (_cells(batch.column(4)), _cells(batch.column(5))), percent)
-            yield batch.select([0, 1]).filter(pa.array(kept))
+            left, right = (batch.column(i).to_pylist() for i in (4, 5))
+            shorter = np.array([min(map(len, both)) for both in zip(left, right, strict=True)])
+            apart = np.zeros(batch.num_rows, np.int64)
+            for size in np.unique(shorter).tolist():
+                at = np.flatnonzero(shorter == size)
+                apart[at] = _apart(*(_folded([x[n] for n in at.tolist()], size) for x in (left, right)))
+            yield batch.select([0, 1]).filter(pa.array(_possible(sizes, apart, percent)))
 
     columns = ("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
     return settled(pairs.select(*columns).mapInArrow(run, "a binary, b binary"))
 
 
-def _pairs_within(held: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _pairs_within(
+    held: DataFrame, classes: DataFrame, percent: int, spanning: bool = False
+) -> DataFrame:
     """Ordered pairs of different groups in each bucket that may be similar.
 
-    A bucket is held by one task as sizes and cell counts; pairs ruled out are never made.
+    A bucket is held by one task as sizes and sketches; pairs ruled out are never made.  When
+    spanning, a pair made counts as a link and only the nearest of each group met is made, so a
+    bucket gives fewer pairs than it has members.
     """
     rows = held.select("sig", "class", "root").join(
         classes.select("class", "n_shingles", "sketch"), "class"
@@ -403,12 +426,26 @@ def _pairs_within(held: DataFrame, classes: DataFrame, percent: int) -> DataFram
             bucket = pa.Table.from_batches(parts).combine_chunks()
             names = bucket.column(1).to_pylist()
             roots = np.unique(np.array(bucket.column(2).to_pylist(), object), return_inverse=True)[1]
-            sizes, cells = bucket.column(3).to_numpy(), _cells(bucket.column(4))
-            for at in range(1, len(names)):
-                near = _possible((sizes[:at], sizes[at]), (cells[:at], cells[at]), percent)
-                found = np.flatnonzero(near & (roots[:at] != roots[at])).tolist()
-                if found:
-                    ends = [(max(names[at], names[i]), min(names[at], names[i])) for i in found]
+            sizes, cells = bucket.column(3).to_numpy(), bucket.column(4).to_pylist()
+            cells = _folded(cells, min(map(len, cells)))
+            step = max(1, GROUP_BYTES // cells.nbytes)
+            for at in range(0, len(names), step):
+                own, end = np.s_[at : at + step, None], min(at + step, len(names))
+                apart = _apart(cells[own], cells[:end])
+                near = _possible((sizes[own], sizes[:end]), apart, percent)
+                near &= (roots[own] != roots[:end]) & np.tri(end - at, end, at - 1, bool)
+                ends = []
+                for i in np.flatnonzero(near.any(axis=1)).tolist():
+                    found = np.flatnonzero(near[i])
+                    if spanning:
+                        found = found[np.argsort(apart[i, found], kind="stable")]
+                        found = found[roots[found] != roots[at + i]]
+                        met, nearest = np.unique(roots[found], return_index=True)
+                        found = found[nearest]
+                        roots[np.isin(roots, met)] = roots[at + i]
+                    name = names[at + i]
+                    ends += [(max(name, names[j]), min(name, names[j])) for j in found.tolist()]
+                if ends:
                     yield pa.record_batch(
                         [pa.array(c, pa.binary()) for c in zip(*ends, strict=True)], ["a", "b"]
                     )
@@ -511,8 +548,10 @@ def _links(
         stars.join(ids.withColumnRenamed("class", "a"), "key").join(centres, "centre")
         .select("a", "b").where("a <> b")
     )
-    links = settled(_verified(_within_bounds(asked, classes, percent), texts, width, percent))
-    tried = _ordered(asked)
+    trees = settled(_trees(buckets, ids, classes, percent, together))
+    near = _within_bounds(asked, classes, percent).union(trees)
+    links = settled(_verified(near, texts, width, percent))
+    tried = settled(_ordered(asked.union(trees)))
     for level in range(LEVELS + 1):
         roots = linked_components(links).select(F.col("node").alias("class"), "root")
         groups = settled(
@@ -540,6 +579,22 @@ def _links(
     return links
 
 
+def _trees(
+    buckets: DataFrame, ids: DataFrame, classes: DataFrame, percent: int, together: int
+) -> DataFrame:
+    """Pairs that span what may be similar in each large bucket that a task can hold."""
+    pieces = buckets.where("sig IS NOT NULL")
+    beyond = (
+        pieces.groupBy("sig").agg(F.sum(F.size("members")).alias("held"))
+        .where(F.col("held") > together).select("sig")
+    )
+    held = (
+        pieces.join(beyond, "sig", "left_anti").select("sig", F.explode("members").alias("key"))
+        .join(ids, "key").select("sig", "class", F.col("class").alias("root"))
+    )
+    return _pairs_within(held, classes, percent, spanning=True).distinct()
+
+
 def _pairs_inside(crowded: DataFrame) -> DataFrame:
     """Ordered pairs of classes of different groups that share a crowded bucket."""
     left = crowded.select("sig", F.col("class").alias("a"), F.col("root").alias("x"))

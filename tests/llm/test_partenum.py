@@ -120,3 +120,41 @@ def test_bands_cover_partners():
         for other in {size, min(size + 1, larger), larger}:
             if other > size:
                 assert bands.number(other) in mine
+
+
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies about the limit share many buckets; the rows made stay near their number."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(400)]
+    docs = []
+    for n in range(160):
+        words = list(base)
+        for at in draw.sample(range(400), draw.randrange(2, 30)):
+            words[at] = f"x{draw.randrange(10**6)}"
+        docs.append((n, " ".join(words)))
+    made, whole = [], partenum._pairs_within
+
+    def counted(*args, **options):
+        pairs = whole(*args, **options)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(partenum, "_pairs_within", counted)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    check(docs, frame, bucket=8)
+    assert sum(made) < 100 * len(docs), made
+
+
+def test_sketch_bounds_the_difference():
+    """Never above the truth, and near it, so pairs well below the limit are ruled out."""
+    draw = np.random.default_rng(3)
+    for size, other in [(1, 1), (5, 4), (120, 130), (250, 300), (396, 396), (3000, 2900)]:
+        common = draw.integers(0, 1 << 64, min(size, other) * 4 // 5, dtype=np.uint64)
+        left, right = (
+            np.unique(np.concatenate([common, draw.integers(0, 1 << 64, n - len(common), dtype=np.uint64)]))
+            for n in (size, other)
+        )
+        cells = [partenum.sketch(s) for s in (left, right)]
+        folded = [partenum._folded([c], min(map(len, cells))) for c in cells]
+        apart, truth = partenum._apart(*folded)[0], len(np.setxor1d(left, right))
+        assert truth * 0.7 <= apart <= truth, (size, other, apart, truth)
