@@ -25,9 +25,10 @@ within a pair of texts; sets are identified by 128 bits.
 from __future__ import annotations
 
 import hashlib
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from knownat.llm.common import (
     GROUP_BYTES, WordHashes, linked_components, mixed, narrow_batches, raw_texts, settled,
-    window_hashes, written,
+    shuffles_freed, window_hashes, written,
 )
 
 SHINGLE = 5
@@ -87,13 +88,47 @@ class Bands:
                     yield band, k, k // 2 + 1 + (k // 2 + 1) // 8, 2
 
 
-def shingle_set(text: bytes, words_seen: dict, width: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; fewer words make one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(words_seen.__getitem__, words), np.uint64, len(words))
-    return np.unique(window_hashes(hashes, min(width, len(words))))
+def shingle_sets(
+    texts: list[bytes], words_seen: dict, width: int = SHINGLE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, sorted within it, end to end; their numbers.
+
+    Fewer words than the width make one shingle.
+    """
+    words = [text.lower().split() for text in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    known = map(words_seen.__getitem__, chain.from_iterable(words))
+    hashes = np.fromiter(known, np.uint64, int(counts.sum()))
+    sizes = np.where(counts < width, np.minimum(counts, 1), counts - width + 1)
+    found, ends = np.empty(sizes.sum(), np.uint64), np.cumsum(sizes)
+    starts, word_ends = ends - sizes, np.cumsum(counts)
+    # Windows over the end of a text belong to no text.
+    inside = np.ones(len(hashes), bool)
+    for back in range(1, width):
+        inside[word_ends[counts >= back] - back] = False
+    windows = window_hashes(hashes, width)
+    long = np.repeat(counts >= width, sizes)
+    found[long] = windows[inside[: len(windows)]]
+    for n in np.flatnonzero((counts > 0) & (counts < width)).tolist():
+        own = hashes[word_ends[n] - counts[n] : word_ends[n]]
+        found[starts[n]] = window_hashes(own, len(own))[0]
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        found[start:end].sort()
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = found[1:] != found[:-1]
+    fresh[starts[sizes > 0]] = True
+    return found[fresh], np.bincount(_owners(sizes)[fresh], minlength=len(sizes))
+
+
+def _owners(sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _each(shingles: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    at = 0
+    for size in sizes.tolist():
+        yield shingles[at : at + size]
+        at += size
 
 
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -103,27 +138,64 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 def signatures(shingles: np.ndarray, bands: Bands, seed: int = 0) -> np.ndarray:
     """The set's signatures in the schemes of its size; any set of 1 ... has its own."""
-    found = []
+    return many_signatures(shingles, np.array([len(shingles)]), bands, seed)[0]
+
+
+def many_signatures(
+    shingles: np.ndarray, sizes: np.ndarray, bands: Bands, seed: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets that stand end to end, and the number of the set of each."""
+    if not len(shingles):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     spread = mixed(shingles ^ np.uint64(0xA0761D6478BD642F * (2 * seed + 1) % (1 << 64)))
-    for band, k, n1, n2 in bands.schemes(len(shingles)):
-        parts = n1 * n2
-        place = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, place, spread)
-        filled = np.bincount(place, minlength=parts) > 0
-        names = mixed(np.arange(parts, dtype=np.uint64) + np.uint64(band + 1 << 40))
-        with np.errstate(over="ignore"):
-            own = mixed(sums + names)
-            if n2 == 2:  # at least 2 n1 - k of the parts agree, so one that is not empty does
-                safe = parts - int(filled.sum()) < parts - k
-                found.append(own[filled] if safe else own)
+    schemes = {n: list(bands.schemes(n)) for n in set(sizes.tolist()) if n}
+    each = [schemes.get(n, []) for n in sizes.tolist()]
+    owner, made, owners = _owners(sizes), [], []
+    for turn in range(2):  # a set takes part in two schemes at most
+        own = np.array([s[turn] if len(s) > turn else (0, 0, 0, 0) for s in each], np.int64)
+        for n2 in (2, 3):
+            band, k, n1 = np.where(own[:, 3] == n2, own[:, :3].T, 0)
+            parts, some = n1 * n2, (n1 > 0)[owner]
+            if not some.any():
                 continue
-            own, filled = own.reshape(n1, n2), filled.reshape(n1, n2)
-            safe = int((filled.sum(axis=1) <= 1).sum()) < n1 - k // 2
-            for left, right in combinations(range(n2), n2 - 1):
-                both = mixed(own[:, left] * np.uint64(3) + own[:, right])
-                found.append(both[filled[:, left] | filled[:, right]] if safe else both)
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+            sig, of = _scheme(spread[some], owner[some], band, k, n1, parts, n2)
+            made += sig
+            owners += of
+    if not made:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(made), np.concatenate(owners)
+
+
+def _scheme(
+    spread: np.ndarray, owner: np.ndarray, band: np.ndarray, k: np.ndarray, n1: np.ndarray,
+    parts: np.ndarray, n2: int,
+) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Signatures of one scheme for each set, all of ``n2`` second-level parts, and their sets."""
+    first = np.cumsum(parts) - parts
+    place = (spread >> np.uint64(32)) * parts.astype(np.uint64)[owner] >> np.uint64(32)
+    place = place.astype(np.int64) + first[owner]
+    sums = np.zeros(parts.sum(), np.uint64)
+    np.add.at(sums, place, spread)
+    filled = np.bincount(place, minlength=len(sums)) > 0
+    holder = _owners(parts)
+    number = np.arange(len(sums)) - first[holder]
+    names = mixed((number + (band[holder] + 1 << 40)).astype(np.uint64))
+    with np.errstate(over="ignore"):
+        own = mixed(sums + names)
+        if n2 == 2:  # at least 2 n1 - k of the parts agree, so one that is not empty does
+            empty = parts - np.bincount(holder[filled], minlength=len(parts))
+            kept = filled | (empty >= parts - k)[holder]
+            return [own[kept]], [holder[kept]]
+        own, filled, holder = own.reshape(-1, n2), filled.reshape(-1, n2), holder[::n2]
+        poor = np.bincount(holder[filled.sum(axis=1) <= 1], minlength=len(parts))
+        safe = (poor < n1 - k // 2)[holder]
+        made, owners = [], []
+        for left, right in combinations(range(n2), n2 - 1):
+            both = mixed(own[:, left] * np.uint64(3) + own[:, right])
+            kept = filled[:, left] | filled[:, right] | ~safe
+            made.append(both[kept])
+            owners.append(holder[kept])
+    return made, owners
 
 
 _DOC = "doc struct<doc_id: long, n_shingles: long, tail: long, text_key: long, sketch: binary>"
@@ -131,6 +203,8 @@ _DOC_TYPE = pa.struct(
     [(n, pa.int64()) for n in ("doc_id", "n_shingles", "tail", "text_key")]
     + [("sketch", pa.binary())]
 )
+#: A document beside its signatures: one column that is null in a signature's row.
+_PACKED = "<?qqqq"
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -139,10 +213,22 @@ def sketch(shingles: np.ndarray) -> bytes:
     Two sets differ in at least as many elements as their parities differ in cells.  With cells in
     proportion to the set few differences fall together, so the bound is close to the truth.
     """
-    cells = min(max(1 << (2 * len(shingles) - 1).bit_length(), _FEWEST), _MOST)
-    spread = mixed(shingles ^ np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(40)
-    counts = np.bincount((spread % np.uint64(cells)).astype(np.int64), minlength=cells)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+    return sketches(shingles, np.array([len(shingles)]))[0]
+
+
+def sketches(shingles: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Sketches of sets that stand end to end."""
+    cells = np.array(
+        [min(max(1 << max(0, 2 * n - 1).bit_length(), _FEWEST), _MOST) for n in sizes.tolist()],
+        np.int64,
+    )
+    ends, owner = np.cumsum(cells), _owners(sizes)
+    spread = (mixed(shingles ^ np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(40)).astype(np.int64)
+    place = (spread & (cells[owner] - 1)) + (ends - cells)[owner]
+    counts = np.bincount(place, minlength=int(cells.sum()))
+    held = np.packbits((counts & 1).astype(np.uint8)).tobytes()
+    cuts = (np.append(0, ends) // 8).tolist()
+    return [held[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -159,43 +245,50 @@ def _document_signatures(docs: DataFrame, width: int, percent: int) -> DataFrame
         words, bands, seen, rows = WordHashes(), Bands(percent), set(), 0
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
-            made, owners, heads, docs = [], [], [], []
+            shingles, sizes = shingle_sets(raw_texts(batch.column(0)), words, width)
+            heads, docs, new = [], [], []
             ids = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            for text, (doc_id, text_key) in zip(raw_texts(batch.column(0)), ids, strict=True):
-                shingles = shingle_set(text, words, width)
-                key, tail = set_key(shingles)
+            cells = sketches(shingles, sizes)
+            for n, (own, (doc_id, text_key)) in enumerate(zip(_each(shingles, sizes), ids, strict=True)):
+                key, tail = set_key(own)
                 heads.append(key)
-                docs.append((doc_id, len(shingles), tail, text_key, sketch(shingles)))
-                if (key, tail) not in seen and len(shingles):
+                docs.append(
+                    struct.pack(_PACKED, doc_id is None, doc_id or 0, len(own), tail, text_key) + cells[n]
+                )
+                if (key, tail) not in seen and len(own):
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add((key, tail))
-                    own = signatures(shingles, bands)
-                    made.append(own)
-                    owners.append((key, len(own)))
+                    new.append(n)
             anywhere = mixed(np.arange(base + rows, base + rows + len(docs), dtype=np.uint64))
             rows += len(docs)
             yield pa.record_batch(
-                [pa.array(_signed(anywhere)), pa.array(heads, pa.int64()),
-                 pa.StructArray.from_arrays(
-                     [pa.array(c, f.type) for c, f in zip(zip(*docs, strict=True), _DOC_TYPE, strict=True)],
-                     fields=list(_DOC_TYPE))] if docs else
-                [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], _DOC_TYPE)],
+                [pa.array(_signed(anywhere)), pa.array(heads, pa.int64()), pa.array(docs, pa.binary())],
                 ["sig", "key", "doc"],
             )
-            yield from _signature_batches(made, owners)
+            fresh = np.zeros(len(sizes), bool)
+            fresh[new] = True
+            shingles, sizes = shingles[np.repeat(fresh, sizes)], sizes[fresh]
+            made, owner = many_signatures(shingles, sizes, bands)
+            yield _signature_batch(made, np.array(heads, np.int64)[fresh][owner])
 
-    return docs.mapInArrow(run, f"sig long, key long, {_DOC}")
+    return docs.mapInArrow(run, "sig long, key long, doc binary")
 
 
-def _signature_batches(made: list, owners: list) -> Iterator[pa.RecordBatch]:
-    if made:
-        sig = _signed(np.concatenate(made))
-        keys, counts = zip(*owners, strict=True)
-        key = np.repeat(np.array(keys, np.int64), counts)
-        yield pa.record_batch(
-            [pa.array(sig), pa.array(key), pa.nulls(len(sig), _DOC_TYPE)], ["sig", "key", "doc"]
-        )
+def _signature_batch(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch(
+        [pa.array(_signed(sig)), pa.array(key), pa.nulls(len(sig), pa.binary())],
+        ["sig", "key", "doc"],
+    )
+
+
+def _unpacked(docs: list[bytes]) -> pa.StructArray:
+    rows = []
+    for packed in docs:
+        unnamed, doc_id, *others = struct.unpack_from(_PACKED, packed)
+        rows.append((None if unnamed else doc_id, *others, packed[struct.calcsize(_PACKED) :]))
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DOC_TYPE, strict=True)]
+    return pa.StructArray.from_arrays(columns, fields=list(_DOC_TYPE))
 
 
 def _divided_signatures(crowded: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
@@ -204,15 +297,12 @@ def _divided_signatures(crowded: DataFrame, width: int, percent: int, seed: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bands = WordHashes(), Bands(percent)
         for batch in batches:
-            made, owners = [], []
-            texts, sigs = raw_texts(batch.column(0)), batch.column(1).to_pylist()
-            for text, sig, key in zip(texts, sigs, batch.column(2).to_pylist(), strict=True):
-                own = signatures(shingle_set(text, words, width), bands, seed)
-                made.append(mixed(own ^ np.uint64(sig % (1 << 64))))
-                owners.append((key, len(own)))
-            yield from _signature_batches(made, owners)
+            shingles, sizes = shingle_sets(raw_texts(batch.column(0)), words, width)
+            within, keys = (batch.column(i).to_numpy() for i in (1, 2))
+            own, owner = many_signatures(shingles, sizes, bands, seed)
+            yield _signature_batch(mixed(own ^ within.view(np.uint64)[owner]), keys[owner])
 
-    return crowded.mapInArrow(run, f"sig long, key long, {_DOC}")
+    return crowded.mapInArrow(run, "sig long, key long, doc binary")
 
 
 _BUCKETS = f"sig long, centre long, members array<long>, weight long, key long, {_DOC}"
@@ -229,10 +319,10 @@ def _bucket_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _buckets(limit: int):
-    """Sorted (sig, key, doc) rows to buckets of two or more keys.
+    """(sig, key, doc) rows sorted by signature to buckets of two or more keys.
 
     Equal member lists become one row with their number; a bucket above the limit keeps its
-    signature and comes in pieces.  Document rows pass.
+    signature and comes in pieces, and only pieces may repeat a key.  Document rows pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,22 +344,19 @@ def _buckets(limit: int):
 
         def close(start: int, end: int) -> None:
             """Take in sig[start:end], all of one signature; nothing more of it follows."""
-            if open_sig is not None and sig[start] == open_sig:
-                spill(start + 1, end)  # the first row is the one kept to find repeats
-            elif end - start > limit:
-                spill(start, end)
-            elif end - start > 1:
-                held = key[start:end].tobytes()
+            members = key[start:end]
+            if len(members) > limit or open_sig is not None and sig[start] == open_sig:
+                spill(sig[start], members)
+            elif len(members) > 1:
+                held = members.tobytes()
                 sets[held] = sets.get(held, 0) + 1
 
-        def spill(start: int, end: int) -> None:
+        def spill(own: int, members: np.ndarray) -> None:
             nonlocal open_sig, centre
-            if start >= end:
-                return
-            if open_sig is None or sig[start] != open_sig:
-                open_sig, centre = sig[start], key[start]
-            for at in range(start, end, _CHUNK):
-                large.append((open_sig, centre, key[at : min(end, at + _CHUNK)], 1))
+            if open_sig is None or own != open_sig:
+                open_sig, centre = own, members[0]
+            for at in range(0, len(members), _CHUNK):
+                large.append((open_sig, centre, members[at : at + _CHUNK], 1))
 
         for batch in batches:
             docs = batch.column(2)
@@ -279,7 +366,7 @@ def _buckets(limit: int):
                 yield pa.record_batch(
                     [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()),
                      pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.int64()),
-                     own.column(1), own.column(2)],
+                     own.column(1), _unpacked(own.column(2).to_pylist())],
                     ["sig", "centre", "members", "weight", "key", "doc"],
                 )
                 batch = batch.filter(docs.is_null())
@@ -287,6 +374,13 @@ def _buckets(limit: int):
             key = np.concatenate([key, batch.column(1).to_numpy()])
             if not len(sig):
                 continue
+            shared, same = np.zeros(len(sig), bool), sig[1:] == sig[:-1]
+            shared[1:], shared[-1] = same, True
+            shared[:-1] |= same
+            shared[0] |= open_sig is not None and sig[0] == open_sig
+            sig, key = sig[shared], key[shared]
+            order = np.lexsort((key, sig))
+            sig, key = sig[order], key[order]
             fresh = np.ones(len(sig), bool)
             fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
             sig, key = sig[fresh], key[fresh]
@@ -301,8 +395,8 @@ def _buckets(limit: int):
             last = int(starts[-1])
             sig, key = sig[last:], key[last:]
             if len(sig) > max(limit, _CHUNK):
-                spill(1 if open_sig == sig[0] else 0, len(sig))
-                sig, key = sig[-1:], key[-1:]
+                spill(sig[0], key)
+                sig, key = sig[:0], key[:0]
             if len(sets) >= _SETS or sum(len(r[2]) for r in large) >= _SETS:
                 yield from flush()
         if len(sig):
@@ -314,7 +408,7 @@ def _buckets(limit: int):
 
 def _gathered(signature_rows: DataFrame, limit: int, name: str) -> DataFrame:
     parts = int(signature_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = signature_rows.repartition(parts, "sig").sortWithinPartitions("sig", "key")
+    dealt = signature_rows.repartition(parts, "sig").sortWithinPartitions("sig")
     return written(dealt.mapInArrow(_buckets(limit), _BUCKETS), name)
 
 
@@ -347,10 +441,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         for batch in batches:
             found = []
             keys = zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            for text, (own, member) in zip(raw_texts(batch.column(0)), keys, strict=True):
-                shingles = shingle_set(text, words, width)
+            sets = _each(*shingle_sets(raw_texts(batch.column(0)), words, width))
+            for shingles, (own, member) in zip(sets, keys, strict=True):
                 if member is None:
-                    centre, held = own, shingles
+                    centre, held = own, shingles.copy()
                 elif own == centre:
                     shared = len(np.intersect1d(shingles, held, assume_unique=True))
                     if 100 * shared >= percent * (len(shingles) + len(held) - shared):
@@ -492,23 +586,25 @@ def similar_groups(
         F.col(id_column).cast("long").alias("doc_id"),
         F.xxhash64(text_column).alias("text_key"),
     )
-    made = _gathered(_document_signatures(keyed, width, percent), bucket, "signatures")
-    name = F.unhex(F.concat(F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("doc.tail"), 16, "0")))
-    rows = made.where("doc IS NOT NULL").select(
-        "doc.*", "key", name.alias("class"), (F.col("doc.n_shingles") == 0).alias("blank")
-    )
-    unnamed = F.col("doc_id").isNull().alias("unnamed")
-    first = F.min(F.struct(unnamed, "doc_id", "text_key", "n_shingles", "sketch"))
-    classes = settled(
-        rows.where("NOT blank").groupBy("class", "key")
-        .agg(F.min("doc_id").alias("first_id"), first.alias("one"))
-        .select("class", "key", "first_id", F.col("one.doc_id").alias("doc_id"), "one.text_key",
-                "one.n_shingles", "one.sketch")
-    )
-    buckets = made.where("doc IS NULL")
-    texts = _texts_of(keyed, classes, buckets)
-    links = _links(buckets, classes, texts, width, percent, bucket, together)
-    roots = linked_components(links).select(F.col("node").alias("class"), "root")
+    with shuffles_freed(docs.sparkSession):
+        made = _gathered(_document_signatures(keyed, width, percent), bucket, "signatures")
+        name = F.unhex(F.concat(F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("doc.tail"), 16, "0")))
+        rows = made.where("doc IS NOT NULL").select(
+            "doc.*", "key", name.alias("class"), (F.col("doc.n_shingles") == 0).alias("blank")
+        )
+        unnamed = F.col("doc_id").isNull().alias("unnamed")
+        first = F.min(F.struct(unnamed, "doc_id", "text_key", "n_shingles", "sketch"))
+        classes = settled(
+            rows.where("NOT blank").groupBy("class", "key")
+            .agg(F.min("doc_id").alias("first_id"), first.alias("one"))
+            .select("class", "key", "first_id", F.col("one.doc_id").alias("doc_id"), "one.text_key",
+                    "one.n_shingles", "one.sketch")
+        )
+        buckets = made.where("doc IS NULL")
+        opened = _opened(buckets)
+        texts = _texts_of(keyed, classes, opened)
+        links = _links(buckets, opened, classes, texts, width, percent, bucket, together)
+        roots = linked_components(links).select(F.col("node").alias("class"), "root")
     rooted = classes.join(roots, "class", "left").select(
         "class", "first_id", F.coalesce("root", "class").alias("root")
     )
@@ -521,9 +617,15 @@ def similar_groups(
     return linked.union(alone)
 
 
-def _texts_of(keyed: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFrame:
+def _opened(buckets: DataFrame) -> DataFrame:
+    """(sig, centre, weight, key): one row for each member of a bucket, made once."""
+    opened = buckets.select("sig", "centre", "weight", F.explode("members").alias("key"))
+    return written(opened, "opened")
+
+
+def _texts_of(keyed: DataFrame, classes: DataFrame, opened: DataFrame) -> DataFrame:
     """(class, text): one text for each class that meets another one in a bucket."""
-    met = buckets.select(F.explode("members").alias("key")).distinct()
+    met = opened.select("key").distinct()
     wanted = classes.join(met, "key").select(
         F.col("class"), F.col("doc_id").alias("one_id"), F.col("text_key").alias("one_key")
     )
@@ -532,15 +634,14 @@ def _texts_of(keyed: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataF
 
 
 def _links(
-    buckets: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int,
-    limit: int, together: int,
+    buckets: DataFrame, opened: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
+    percent: int, limit: int, together: int,
 ) -> DataFrame:
     """Verified links that connect exactly the linked classes."""
     ids = classes.select("key", "class")
     centres = ids.withColumnRenamed("key", "centre").withColumnRenamed("class", "b")
     stars = (
-        buckets.select("centre", "weight", F.explode("members").alias("key"))
-        .where("key <> centre").groupBy("key", "centre").agg(F.sum("weight").alias("met"))
+        opened.where("key <> centre").groupBy("key", "centre").agg(F.sum("weight").alias("met"))
         .groupBy("key").agg(F.max(F.struct("met", "centre")).alias("most"))
         .select("key", F.col("most.centre").alias("centre"))
     )
@@ -548,7 +649,7 @@ def _links(
         stars.join(ids.withColumnRenamed("class", "a"), "key").join(centres, "centre")
         .select("a", "b").where("a <> b")
     )
-    trees = settled(_trees(buckets, ids, classes, percent, together))
+    trees = settled(_trees(opened, ids, classes, percent, together))
     near = _within_bounds(asked, classes, percent).union(trees)
     links = settled(_verified(near, texts, width, percent))
     tried = settled(_ordered(asked.union(trees)))
@@ -559,7 +660,7 @@ def _links(
                 "key", "class", F.coalesce("root", "class").alias("root")
             )
         )
-        crowded = _crowded(buckets, groups)
+        crowded = _crowded(opened, groups)
         held = crowded.where(F.col("members") <= together)
         pairs = _pairs_between(buckets, groups).union(_pairs_within(held, classes, percent))
         crowded = crowded.where(F.col("members") > together)
@@ -576,21 +677,18 @@ def _links(
         inside = texts.join(crowded, "class").select("text", "sig", "key")
         divided = _divided_signatures(inside, width, percent, level + 1)
         buckets = _gathered(divided, limit, "divided")
+        opened = _opened(buckets)
     return links
 
 
 def _trees(
-    buckets: DataFrame, ids: DataFrame, classes: DataFrame, percent: int, together: int
+    opened: DataFrame, ids: DataFrame, classes: DataFrame, percent: int, together: int
 ) -> DataFrame:
     """Pairs that span what may be similar in each large bucket that a task can hold."""
-    pieces = buckets.where("sig IS NOT NULL")
-    beyond = (
-        pieces.groupBy("sig").agg(F.sum(F.size("members")).alias("held"))
-        .where(F.col("held") > together).select("sig")
-    )
-    held = (
-        pieces.join(beyond, "sig", "left_anti").select("sig", F.explode("members").alias("key"))
-        .join(ids, "key").select("sig", "class", F.col("class").alias("root"))
+    pieces = opened.where("sig IS NOT NULL").select("sig", "key").distinct()
+    beyond = pieces.groupBy("sig").count().where(F.col("count") > together).select("sig")
+    held = pieces.join(beyond, "sig", "left_anti").join(ids, "key").select(
+        "sig", "class", F.col("class").alias("root")
     )
     return _pairs_within(held, classes, percent, spanning=True).distinct()
 
@@ -617,9 +715,9 @@ def _pairs_between(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     return _ordered(both.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")))
 
 
-def _crowded(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+def _crowded(opened: DataFrame, groups: DataFrame) -> DataFrame:
     """(sig, class, key, root, members) of the large buckets that hold several groups."""
-    held = buckets.where("sig IS NOT NULL").select("sig", F.explode("members").alias("key"))
+    held = opened.where("sig IS NOT NULL").select("sig", "key").distinct()
     rooted = settled(held.join(groups, "key"))
     several = rooted.groupBy("sig").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")

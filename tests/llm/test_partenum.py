@@ -158,3 +158,30 @@ def test_sketch_bounds_the_difference():
         folded = [partenum._folded([c], min(map(len, cells))) for c in cells]
         apart, truth = partenum._apart(*folded)[0], len(np.setxor1d(left, right))
         assert truth * 0.7 <= apart <= truth, (size, other, apart, truth)
+
+
+def test_many_sets_at_once_are_as_one_by_one():
+    texts = [b"", b"a", b"a b", b"a b c d", b"A b c d e", b" \t ", b"a " * 9]
+    draw = random.Random(5)
+    texts += [" ".join(draw.choices("abcdefghij", k=draw.randrange(200))).encode() for _ in range(60)]
+    words, bands = partenum.WordHashes(), partenum.Bands(80)
+    found, sizes = partenum.shingle_sets(texts, words)
+    assert sizes.tolist() == [len(shingles(text.decode())) for text in texts]
+    sigs, owner = partenum.many_signatures(found, sizes, bands)
+    for n, (own, cells) in enumerate(zip(partenum._each(found, sizes), partenum.sketches(found, sizes))):
+        alone = partenum.shingle_sets([texts[n]], words)[0]
+        assert alone.tolist() == own.tolist() == sorted(set(own.tolist()))
+        assert sorted(partenum.signatures(alone, bands).tolist()) == sorted(sigs[owner == n].tolist())
+        assert partenum.sketch(alone) == cells
+
+
+def test_no_shuffle_files_stay(spark, families):
+    def shuffled():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        blocks = env.blockManager().diskBlockManager().getAllBlocks().mkString(" ").split()
+        return {block for block in blocks if block.startswith("shuffle_")}
+
+    frame = spark.createDataFrame(families, "doc_id long, text string").repartition(4)
+    before = shuffled()
+    partenum.similar_groups(frame)
+    assert len(shuffled() - before) < 50
