@@ -187,7 +187,10 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = F.quarter("l_shipdate")
     end = quarter_end("l_shipdate")
     lag = (F.lit(20) + (F.col("l_orderkey") + 3 * F.col("l_partkey")) % 500).cast("int")
-    period = F.when(quarter == 4, "FY").otherwise(F.concat(F.lit("Q"), quarter.cast("string")))
+    # Literal names, so that conditions on the period become conditions on the quarter.
+    period = F.when(quarter == 4, "FY")
+    for number in (1, 2, 3):
+        period = period.when(quarter == number, f"Q{number}")
     return line.select(
         F.col("l_suppkey").cast("string").alias("cik"),
         concept.alias("concept"),

@@ -4,16 +4,16 @@ A *fact* is one reported observation: entity, concept, fiscal year and period, d
 filing it came from and the day it was filed.  Later filings restate earlier ones, so the value
 of a quarter depends on the day one asks.
 
-The pick among competing facts is the maximum of one ordering struct.  A maximum can be combined
-map-side and can be *run* over filing dates, so "the pick as known on day d" is a running maximum
-over at most one row per day instead of a join of facts with every vintage.
+The pick among competing facts is the maximum of one ordering struct.  The facts of a filer are
+gathered once, and "the pick as known on day d" is the maximum of those in a short list that count
+by then, instead of a join of facts with every vintage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knownat.functions import composite_key, null_aware_sum
@@ -44,6 +44,8 @@ EARLIEST_END_YEAR = 2011
 EARLIEST_FISCAL_YEAR = 2012
 QUARTERLY_DAYS = (60, 130)
 MAPPING_VERSION = "us-gaap-v1"
+# A filer of more facts collapses to one a day before its facts are gathered.
+CROWDED_FACTS = 100_000
 
 FACT_COLUMNS = (
     "cik",
@@ -146,15 +148,15 @@ def _per_period(pick: Column) -> list[Column]:
     return [F.max(F.when(number == n, pick)).alias(f"q{n}") for n in (1, 2, 3, 4)]
 
 
-def _standalone(keys: Sequence[str]) -> Column:
+def _standalone(column: Callable[[str], Column] = F.col) -> Column:
     """Array of up to four standalone quarters from the picked Q1, Q2, Q3 and FY facts.
 
     Balance items stand alone.  A cumulative Q2 or Q3 flow (longer than a quarter) gives up the
     standalone quarters before it; the fourth quarter is the year less the first three.
     """
     long = QUARTERLY_DAYS[1]
-    flow = F.col("period_type") == "duration"
-    q = {n: F.col(f"q{n}") for n in (1, 2, 3, 4)}
+    flow = column("period_type") == "duration"
+    q = {n: column(f"q{n}") for n in (1, 2, 3, 4)}
     value = {n: q[n]["value"].cast("double") for n in q}
     filed = {n: q[n]["filed_at"] for n in q}
 
@@ -211,7 +213,7 @@ def normalize_fiscal_quarters(
     payload = [c for c in facts.columns if c not in fixed]
     pick = _pick(payload, "ordinal" in facts.columns)
     states = known.groupBy(*keys).agg(*_per_period(pick))
-    rows = states.select(*keys, F.explode(_standalone(keys)).alias("s"))
+    rows = states.select(*keys, F.explode(_standalone()).alias("s"))
     carried = ["tag_priority", "filed_at", "accession_number", "duration_days", *payload]
     return rows.select(
         *[F.col(k).cast("int") if k == "fiscal_year" else F.col(k) for k in keys],
@@ -245,52 +247,108 @@ def _fill_debt(wide: DataFrame, concepts: Sequence[str]) -> DataFrame:
     return wide.withColumn("total_debt", total)
 
 
-def filing_states(
+def filer_histories(
     facts: DataFrame, *, first_end_year: int = EARLIEST_END_YEAR
 ) -> DataFrame:
-    """Standalone quarters of each (entity, concept, fiscal year) on every day they changed.
+    """One row per filer: its facts by concept and fiscal year, with the day each counts from.
+
+    An entry of ``held`` is one (concept, period type, fiscal year) with the competing facts of Q1
+    to FY, ``q1`` to ``q4``, and the first days of the standalone quarters they make, ``from1`` to
+    ``from4``.
 
-    Valid from ``known_from`` until ``known_until`` (exclusive, NULL while current).  Input rows
-    collapse map-side to one per day before the only window, so the window holds at most one row
-    per calendar day whatever an entity files.
+    Facts move once, by filer.  A filer of more than ``CROWDED_FACTS`` facts first collapses
+    map-side to one fact per period and day, so what a task holds of it is bounded by the calendar.
     """
     keys = ["cik", "concept", "period_type", "fiscal_year"]
+    numbers = (1, 2, 3, 4)
     # A fact dated past its filing year counts only once the decision year has caught up.
     known_from = F.greatest(F.to_date("filed_at"), F.trunc("end_date", "year"))
-    pick = _pick([], "ordinal" in facts.columns)
-    scoped = _scoped(facts, first_end_year)
-    daily = scoped.groupBy(*keys, known_from.alias("known_from")).agg(*_per_period(pick))
-    line = Window.partitionBy(*keys).orderBy("known_from")
-    upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    numbers = (1, 2, 3, 4)
-    best = daily.select(
-        *keys,
-        "known_from",
-        *[F.col(f"q{n}").alias(f"d{n}") for n in numbers],
-        *[F.max(f"q{n}").over(upto).alias(f"q{n}") for n in numbers],
+    rows = (
+        _scoped(facts.where(F.col("cik").isNotNull()), first_end_year)
+        .withColumn("known_from", known_from)
+        .select(
+            *keys,
+            _period_number().alias("period"),
+            _pick(["known_from"], "ordinal" in facts.columns).alias("fact"),
+        )
     )
-    # A day on which no pick improved leaves the state as it was.
-    improved = F.lit(False)
-    for n in numbers:
-        improved = improved | F.coalesce(F.col(f"d{n}") == F.col(f"q{n}"), F.lit(False))
-    running = best.where(improved).select(
-        *keys,
-        "known_from",
-        F.lead("known_from").over(line).alias("known_until"),
-        *[f"q{n}" for n in numbers],
+    counts = facts.groupBy("cik").count()
+    crowded = stable(counts.where(F.col("count") > CROWDED_FACTS).select("cik"))
+    if not crowded.isEmpty():
+        few = F.broadcast(crowded)  # at most one filer for CROWDED_FACTS facts
+        daily = (
+            rows.join(few, "cik", "left_semi")
+            .groupBy(*keys, "period", F.col("fact.known_from").alias("known_from"))
+            .agg(F.max("fact").alias("fact"))
+        )
+        rows = rows.join(few, "cik", "left_anti").unionByName(daily.drop("known_from"))
+    years = rows.repartition("cik").groupBy(*keys).agg(
+        *[F.collect_list(F.when(F.col("period") == n, F.col("fact"))).alias(f"q{n}") for n in numbers]
     )
-    slim = F.transform(
-        _standalone(keys),
-        lambda s: F.struct(
-            s["fiscal_quarter_number"].alias("n"),
-            s["value"].alias("value"),
-            s["available_at"].alias("available_at"),
-            s["is_derived"].alias("is_derived"),
-            s["fact"]["accession_number"].alias("accession_number"),
-            s["fact"]["tag_priority"].alias("tag_priority"),
-        ),
+    return _with_presence(years).groupBy("cik").agg(
+        F.collect_list(
+            F.struct(
+                "concept",
+                "period_type",
+                F.col("fiscal_year").cast("int").alias("year"),
+                *[F.col(f"q{n}") for n in numbers],
+                *[F.col(f"from{n}") for n in numbers],
+            )
+        ).alias("held")
+    )
+
+
+def _with_presence(years: DataFrame) -> DataFrame:
+    """Add ``from1`` to ``from4``: first days of the standalone quarters that the lists make.
+
+    Follows ``_standalone``: a quarter whose pick is cumulative waits for the quarters before it,
+    the fourth quarter of a flow for the other three.
+    """
+    flow = F.col("period_type") == "duration"
+
+    def long(fact: Column) -> Column:
+        return F.coalesce(fact["duration_days"] > QUARTERLY_DAYS[1], F.lit(False))
+
+    def first(facts: Column) -> Column:
+        return F.array_min(F.transform(facts, lambda f: f["known_from"]))
+
+    def single(n: int) -> Column:
+        """First day on which the pick is not cumulative."""
+        cumulative = F.filter(f"q{n}", long)
+        return first(
+            F.filter(
+                f"q{n}",
+                lambda f: f["quarterly"]
+                | (
+                    ~long(f)
+                    & ~F.exists(
+                        cumulative, lambda c: (c["known_from"] <= f["known_from"]) & (c > f)
+                    )
+                ),
+            )
+        )
+
+    def latest(*days: str) -> Column:
+        known = F.lit(True)
+        for day in days:
+            known = known & F.col(day).isNotNull()
+        return F.when(known, F.greatest(*days))
+
+    def of_flow(n: int, day: Column) -> Column:
+        return F.when(flow, day).otherwise(F.col(f"__filed{n}"))
+
+    filed = years.withColumns(
+        {f"__filed{n}": first(F.col(f"q{n}")) for n in (1, 2, 3, 4)}
+        | {f"__single{n}": F.when(flow, single(n)) for n in (2, 3)}
+    ).withColumn("from1", F.col("__filed1"))
+    second = F.least(latest("__filed1", "__filed2"), F.col("__single2"))
+    third = F.least(latest("__filed3", "from1", "from2"), F.col("__single3"))
+    fourth = latest("__filed4", "from1", "from2", "from3")
+    return (
+        filed.withColumn("from2", of_flow(2, second))
+        .withColumn("from3", of_flow(3, third))
+        .withColumn("from4", of_flow(4, fourth))
     )
-    return running.select(*keys, "known_from", "known_until", slim.alias("quarters"))
 
 
 def point_in_time_rows(
@@ -308,97 +366,130 @@ def point_in_time_rows(
     one date, and which quarters a decision needs is settled before any value is fetched.
     """
     require_columns(facts, FACT_COLUMNS, "facts")
-    # Read twice below (presence, then values), so the states are written once to the shared
-    # checkpoint folder instead of being rebuilt from the facts.
-    states = stable(filing_states(facts, first_end_year=first_end_year))
+    numbers = (1, 2, 3, 4)
     current = F.col("fiscal_year") * 4 + F.col("fiscal_quarter_number")
     asked = decisions.withColumn("quarter_index", current.cast("int"))
+    day = F.to_date("decision_at")
 
-    # Only the fiscal positions and first dates are needed here, so no values are read twice.
-    presence = (
-        states.where(F.size("quarters") > 0)
-        .select("cik", "fiscal_year", "known_from", F.explode("quarters.n").alias("n"))
-        .groupBy("cik", (F.col("fiscal_year") * 4 + F.col("n")).cast("int").alias("position"))
-        .agg(F.min("known_from").alias("present_from"))
-    )
-    seen = (
-        presence.groupBy("cik")
-        .agg(F.collect_list(F.struct("position", "present_from")).alias("__seen"))
+    def present(held: Column) -> Column:
+        positions = {n: held["year"] * 4 + n for n in numbers}
+        return F.filter(
+            F.array(
+                *[F.when(held[f"from{n}"] <= day, positions[n]) for n in numbers]
+            ),
+            lambda p: p <= F.col("quarter_index"),
+        )
+
+    # Both sides are dealt by filer; from there a decision's row is made of its filer's lists and
+    # nothing moves again.  The decisions are the side to be held in memory: the histories are wide
+    # and pass through unsorted.
+    filers = filer_histories(facts, first_end_year=first_end_year)
+    own = F.exists(
+        "held",
+        lambda h: (h["year"] == F.col("fiscal_year"))
+        & (
+            F.get(F.array(*[h[f"from{n}"] for n in numbers]), F.col("fiscal_quarter_number") - 1)
+            <= day
+        ),
     )
-    placed = asked.join(seen, "cik").withColumn(
+    placed = asked.hint("shuffle_hash").join(filers, "cik").where(own).withColumn(
         "__present",
         F.slice(
             F.sort_array(
-                F.transform(
-                    F.filter(
-                        "__seen",
-                        lambda s: (s["position"] <= F.col("quarter_index"))
-                        & (s["present_from"] <= F.to_date("decision_at")),
-                    ),
-                    lambda s: s["position"],
-                ),
+                F.array_distinct(F.flatten(F.transform("held", present))),
                 asc=False,
             ),
             1,
             4,
         ),
-    ).drop("__seen")
-    placed = placed.where(F.array_contains("__present", F.col("quarter_index")))
-    years = F.array_distinct(
-        F.concat(
-            F.transform("__present", lambda p: F.floor((p - 1) / 4).cast("int")),
-            F.array(F.col("fiscal_year"), F.col("fiscal_year") - 1),
-        )
     )
-    wanted = placed.select("*", F.explode(years).alias("__year"))
-    held = states.select(
-        F.col("cik"),
-        F.col("fiscal_year").cast("int").alias("__year"),
-        "concept",
-        "known_from",
-        "known_until",
-        "quarters",
+    # The years of the trailing and of the calendar quarters.
+    first_year = F.least(
+        F.col("fiscal_year").cast("int") - 1,
+        F.floor((F.array_min("__present") - 1) / 4).cast("int"),
     )
-    fetched = (
-        wanted.join(held, ["cik", "__year"])
-        .where(
-            (F.col("known_from") <= F.to_date("decision_at"))
-            & (
-                F.col("known_until").isNull()
-                | (F.to_date("decision_at") < F.col("known_until"))
-            )
+
+    def picks(held: Column) -> Column:
+        return F.struct(
+            *[held[c].alias(c) for c in ("concept", "period_type", "year")],
+            *[
+                F.array_max(F.filter(held[f"q{n}"], lambda f: f["known_from"] <= day)).alias(f"q{n}")
+                for n in numbers
+            ],
+        )
+
+    def quarters(picked: Column) -> Column:
+        return F.transform(
+            _standalone(lambda c: picked[c]),
+            lambda s: F.struct(
+                picked["concept"].alias("concept"),
+                (picked["year"] * 4 + s["fiscal_quarter_number"]).alias("position"),
+                s["value"].alias("value"),
+                s["available_at"].alias("available_at"),
+                s["is_derived"].alias("is_derived"),
+                s["fact"]["accession_number"].alias("accession_number"),
+                s["fact"]["tag_priority"].alias("tag_priority"),
+            ),
         )
-        .select("*", F.explode("quarters").alias("s"))
-        .withColumn("__index", F.col("__year") * 4 + F.col("s.n"))
+
+    entries = F.filter("held", lambda h: h["year"].between(first_year, F.col("fiscal_year")))
+    known = placed.select(
+        *asked.columns,
+        "__present",
+        F.flatten(F.transform(F.transform(entries, picks), quarters)).alias("__quarters"),
+    )
+    index = F.col("quarter_index")
+    told = known.select(
+        *asked.columns,
+        F.size("__present").alias("ttm_quarters_present"),
+        F.filter("__quarters", lambda s: s["position"] == index).alias("__now"),
+        F.filter(
+            "__quarters", lambda s: F.array_contains("__present", s["position"])
+        ).alias("__trailing"),
+        F.filter(
+            "__quarters", lambda s: s["position"].between(index - 3, index)
+        ).alias("__recent"),
     )
-    now = F.col("__index") == F.col("quarter_index")
-    trailing = F.array_contains("__present", F.col("__index"))
-    recent = F.col("__index").between(F.col("quarter_index") - 3, F.col("quarter_index"))
 
-    def of(concept: str, rows: Column, field: str = "value") -> Column:
-        return F.when((F.col("concept") == concept) & rows, F.col("s")[field])
+    def of(rows: str, field: str, concept: str | None = None) -> Column:
+        chosen = F.col(rows)
+        if concept is not None:
+            chosen = F.filter(chosen, lambda s: s["concept"] == concept)
+        return F.array_compact(F.transform(chosen, lambda s: s[field]))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    def share(values: Column) -> Column:
+        held = F.transform(values, lambda v: v.cast("double"))
+        return F.when(F.size(values) > 0, total(held) / F.size(values))
 
     concepts = [*flows, *balances]
-    # The decision's own columns travel as grouping keys: nothing is joined back.
-    gathered = fetched.groupBy(*asked.columns).agg(
-        F.max(F.size("__present")).alias("ttm_quarters_present"),
-        *[F.max(of(c, now)).alias(c) for c in concepts],
-        *[F.max(of(c, now, "available_at")).alias(f"{c}_available_at") for c in concepts],
-        F.max(F.when(now, F.col("s.available_at"))).alias("quarter_available_at"),
+    rows = told.select(
+        *asked.columns,
+        "ttm_quarters_present",
+        *[F.array_max(of("__now", "value", c)).alias(c) for c in concepts],
         *[
-            F.when(F.count(of(c, trailing)) == 4, F.sum(of(c, trailing))).alias(f"{c}_ttm")
+            F.array_max(of("__now", "available_at", c)).alias(f"{c}_available_at")
+            for c in concepts
+        ],
+        F.array_max(of("__now", "available_at")).alias("quarter_available_at"),
+        *[
+            F.when(
+                F.size(of("__trailing", "value", c)) == 4, total(of("__trailing", "value", c))
+            ).alias(f"{c}_ttm")
             for c in flows
         ],
         F.to_json(
-            F.array_sort(F.collect_set(F.when(recent, F.col("s.accession_number"))))
+            F.array_sort(F.array_distinct(of("__recent", "accession_number")))
         ).alias("accession_numbers_json"),
-        F.max(F.when(recent, F.col("s.available_at"))).alias("maximum_source_available_at"),
-        F.avg(
-            F.when(recent, (F.col("s.tag_priority") == 0).cast("double"))
-        ).alias("preferred_tag_share"),
-        F.avg(F.when(recent, F.col("s.is_derived").cast("double"))).alias("derived_fact_share"),
+        F.array_max(of("__recent", "available_at")).alias("maximum_source_available_at"),
+        share(F.transform(of("__recent", "tag_priority"), lambda t: t == 0)).alias(
+            "preferred_tag_share"
+        ),
+        share(of("__recent", "is_derived")).alias("derived_fact_share"),
     )
-    return _fill_debt(gathered, concepts)
+    return _fill_debt(rows, concepts)
 
 
 def validate_fiscal_index(frame: DataFrame) -> None:
