@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from knownat.functions import composite_key, null_aware_sum
 from knownat.operators.checks import fail_if_any, fail_if_duplicated, require_columns
-from knownat.scale import stable
+from knownat.scale import dealt, stable
 
 # Fixed values of the filing domain.
 QUARTER_OF_PERIOD = {"Q1": 1, "Q2": 2, "Q3": 3, "FY": 4}
@@ -272,8 +272,9 @@ def filer_histories(
             _pick(["known_from"], "ordinal" in facts.columns).alias("fact"),
         )
     )
-    counts = facts.groupBy("cik").count()
-    crowded = stable(counts.where(F.col("count") > CROWDED_FACTS).select("cik"))
+    counts = stable(facts.groupBy("cik").count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    crowded = counts.where(F.col("count") > CROWDED_FACTS).select("cik")
     if not crowded.isEmpty():
         few = F.broadcast(crowded)  # at most one filer for CROWDED_FACTS facts
         daily = (
@@ -282,7 +283,7 @@ def filer_histories(
             .agg(F.max("fact").alias("fact"))
         )
         rows = rows.join(few, "cik", "left_anti").unionByName(daily.drop("known_from"))
-    years = rows.repartition("cik").groupBy(*keys).agg(
+    years = dealt(rows, ["cik"], total).groupBy(*keys).agg(
         *[F.collect_list(F.when(F.col("period") == n, F.col("fact"))).alias(f"q{n}") for n in numbers]
     )
     return _with_presence(years).groupBy("cik").agg(
@@ -404,10 +405,8 @@ def point_in_time_rows(
         ),
     )
     # The years of the trailing and of the calendar quarters.
-    first_year = F.least(
-        F.col("fiscal_year").cast("int") - 1,
-        F.floor((F.array_min("__present") - 1) / 4).cast("int"),
-    )
+    first = F.least(F.array_min("__present"), F.col("quarter_index") - 3)
+    first_year = F.floor((first - 1) / 4).cast("int")
 
     def picks(held: Column) -> Column:
         return F.struct(
